@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import quality
+from catalith.llm import packing, quality, tokens
 from catalith.llm.oracles import ORACLES
 
 
@@ -15,6 +16,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every whole document, counted once per distinct pre-token."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    counted = tokens.token_counts(docs.withColumn("n_bytes", size), ["doc_id", "n_bytes"], "text", public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few 2048-token sequences as the configuration program finds."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule bitmask ledger over all documents under policy v1."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -35,7 +50,7 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op9_quality_ledger,)
+    for f in (op3_token_counts, op6_best_fit_packing, op9_quality_ledger)
 }
 
 
