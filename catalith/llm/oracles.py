@@ -37,6 +37,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+OP2 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, replace(replace(coalesce(url, 'about:blank'), chr(13), '%0D'), chr(10), '%0A') AS uri FROM pages
+), k AS (
+  SELECT page_id, uri, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM k
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to, uri
+FROM f
+"""
+
+OP4 = """
+WITH n AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), r AS (
+  SELECT source, n, pow(n::DOUBLE, 0.5) / (SELECT sum(pow(n::DOUBLE, 0.5)) FROM n) * (SELECT sum(n) FROM n)::DOUBLE / n AS rate FROM n
+), steps AS (
+  SELECT source, rate, unnest(range(0, 80)) AS k FROM r
+), cdf AS (
+  SELECT source, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM steps
+), u AS (
+  SELECT doc_id, d.source, rate, text,
+         ((('0x' || substr(md5('17|' || doc_id), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS u
+  FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+), drawn AS (
+  SELECT doc_id, u.source, u.rate, text, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM u.source AND cdf.c < u.u) AS copies FROM u
+), x AS (
+  SELECT doc_id, source, rate, text, unnest(range(0, copies)) AS copy FROM drawn
+)
+SELECT doc_id, copy, source, rate, ('0x' || substr(md5('order17|' || doc_id || '|' || copy), 1, 15))::BIGINT AS shuffle_key, text FROM x
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_warc_transactions": OP2,
+    "op4_poisson_mixing": OP4,
     "op9_quality_ledger": OP9,
 }

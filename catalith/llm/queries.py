@@ -8,14 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import packing, quality, tokens
+from catalith.llm import mixing, packing, quality, tokens, warc
 from catalith.llm.oracles import ORACLES
+from catalith.plans.storage import table_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives, read back and assembled to one row per capture."""
+    path = table_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_records(spark, path), payload=False)
+    number = F.regexp_extract(F.col("metadata.payload").cast("string"), r"page-id: (-?\d+)", 1).try_cast("long")
+    return captures.select(
+        number.alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        warc.page_number(F.col("response.refers_to")).alias("refers_to"),
+        F.col("uri"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every whole document, counted once per distinct pre-token."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,6 +41,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents replicated so that a source weighs the root of its share, in shuffled order."""
+    mixed = mixing.replicate(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "copy", "source", "rate", "shuffle_key", "text")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in as few 2048-token sequences as the configuration program finds."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,7 +73,7 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_token_counts, op6_best_fit_packing, op9_quality_ledger)
+    for f in (op2_warc_transactions, op3_token_counts, op4_poisson_mixing, op6_best_fit_packing, op9_quality_ledger)
 }
 
 
