@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import mixing, packing, quality, tokens, warc
+from catalith.llm import mixing, packing, pii, quality, tokens, warc
 from catalith.llm.oracles import ORACLES
 from catalith.plans.storage import table_path
 
@@ -17,6 +17,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The key of the registered query and of the pipeline; a deployment passes its own secret.
+PII_KEY = "catalith-demo-key"
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with validated personal data replaced by format-preserving pseudonyms."""
+    docs = _table(spark, sf_dir, "documents")
+    done = pii.pseudonymise(docs.select("doc_id", "text"), PII_KEY)
+    count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_values"), *(count(k) for k in pii.KINDS))
+
+
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC archives, read back and assembled to one row per capture."""
     path = table_path(spark, "warc")
@@ -73,7 +85,7 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_warc_transactions, op3_token_counts, op4_poisson_mixing, op6_best_fit_packing, op9_quality_ledger)
+    for f in (op1_pii_pseudonyms, op2_warc_transactions, op3_token_counts, op4_poisson_mixing, op6_best_fit_packing, op9_quality_ledger)
 }
 
 
