@@ -72,8 +72,46 @@ WITH n AS (
 SELECT doc_id, copy, source, rate, ('0x' || substr(md5('order17|' || doc_id || '|' || copy), 1, 15))::BIGINT AS shuffle_key, text FROM x
 """
 
+OP7 = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM r
+), u AS (
+  SELECT *, i = 1 AND role = 'system' AS sys,
+         len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\x20\x09-\x0D]')) + 3 AS n,
+         length(replace(replace(replace(role || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) + 13 AS shown FROM t
+), v AS (
+  SELECT *, CASE WHEN sys THEN 0 ELSE n END AS tok,
+         max(CASE WHEN sys THEN n ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_tok,
+         max(CASE WHEN sys THEN shown ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_shown FROM u
+), w AS (
+  SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY i) - tok AS start,
+         greatest(1, 1024 - 192 - sys_tok - max(tok) OVER (PARTITION BY conv_id) + 1) AS room FROM v
+), b AS (
+  SELECT *, start // room AS bucket FROM w
+), g AS (
+  SELECT conv_id, bucket, min(i) AS f, min(start) AS s, bool_or(sys) AS has_sys, max(sys_shown) AS sys_shown, sum(shown) AS own,
+         least(192, greatest(0, 1024 - max(sys_tok) - sum(tok))) AS reach FROM b GROUP BY conv_id, bucket
+), h AS (
+  SELECT g.conv_id, g.bucket, sum(b.shown) AS past FROM g JOIN b ON b.conv_id IS NOT DISTINCT FROM g.conv_id
+    AND NOT b.sys AND b.i < g.f AND b.start >= g.s - g.reach AND b.start < g.s GROUP BY 1, 2
+), c AS (
+  SELECT g.conv_id, sum(own + CASE WHEN has_sys THEN 0 ELSE g.sys_shown END + coalesce(past, 0))::BIGINT AS formatted_chars
+  FROM g LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM g.conv_id AND h.bucket = g.bucket GROUP BY 1
+), d AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '') AS loss FROM t GROUP BY 1
+)
+SELECT d.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM d JOIN c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op2_warc_transactions": OP2,
     "op4_poisson_mixing": OP4,
+    "op7_chat_windows": OP7,
     "op9_quality_ledger": OP9,
 }

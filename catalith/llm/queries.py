@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import mixing, packing, pii, quality, tokens, warc
+from catalith.llm import chat, mixing, packing, pii, quality, tokens, warc
 from catalith.llm.oracles import ORACLES
 from catalith.plans.storage import table_path
 
@@ -65,6 +65,19 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, formatted and read back."""
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+        F.lit(said).alias("text"),
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_windows(rows))
+
+
 def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule bitmask ledger over all documents under policy v1."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -85,7 +98,7 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_pseudonyms, op2_warc_transactions, op3_token_counts, op4_poisson_mixing, op6_best_fit_packing, op9_quality_ledger)
+    for f in (op1_pii_pseudonyms, op2_warc_transactions, op3_token_counts, op4_poisson_mixing, op6_best_fit_packing, op7_chat_windows, op9_quality_ledger)
 }
 
 
