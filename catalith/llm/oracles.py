@@ -109,9 +109,31 @@ SELECT d.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha
 FROM d JOIN c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
 """
 
+OP8 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, label, e FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), c AS (
+  SELECT a, min(least(a, b)) AS c FROM reach GROUP BY a
+), n AS (
+  SELECT a, count(*) AS n FROM link GROUP BY a
+)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.c, vec_id) AS component_id, coalesce(c.c, vec_id) = vec_id AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
 ORACLES: dict[str, str] = {
     "op2_warc_transactions": OP2,
     "op4_poisson_mixing": OP4,
     "op7_chat_windows": OP7,
+    "op8_embedding_near_dedup": OP8,
     "op9_quality_ledger": OP9,
 }

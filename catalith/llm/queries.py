@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import chat, mixing, packing, pii, quality, tokens, warc
+from catalith.llm import chat, embeddings, mixing, packing, pii, quality, tokens, warc
 from catalith.llm.oracles import ORACLES
 from catalith.plans.storage import table_path
 
@@ -78,6 +78,11 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(rows))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, linked within their label at cosine 0.93 and more."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule bitmask ledger over all documents under policy v1."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,7 +103,7 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_pseudonyms, op2_warc_transactions, op3_token_counts, op4_poisson_mixing, op6_best_fit_packing, op7_chat_windows, op9_quality_ledger)
+    for f in (op1_pii_pseudonyms, op2_warc_transactions, op3_token_counts, op4_poisson_mixing, op6_best_fit_packing, op7_chat_windows, op8_embedding_near_dedup, op9_quality_ledger)
 }
 
 
