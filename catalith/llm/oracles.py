@@ -72,6 +72,25 @@ WITH n AS (
 SELECT doc_id, copy, source, rate, ('0x' || substr(md5('order17|' || doc_id || '|' || copy), 1, 15))::BIGINT AS shuffle_key, text FROM x
 """
 
+OP5 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i+3], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), link AS (
+  SELECT o.a, o.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) o
+  JOIN n p ON p.doc_id = o.a JOIN n q ON q.doc_id = o.b WHERE 100 * o.o >= 85 * (p.n + q.n - o.o)
+), reach AS (
+  SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), c AS (
+  SELECT a, min(least(a, b)) AS c FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
+"""
+
 OP7 = r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -133,6 +152,7 @@ FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 ORACLES: dict[str, str] = {
     "op2_warc_transactions": OP2,
     "op4_poisson_mixing": OP4,
+    "op5_ngram_jaccard_join": OP5,
     "op7_chat_windows": OP7,
     "op8_embedding_near_dedup": OP8,
     "op9_quality_ledger": OP9,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import chat, embeddings, mixing, packing, pii, quality, tokens, warc
+from catalith.llm import chat, embeddings, jaccard, mixing, packing, pii, quality, tokens, warc
 from catalith.llm.oracles import ORACLES
 from catalith.plans.storage import table_path
 
@@ -59,6 +59,11 @@ def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "copy", "source", "rate", "shuffle_key", "text")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents linked at Jaccard 0.85 of their 4-word shingles."""
+    return jaccard.link_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in as few 2048-token sequences as the configuration program finds."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -103,7 +108,7 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_pseudonyms, op2_warc_transactions, op3_token_counts, op4_poisson_mixing, op6_best_fit_packing, op7_chat_windows, op8_embedding_near_dedup, op9_quality_ledger)
+    for f in (op1_pii_pseudonyms, op2_warc_transactions, op3_token_counts, op4_poisson_mixing, op5_ngram_jaccard_join, op6_best_fit_packing, op7_chat_windows, op8_embedding_near_dedup, op9_quality_ledger)
 }
 
 
