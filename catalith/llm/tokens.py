@@ -101,7 +101,11 @@ class WordIds:
     """
 
     MARK = "\x01"
-    SPACES = str.maketrans(dict.fromkeys("\t\n\x0b\f\r", " "))
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """Text cut at ASCII white space; five replacements are far faster than translate()."""
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\f", " ").split(" ")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -138,7 +142,7 @@ class WordIds:
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         for part in chunks(texts):
-            each = [t.translate(self.SPACES).split(" ") for t in part]
+            each = [self.words(t) for t in part]
             new = set().union(*(set(words).difference(self.table) for words in each))
             if new and self._resolve(sorted(new)):
                 self._resolve(sorted(set().union(*(set(words).difference(self.table) for words in each))))
