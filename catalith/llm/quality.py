@@ -103,7 +103,10 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     for step in _repeat_words("_words", "n_words"):
         out = out.withColumns(step)
     mask = sum((F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES), F.lit(0))
-    return out.withColumn("fail_mask", mask.cast("long")).drop("_text", "_trim", "_words", "_lines", "_h", "_sorted", "_at")
+    # Not a deterministic expression on purpose: a filter on the mask would otherwise be pushed
+    # below the steps above, each of which doubles the expression it is rewritten to.
+    once = F.when(F.monotonically_increasing_id() >= 0, mask.cast("long"))
+    return out.withColumn("fail_mask", once).drop("_text", "_trim", "_words", "_lines", "_h", "_sorted", "_at")
 
 
 def passes(policy: str, mask: str = "fail_mask") -> Column:
