@@ -23,12 +23,13 @@ def ascii_lower(c: Column) -> Column:
 
 def _number(part: Column) -> Column:
     clean = trim_all(part)
-    return F.coalesce(F.when(clean.rlike(r"^\+?[0-9]+$"), clean.try_cast("int")), F.lit(0))
+    n = F.when(clean.rlike(r"^\+?[0-9]+$"), clean.try_cast("long"))
+    return F.coalesce(F.when(n <= 4294967295, n), F.lit(0)).cast("long")
 
 
 def version_key(version: Column) -> Column:
     """(major, minor, patch) of a dotted version; absent or non-numeric parts are 0."""
-    part = lambda i: F.coalesce(_number(F.get(F.split(version, r"\."), F.lit(i))), F.lit(0))
+    part = lambda i: _number(F.get(F.split(version, r"\."), F.lit(i)))
     return F.when(version.isNotNull(), F.struct(*(part(i).alias(n) for i, n in enumerate(("major", "minor", "patch")))))
 
 
@@ -40,7 +41,7 @@ def version_numbers(version: Column) -> Column:
 def compare_versions(a: Column, b: Column) -> Column:
     """-1, 0 or 1 by number, part by part; missing parts are 0, any number of parts."""
     x, y = version_numbers(a), version_numbers(b)
-    pad = lambda v, w: F.concat(v, F.array_repeat(F.lit(0), F.greatest(F.size(w) - F.size(v), F.lit(0))))
+    pad = lambda v, w: F.concat(v, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.size(w) - F.size(v), F.lit(0))))
     x2, y2 = pad(x, y), pad(y, x)
     return F.when(x2 < y2, -1).when(x2 > y2, 1).when(x2 == y2, 0)
 
@@ -85,9 +86,9 @@ def compact(n: Column) -> Column:
 
 
 def relative_date(then: Column, today: Column) -> Column:
-    """today, Nd, Nw, Nmo or Ny since ``then``."""
+    """today, or Nd, Nw, Nmo, Ny ago."""
     d = F.datediff(today, then)
-    by = lambda n, unit: F.concat(F.floor(d / n).cast("int").cast("string"), F.lit(unit))
+    by = lambda n, unit: F.concat(F.floor(d / n).cast("int").cast("string"), F.lit(f"{unit} ago"))
     return F.when(d <= 0, "today").when(d < 7, by(1, "d")).when(d < 30, by(7, "w")).when(d < 365, by(30, "mo")).when(d.isNotNull(), by(365, "y"))
 
 

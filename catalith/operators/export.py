@@ -27,8 +27,8 @@ def block(*lines: Column) -> Column:
 
 
 def list_line(label: str, values: Column) -> Column:
-    """``label: a, b`` if there are values, else null."""
-    return F.when(F.size(values) > 0, F.concat(F.lit(f"{label}: "), F.array_join(values, ", ")))
+    """``  label: a, b`` if there are values, else null."""
+    return F.when(F.size(values) > 0, F.concat(F.lit(f"  {label}: "), F.array_join(values, ", ")))
 
 
 def indented(text: Column) -> Column:
@@ -37,12 +37,12 @@ def indented(text: Column) -> Column:
     return F.when(body != "", F.array_join(indent_lines(body), "\n"))
 
 
-def sections(blocks: DataFrame, order: str, heading: str, rank: str, text: str) -> DataFrame:
-    """One text per section, ``## heading (n)`` and its blocks in rank order, as rows (order, text)."""
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(rank, text))), lambda x: x[text]), "\n\n")
-    return blocks.groupBy(order, heading).agg(body.alias("_body"), F.count("*").alias("_n")).select(
-        F.col(order).alias("section_order"), F.concat(F.lit("## "), F.col(heading), F.lit(" ("), F.col("_n").cast("string"), F.lit(")\n\n"), F.col("_body")).alias("text")
-    )
+def sections(blocks: DataFrame, order: str, heading: str, description: str, rank: str, text: str) -> DataFrame:
+    """One text per section: ``## heading (n)``, its description if any, and its blocks in rank order."""
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(rank, text))), lambda x: F.concat(x[text], F.lit("\n\n"))), "")
+    grouped = blocks.groupBy(order, heading, description).agg(body.alias("_body"), F.count("*").alias("_n"))
+    about = F.when(F.coalesce(description, F.lit("")) != "", F.concat(F.col(description), F.lit("\n"))).otherwise("")
+    return grouped.select(F.col(order).alias("section_order"), F.concat(F.lit("## "), F.col(heading), F.lit(" ("), F.col("_n").cast("string"), F.lit(")\n"), about, F.lit("\n"), F.col("_body")).alias("text"))
 
 
 def url_entry(loc: Column, lastmod: Column, priority: Column) -> Column:
@@ -52,13 +52,19 @@ def url_entry(loc: Column, lastmod: Column, priority: Column) -> Column:
 
 
 def sitemap(tools: DataFrame, stacks: DataFrame, base_url: str, baseline: str, stamp: str = "metrics.updated_at") -> DataFrame:
-    """Rows (ord, entry): the home page, then every stack but the baseline, all with the newest refresh date."""
+    """Rows (ord, id, entry): the opening, the home page, every stack but the baseline, the end; in this order a sitemap.
+
+    All pages carry the newest refresh date.
+    """
     base = base_url.rstrip("/")
     newest = tools.agg(F.date_format(F.max(F.to_date(F.col(stamp))), "yyyy-MM-dd")).scalar()
     pages = tools.sparkSession.range(1).select(F.lit("").alias("id"), F.lit(0).alias("ord")).unionByName(stacks.where(F.col("id") != baseline).select("id", F.lit(1).alias("ord")))
     loc = F.when(F.col("ord") == 0, F.lit(f"{base}/")).otherwise(F.concat(F.lit(f"{base}/?stack="), F.col("id")))
-    priority = F.when(F.col("ord") == 0, F.lit("1.0")).otherwise(F.lit("0.8"))
-    return pages.select("ord", "id", url_entry(loc, newest, priority).alias("entry"))
+    priority = F.when(F.col("ord") == 0, F.lit("1.0")).otherwise(F.lit("0.7"))
+    entries = pages.select("ord", "id", url_entry(loc, newest, priority).alias("entry"))
+    edge = lambda n, text: tools.sparkSession.range(1).select(F.lit(n).alias("ord"), F.lit("").alias("id"), F.lit(text).alias("entry"))
+    opening = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+    return entries.unionByName(edge(-1, opening)).unionByName(edge(2, "</urlset>"))
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalith.functions.scalars import version_key
+from catalith.functions.scalars import compare_versions
 
 
 def search_any(df: DataFrame, needle: str, columns: list[str], arrays: Iterable[str] = ()) -> DataFrame:
@@ -29,7 +29,8 @@ def search_all(df: DataFrame, query: str, hay: Column) -> DataFrame:
 
 
 def at_most_version(column: str, limit: str) -> Column:
-    return F.coalesce(version_key(F.col(column)) <= version_key(F.lit(limit)), F.lit(False))
+    """True where the version is at most ``limit``, over any number of parts; unknown versions are out."""
+    return F.coalesce(compare_versions(F.col(column), F.lit(limit)) <= 0, F.lit(False))
 
 
 def faceted_filter(df: DataFrame, predicates: Iterable[Column | None]) -> DataFrame:

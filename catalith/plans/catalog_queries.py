@@ -182,7 +182,7 @@ def license_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-SELECT DISTINCT p_size || '.' || (p_partkey % 7) AS version, p_size AS major, (p_partkey % 7)::INTEGER AS minor, 0 AS patch FROM part
+SELECT DISTINCT p_size || '.' || (p_partkey % 7) AS version, p_size::BIGINT AS major, (p_partkey % 7)::BIGINT AS minor, 0::BIGINT AS patch FROM part
 """)
 def distinct_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"))
@@ -202,7 +202,7 @@ def is_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
 WITH d AS (SELECT date_diff('day', o_orderdate::DATE, DATE '{TODAY}') AS d FROM orders)
-SELECT CASE WHEN d <= 0 THEN 'today' WHEN d < 7 THEN d || 'd' WHEN d < 30 THEN d // 7 || 'w' WHEN d < 365 THEN d // 30 || 'mo' ELSE d // 365 || 'y' END AS label, count(*) AS n
+SELECT CASE WHEN d <= 0 THEN 'today' WHEN d < 7 THEN d || 'd ago' WHEN d < 30 THEN d // 7 || 'w ago' WHEN d < 365 THEN d // 30 || 'mo ago' ELSE d // 365 || 'y ago' END AS label, count(*) AS n
 FROM d GROUP BY 1
 """)
 def relative_date(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,11 +309,11 @@ def facts_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
 WITH j AS (SELECT p_type, p_partkey, p_name, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part)
-SELECT p_type AS section, rank, '### ' || p_name || chr(10) || 'part ' || p_partkey AS block FROM j
+SELECT p_type AS section, rank, '- ' || p_name || chr(10) || '  part ' || p_partkey AS block FROM j
 """)
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = ranking.rank_in_group(_table(spark, sf_dir, "part"), "p_type", [F.desc("p_retailprice"), F.asc("p_partkey")])
-    block = export.block(F.concat(F.lit("### "), F.col("p_name")), F.concat(F.lit("part "), F.col("p_partkey").cast("string")))
+    block = export.block(F.concat(F.lit("- "), F.col("p_name")), F.concat(F.lit("  part "), F.col("p_partkey").cast("string")))
     return ranked.select(F.col("p_type").alias("section"), "rank", block.alias("block"))
 
 
