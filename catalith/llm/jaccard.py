@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.llm.graph import components
+from catalith.llm.names import sheltered
 from catalith.plans.storage import checkpoint, write_table
 
 MINIMA = 3
@@ -284,4 +285,5 @@ def keep_one(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     linked = link_components(df, k, percent, id_col, text)
     gone = checkpoint(linked.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct())
     small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(gone) if small else gone, df[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = F.broadcast(gone) if small else gone
+    return sheltered(df, lambda d, name: d.join(gone, F.col(name(id_col)).cast("long") == F.col("_gone"), "left_anti"))

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalith.llm.names import sheltered
 from catalith.plans.storage import checkpoint
 
 BROADCAST_ROWS = 50_000
@@ -91,3 +92,8 @@ def replicate(df: DataFrame, id_col: str = "doc_id", source: str = "source", tar
     copies = drawn.where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))).drop("_copies")
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy"))), 1, 15), 16, 10).cast("long")
     return copies.withColumn("shuffle_key", order).orderBy("shuffle_key")
+
+
+def replicate_documents(df: DataFrame, id_col: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """As :func:`replicate`, with the columns of ``df`` and nothing else, whatever they are called."""
+    return sheltered(df, lambda d, name: replicate(d, name(id_col), name(source), **options))

@@ -40,6 +40,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalith.llm.names import sheltered
+
 ROUNDS = 8
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])"
 PHONE = r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)"
@@ -231,6 +233,4 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def pseudonymise_documents(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with ``text`` pseudonymised and nothing else changed, whatever its columns are called."""
-    names = [f"_in{i}" for i in range(len(df.columns))]
-    at = names[df.columns.index(text)]
-    return pseudonymise(df.toDF(*names), key, at).select(*names).toDF(*df.columns)
+    return sheltered(df, lambda d, name: pseudonymise(d, key, name(text)))

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalith.llm.names import sheltered
+
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 BLANK = " \t\n\x0b\f\r"
@@ -136,7 +138,4 @@ def ablation(ledger_df: DataFrame, policy: str) -> DataFrame:
 
 def keep_documents(df: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
     """The rows of ``df`` that the policy keeps, with the columns of ``df``."""
-    names = [f"_in{i}" for i in range(len(df.columns))]
-    at = names[df.columns.index(text)]
-    kept = ledger(df.toDF(*names), at).where(passes(policy))
-    return kept.select(*names).toDF(*df.columns)
+    return sheltered(df, lambda d, name: ledger(d, name(text)).where(passes(policy)))

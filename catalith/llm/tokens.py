@@ -66,9 +66,9 @@ class PieceCounts:
         rest = pre_token[1:]
         return len(self.sp.encode(rest)) if rest else 1
 
-    def _resolve(self, new: list[str]) -> bool:
-        """Add ``new`` to the table; True if it was emptied before."""
-        if full := len(self.table) + len(new) > MAX_TABLE:
+    def _resolve(self, new: list[str], grow: bool = False) -> bool:
+        """Add ``new`` to the table; True if it was emptied before, which ``grow`` prevents."""
+        if full := not grow and len(self.table) + len(new) > MAX_TABLE:
             self.table.clear()
         plain = [w for w in new if len(w) > 1 and w[1] != self.SPACE]
         for i in range(0, len(plain), PER_CALL):
@@ -87,7 +87,7 @@ class PieceCounts:
             each = [Counter(self.pre_token.findall(self.SPACE + t.replace(" ", self.SPACE))) if t else {} for t in part]
             new = {w for freq in each for w in freq if w not in self.table}
             if new and self._resolve(sorted(new)):
-                self._resolve(sorted({w for freq in each for w in freq if w not in self.table}))
+                self._resolve(sorted({w for freq in each for w in freq if w not in self.table}), grow=True)
             get = self.table
             for freq in each:
                 yield sum(get[w] * n for w, n in freq.items())
@@ -120,9 +120,9 @@ class WordIds:
     def _plain(self, word: str) -> bool:
         return self.MARK not in word and not any(s in word for s in self.special)
 
-    def _resolve(self, new: list[str]) -> bool:
-        """Add ``new`` to the table; True if it was emptied before."""
-        if full := len(self.table) + len(new) > MAX_TABLE:
+    def _resolve(self, new: list[str], grow: bool = False) -> bool:
+        """Add ``new`` to the table; True if it was emptied before, which ``grow`` prevents."""
+        if full := not grow and len(self.table) + len(new) > MAX_TABLE:
             self.table = {"": b""}
         plain = [w for w in new if self._plain(w)] if self.mark is not None else []
         parts = [plain[i : i + PER_CALL] for i in range(0, len(plain), PER_CALL)]
@@ -145,7 +145,7 @@ class WordIds:
             each = [self.words(t) for t in part]
             new = set().union(*(set(words).difference(self.table) for words in each))
             if new and self._resolve(sorted(new)):
-                self._resolve(sorted(set().union(*(set(words).difference(self.table) for words in each))))
+                self._resolve(sorted(set().union(*(set(words).difference(self.table) for words in each))), grow=True)
             get = self.table.__getitem__
             for words in each:
                 yield b"".join(map(get, words))

@@ -34,7 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by Poisson draws so that a source weighs the root of its share, shuffled."""
-    return mixing.replicate(docs, seed=MIX_SEED).select(*docs.columns)
+    return mixing.replicate_documents(docs, seed=MIX_SEED)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
