@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -98,47 +99,57 @@ def visit(vectors: np.ndarray, books: Codebooks, limit: float) -> list[list[int]
     return [[i * k + j for i, j in multi_sequence(x, y, limit)] for x, y in zip(a, b, strict=True)]
 
 
-def margin_limit(cosine: float, dims: int, z: float = 3.5) -> float:
-    """Squared margin that a partner at ``cosine`` stays within, all but ``z`` standard deviations.
+def margin_limit(cosine: float, dims: int, target_recall: float) -> float:
+    """Squared margin within which a partner at ``cosine`` lies with the target probability.
 
-    A partner lies at distance r = sqrt(2 - 2 cosine) in a direction that is spread over
+    Such a partner is at distance r = sqrt(2 - 2 cosine) in a direction that is spread over
     ``dims`` dimensions, so its offset along one plane's normal has deviation r / sqrt(dims).
     """
-    return float((z**2) * (2 - 2 * cosine) / max(1, dims))
+    return NormalDist().inv_cdf(target_recall) ** 2 * (2 - 2 * cosine) / max(1, dims)
 
 
 def _valid(df: DataFrame, vec: str) -> DataFrame:
+    """Rows with a usable vector ``_v`` (in the input's element type; arithmetic is in double precision)."""
     bad = F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = F.forall("_v", lambda x: x == 0)
-    return df.withColumn("_v", F.col(vec).cast("array<double>")).where(F.col("_v").isNotNull() & ~bad & ~zero)
+    return df.withColumn("_v", F.col(vec)).where(F.col("_v").isNotNull() & ~bad & ~zero)
 
 
-def _blocks(index: DataFrame, books: dict[int, Codebooks], cosine: float, z: float) -> DataFrame:
-    """Rows (label, cell, slice, role, rep, n, v, cells): members of a slice, and the vectors that visit it."""
-    limit = {n: margin_limit(cosine, n, z) for n in books}
+def _units(vs: list[list[float]]) -> np.ndarray:
+    x = np.array(vs, dtype=np.float64)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _assign(index: DataFrame, books: dict[int, Codebooks], limit: dict[int, float]) -> DataFrame:
+    """``index`` with ``_cells``, the cells that each vector visits, home first."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
             vs = b.column("_v").to_pylist()
             cells: list[list[int] | None] = [None] * len(vs)
             for n in {len(v) for v in vs}:
                 at = [i for i, v in enumerate(vs) if len(v) == n]
-                x = np.array([vs[i] for i in at])
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                found = visit(x, books[n], limit[n]) if n in books and n > 1 else [[0]] * len(at)
+                found = visit(_units([vs[i] for i in at]), books[n], limit[n]) if n in books and n > 1 else [[0]] * len(at)
                 for i, c in zip(at, found, strict=True):
                     cells[i] = c
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_label", "_rep", "_n", "_v")), pa.array(cells, pa.list_(pa.int32()))], names=["_label", "_rep", "_n", "_v", "_cells"])
 
-    kind = index.schema["_label"].dataType.simpleString()
-    return index.select("_label", "_rep", "_n", "_v").mapInArrow(assign, f"_label {kind}, _rep long, _n long, _v array<double>, _cells array<int>")
+    kind = lambda c: index.schema[c].dataType.simpleString()
+    return index.select("_label", "_rep", "_n", "_v").mapInArrow(assign, f"_label {kind('_label')}, _rep long, _n long, _v {kind('_v')}, _cells array<int>")
 
 
-def _match(cosine: float):
+def _match(cosine: float, books: dict[int, Codebooks], limit: dict[int, float]):
     """Matches one slice's members against its visitors; counts per vector and a spanning forest."""
 
+    def blind(x: np.ndarray, cell: int) -> np.ndarray:
+        """Which of the unit vectors ``x`` never visit ``cell``."""
+        n = x.shape[1]
+        if n not in books or n < 2:
+            return np.zeros(len(x), dtype=bool)
+        i, j = divmod(cell, len(books[n][1]))
+        (_, a), (_, b) = _margins(x[:, : n // 2], books[n][0]), _margins(x[:, n // 2 :], books[n][1])
+        return a[:, i] ** 2 + b[:, j] ** 2 > limit[n]
+
     def match(table: pa.Table) -> pa.Table:
         rep = table.column("_rep").to_numpy()
         n = table.column("_n").to_numpy()
@@ -146,13 +157,11 @@ def _match(cosine: float):
         cell = table.column("_cell")[0].as_py()
         home = table.column("_home").to_numpy()
         vs = table.column("_v").to_pylist()
-        visits = [set(c) for c in table.column("_cells").to_pylist()]
         count = np.zeros(len(rep), dtype=np.int64)
         near: list[tuple[np.ndarray, np.ndarray]] = []
         for dims in {len(v) for v in vs}:
             at = np.array([i for i, v in enumerate(vs) if len(v) == dims])
-            x = np.array([vs[i] for i in at], dtype=np.float64)
-            x /= np.linalg.norm(x, axis=1)[:, None]
+            x = _units([vs[i] for i in at])
             m = at[member[at]]
             xm = x[member[at]]
             for s in range(0, len(at), 512):
@@ -167,9 +176,8 @@ def _match(cosine: float):
                 near.append((q[hit.nonzero()[0]], m[hit.nonzero()[1]]))
                 away = home[q] != cell  # of these, members that never visit the visitor's cell get the link here
                 for other in np.unique(home[q][away]).tolist():
-                    blind = np.array([other not in visits[j] for j in m])
                     of = away & (home[q] == other)
-                    count[m] += np.where(blind, n[q[of]] @ hit[of], 0)
+                    count[m] += np.where(blind(xm, other), n[q[of]] @ hit[of], 0)
         root = rep.copy()
         if near:
             qa, mb = (np.concatenate(c) for c in zip(*near, strict=True))
@@ -186,24 +194,25 @@ def _match(cosine: float):
     return match
 
 
-def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec: str = "embedding", label: str = "label", codewords: int = 24, z: float = 3.5) -> DataFrame:
+def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec: str = "embedding", label: str = "label", codewords: int = 16, target_recall: float = 0.999) -> DataFrame:
     """Per row of ``df``: id, n_links, component_id, kept.  Only rows of equal, non-null label are compared."""
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_e"), F.col(label).alias("_label"))
     valid = _valid(rows.where("_id IS NOT NULL AND _label IS NOT NULL"), "_e")
     # Equal vectors become one; the key is a digest of their doubles.
-    keyed = valid.withColumn("_key", F.sha2(F.concat_ws(",", F.transform("_v", lambda x: F.hex(F.xxhash64(x + F.lit(0.0))))), 256))
+    keyed = valid.withColumn("_key", F.sha2(F.concat_ws(",", F.transform("_v", lambda x: F.hex(F.xxhash64(x.cast("double") + F.lit(0.0))))), 256))
     index = write_table(keyed.groupBy("_label", "_key").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n"), F.first("_v").alias("_v")), "vectors")
     books = fit(index, codewords)
-    placed = write_table(_blocks(index, books, cosine, z).withColumn("_home", F.get("_cells", F.lit(0))), "cells")
+    limit = {n: margin_limit(cosine, n, target_recall) for n in books}
+    placed = write_table(_assign(index, books, limit).withColumn("_home", F.get("_cells", F.lit(0))), "cells")
 
     slices = checkpoint(placed.groupBy("_label", F.col("_home").alias("_cell")).agg(F.count("*").alias("_size")).withColumn("_slices", F.ceil(F.col("_size") / SLICE).cast("int")).drop("_size"))
     slot = F.pmod(F.xxhash64("_rep"), F.col("_slices")).cast("int")
-    wide = ["_label", "_cell", "_slice", "_member", "_rep", "_n", "_v", "_home", "_cells"]
+    wide = ["_label", "_cell", "_slice", "_member", "_rep", "_n", "_v", "_home"]
     members = placed.withColumn("_cell", F.col("_home")).join(slices, ["_label", "_cell"]).withColumns({"_slice": slot, "_member": F.lit(True)}).select(*wide)
     # A visitor goes to every slice of a visited cell except the one it is a member of.
     visits = placed.withColumn("_cell", F.explode("_cells")).join(slices, ["_label", "_cell"]).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
     visits = visits.where((F.col("_cell") != F.col("_home")) | (F.col("_slice") != slot)).withColumn("_member", F.lit(False)).select(*wide)
-    found = members.unionByName(visits).groupBy("_label", "_cell", "_slice").applyInArrow(_match(cosine), "_rep long, _links long, _root long")
+    found = members.unionByName(visits).groupBy("_label", "_cell", "_slice").applyInArrow(_match(cosine, books, limit), "_rep long, _links long, _root long")
     found = write_table(found, "links")
     links = found.groupBy("_rep").agg(F.sum("_links").alias("_far"))
     groups = components(found.where("_rep <> _root"), "_rep", "_root")
@@ -223,6 +232,7 @@ def recall(df: DataFrame, result: DataFrame, cosine: float = 0.93, id_col: str =
     """Share of the links of all rows with id divisible by ``every`` that ``result`` counts, against brute force in blocks."""
     rows = _valid(df.where(F.col(label).isNotNull()), vec).select(F.col(id_col).alias("_id"), F.col(label).alias("_label"), "_v")
     asked = rows.where(F.col("_id") % every == 0).withColumnsRenamed({"_id": "_q", "_v": "_qv"})
+    rows, asked = (d.withColumn(v, F.col(v).cast("array<double>")) for d, v in ((rows, "_v"), (asked, "_qv")))
     dot = F.aggregate(F.zip_with("_v", "_qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     true = rows.join(asked, "_label").where("_id <> _q").where(dot / norm("_v") / norm("_qv") >= cosine).groupBy("_q").agg(F.count("*").alias("_true"))
