@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.llm.tokens import word_ids
+from catalith.llm.tokens import one_task, word_ids
 from catalith.plans.storage import write_table
 
 Plan = list[tuple[dict[int, int], int]]
@@ -41,25 +41,26 @@ def cut_pieces(df: DataFrame, id_col: str, text: str, tokenizer_path: str, capac
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = word_ids(tokenizer_path), TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64).tolist()
-        for b in batches:
-            rows: list[tuple[int, int, int, int, int]] = []
-            at: list[int] = []
-            for i, ids in enumerate(encoder.encode(t or "" for t in b.column("_text").to_pylist())):
-                ids += end
-                for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    n = len(part) // 4
-                    rows.append((piece, start, n, zlib.crc32(part), seen[n]))
-                    at.append(i)
-                    seen[n] += 1
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=False)), pa.array([task] * len(at), pa.int32()), pa.array(cols[4], pa.int64())],
-                names=["_id", "piece", "start", "length", "ids_crc32", "task", "rank"],
-            )
+        with one_task(word_ids(tokenizer_path)) as encoder:
+            for b in batches:
+                rows: list[tuple[int, int, int, int, int]] = []
+                at: list[int] = []
+                for i, ids in enumerate(encoder.encode(t or "" for t in b.column("_text").to_pylist())):
+                    ids += end
+                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                        part = ids[4 * start : 4 * (start + capacity)]
+                        n = len(part) // 4
+                        rows.append((piece, start, n, zlib.crc32(part), seen[n]))
+                        at.append(i)
+                        seen[n] += 1
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=False)), pa.array([task] * len(at), pa.int32()), pa.array(cols[4], pa.int64())],
+                    names=["_id", "piece", "start", "length", "ids_crc32", "task", "rank"],
+                )
 
     return source.mapInArrow(cut, schema)
 

@@ -2,8 +2,8 @@
 
 Both tokenizers used here split a text into pre-tokens that never influence each other,
 so a tokenizer only has to see each distinct pre-token once; everything else is
-dictionary look-ups and sums.  Tables of resolved pre-tokens live in the Python worker,
-hold at most ``MAX_TABLE`` entries and are only a memo: emptying one changes no result.
+dictionary look-ups and sums.  Tables of resolved pre-tokens live as long as a task, hold
+at most ``MAX_TABLE`` entries and are only a memo: emptying one changes no result.
 
 Defined results: null text is the empty text; repeated rows give repeated results; texts
 are never cut; an empty table gives an empty result.
@@ -15,6 +15,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -61,6 +62,9 @@ class PieceCounts:
         self.pre_token = re.compile(f"{self.SPACE}+[^{self.SPACE}]*")
         self.table: dict[str, int] = {}
 
+    def clear(self) -> None:
+        self.table = {}
+
     def _one(self, pre_token: str) -> int:
         # encode() puts one U+2581 in front by itself; a lone one is a piece of its own
         rest = pre_token[1:]
@@ -69,7 +73,7 @@ class PieceCounts:
     def _resolve(self, new: list[str], grow: bool = False) -> bool:
         """Add ``new`` to the table; True if it was emptied before, which ``grow`` prevents."""
         if full := not grow and len(self.table) + len(new) > MAX_TABLE:
-            self.table.clear()
+            self.clear()
         plain = [w for w in new if len(w) > 1 and w[1] != self.SPACE]
         for i in range(0, len(plain), PER_CALL):
             part = plain[i : i + PER_CALL]
@@ -117,13 +121,16 @@ class WordIds:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table: dict[str, bytes] = {"": b""}
 
+    def clear(self) -> None:
+        self.table = {"": b""}
+
     def _plain(self, word: str) -> bool:
         return self.MARK not in word and not any(s in word for s in self.special)
 
     def _resolve(self, new: list[str], grow: bool = False) -> bool:
         """Add ``new`` to the table; True if it was emptied before, which ``grow`` prevents."""
         if full := not grow and len(self.table) + len(new) > MAX_TABLE:
-            self.table = {"": b""}
+            self.clear()
         plain = [w for w in new if self._plain(w)] if self.mark is not None else []
         parts = [plain[i : i + PER_CALL] for i in range(0, len(plain), PER_CALL)]
         texts = [f" {self.MARK} ".join(p) for p in parts]
@@ -151,6 +158,16 @@ class WordIds:
                 yield b"".join(map(get, words))
 
 
+@contextmanager
+def one_task(memo):
+    """Empty a memo table when its task ends: Python workers outlive tasks, and would hold it while others run."""
+    try:
+        yield memo
+    finally:
+        memo.clear()
+        pa.default_memory_pool().release_unused()
+
+
 @lru_cache(maxsize=2)
 def piece_counts(path: str) -> PieceCounts:
     return PieceCounts(path)
@@ -173,10 +190,10 @@ def token_counts(df: DataFrame, keep: list[str | Column], text: str, model_path:
     schema = ", ".join(f"`{a}` {f.dataType.simpleString()}" for a, f in zip(kept, given.schema.fields, strict=True))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = piece_counts(model_path)
-        for b in batches:
-            texts = (t or "" for t in b.column("_text").to_pylist())
-            n = pa.array(counter.count(texts), type=pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), n], names=[*kept, "n_tokens"])
+        with one_task(piece_counts(model_path)) as counter:
+            for b in batches:
+                texts = (t or "" for t in b.column("_text").to_pylist())
+                n = pa.array(counter.count(texts), type=pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), n], names=[*kept, "n_tokens"])
 
     return source.mapInArrow(count, f"{schema}, n_tokens long").toDF(*given.columns, "n_tokens")
