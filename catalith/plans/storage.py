@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +40,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/catalith-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/catalith-{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -47,3 +49,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables this driver has written so far; call it once results are stored elsewhere.
+
+    Frames that still read such a table can't be run afterwards.
+    """
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
