@@ -56,35 +56,51 @@ def grams(text: bytes) -> np.ndarray:
     return code
 
 
-def _counted(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    a = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
-    a.sort()
-    at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
-    return a[at], np.diff(np.r_[at, len(a)])
+class GramCounts:
+    """Distinct codes with their counts; at most ``FLUSH`` codes wait uncounted."""
+
+    FLUSH = 1_000_000
+
+    def __init__(self) -> None:
+        self.keys, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.waiting.append(codes)
+        self.size += len(codes)
+        if self.size >= self.FLUSH:
+            self.flush()
+
+    def flush(self) -> GramCounts:
+        if self.waiting:
+            new = np.concatenate(self.waiting)
+            new.sort()
+            at = np.flatnonzero(np.r_[True, new[1:] != new[:-1]])
+            keys, n = np.concatenate([self.keys, new[at]]), np.concatenate([self.n, np.diff(np.r_[at, len(new)])])
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            self.keys, self.n, self.waiting, self.size = keys[at], np.add.reduceat(n, at), [], 0
+        return self
 
 
 def _profile_block(table: pa.Table) -> pa.Table:
     """Distinct grams and words of a block with their training counts (0: held out only)."""
-    train: list[np.ndarray] = []
-    other: list[np.ndarray] = []
+    train, other = GramCounts(), GramCounts()
     words: Counter[bytes] = Counter()
     unseen: set[bytes] = set()
-    held = 0
     for t, learn in zip(table.column("_text"), table.column("_train").to_pylist(), strict=True):
         text = t.as_py()
         own = text.lower().split()
-        codes = grams(text)
         if learn:
             words.update(own)
-            train.append(codes)
+            train.add(grams(text))
         else:
             unseen.update(own)
-            other.append(codes)
-        held += len(codes)
-        if held > 4_000_000:  # keep distinct codes only, with how often they came
-            train, other, held = [np.repeat(*_counted(train))], [_counted(other)[0]], 0
-    key, n = _counted(train)
-    extra = np.setdiff1d(_counted(other)[0], key, assume_unique=True)
+            other.add(grams(text))
+    key, n = train.flush().keys, train.n
+    extra = np.setdiff1d(other.flush().keys, key, assume_unique=True)
     unseen.difference_update(words)
     rows_g, rows_w = len(key) + len(extra), len(words) + len(unseen)
     return pa.table(
