@@ -28,6 +28,11 @@ its range.  Round functions are SHA-256 of key, kind, round and the other half.
 Validation decides before anything changes: a 16-digit number that fails its checksum, or
 2023-02-30, stays as it is.
 
+Numbers side by side are taken as one run of groups of digits, which ends before any other
+value.  Cards in a run are looked for at all borders of groups, in this order: a group of its
+own, the usual groupings, the whole run, the lengths of an issuer by any grouping (14 to 16
+digits, then others); what then remains is tested in pieces of up to 19 digits.
+
 Only documents that hold a match pay more than one scan; there is no shuffle.
 
 Defined results: null text stays null; texts without a match are returned unchanged;
@@ -37,6 +42,8 @@ named like an output column are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +57,16 @@ IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
 DATE = r"(?<![\d-])(?:19|20|21)\d\d-\d\d-\d\d(?![\d-])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 TOKEN = r"""(?i)(?<=token = ")[0-9a-f]{16,}(?=")"""
+#: Groups of digits side by side, 13 digits at least unless another value ends them earlier.
+RUN = rf"(?<![\d.])(?=\d(?:[ -]?\d){{12}})\d{{1,19}}+(?!\d)(?:(?: (?!{EMAIL}|{DATE}|{SSN})|-)(?!{IP})\d{{1,19}}+(?!\d))*+"
 #: First match wins from left to right; at one place the first alternative does.
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, PHONE, DATE, SSN, IP, CARD, TOKEN))
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, PHONE, DATE, SSN, IP, TOKEN, RUN))
 #: A cheap test that holds wherever ``ANY`` can match.
 HINT = r"@|\d\d\d|\d\.\d{1,3}\.\d|\d[ -]\d|(?i:token = )"
+#: Groupings that cards are printed in, and numbers that an issuer could give: of 14 to 16 digits, of others.
+GROUPED = r"^(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
+ISSUED = r"^(?:(?:4|5[1-5]|2[2-7]|35|6)(?=\d{14,15}$)\d*(?<=^\d{16})|3[47]\d{13}|3[0689]\d{12})$"
+ISSUED_RARE = r"^(?:4\d{12}|(?:4|6)\d{18}|62\d{15,16})$"
 KINDS = ["email", "phone", "date", "ssn", "ip", "card", "token"]
 
 #: Character classes as (first code point, size): digits, small, capital, Latin-1 small and capital letters.
@@ -192,11 +205,85 @@ def classify(v: Column) -> Column:
         .when(whole(r"\d{4}-\d\d-\d\d"), F.when(n.between(0, DAYS - 1), F.lit("date")))
         .when(whole(r"\d{3}-\d{2}-\d{4}"), F.when(~area.isin("000", "666") & (area < "900") & (F.substring(v, 5, 2) != "00") & (F.substring(v, 8, 4) != "0000"), F.lit("ssn")))
         .when(whole(r"(?:\d{1,3}\.){3}\d{1,3}"), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), F.lit("ip")))
-        .when(whole(r"\d(?:[ -]?\d){12,18}"), F.when(luhn_valid(_only_digits(v)), F.lit("card")))
         .when(whole(r"[0-9A-Fa-f]{16,}"), F.lit("token"))
     )
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _piece(kind: Column, original: Column) -> Column:
+    return F.struct(kind.cast("string").alias("kind"), original.alias("original"))
+
+
+def _bare(span: Column) -> Column:
+    return F.regexp_replace(span, "^[ -]", "")
+
+
+def _card_spans(g: Column) -> Column:
+    """Valid cards that don't overlap among the groups ``g``, as (rank, i, n): groups i to i + n - 1, from 0."""
+
+    def rank(span: Column, whole: Column) -> Column:
+        d = _only_digits(span)
+        form = (
+            F.when(span.rlike(r"^\d+$"), 0)
+            .when(span.rlike(GROUPED), 1)
+            .when(whole, 2)
+            .when(d.rlike(ISSUED), 3)
+            .when(d.rlike(ISSUED_RARE), 4)
+        )
+        return F.when(F.length(d).between(13, 19) & form.isNotNull(), F.when(luhn_valid(d), form))
+
+    def at(i: Column) -> Column:
+        upto = lambda n: _bare(F.array_join(F.slice(g, i + 1, n), ""))
+        one = lambda n: F.struct(rank(upto(n), n == F.size(g)).alias("rank"), i.alias("i"), n.alias("n"))
+        return F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(g) - i)), one)
+
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size(g) - 1), at))
+    valid = F.array_sort(F.filter(spans, lambda s: s["rank"].isNotNull()))
+    none = F.array().cast("array<struct<rank:int,i:int,n:int>>")
+    taken = lambda chosen, s: F.exists(chosen, lambda c: (s["i"] < c["i"] + c["n"]) & (c["i"] < s["i"] + s["n"]))
+    return F.aggregate(valid, none, lambda chosen, s: F.when(taken(chosen, s), chosen).otherwise(F.concat(chosen, F.array(s))))
+
+
+def _remainder(v: Column) -> Column:
+    """Pieces of ``v``, each 13 to 19 digits tested once from left to right."""
+    gaps, found = F.split(v, CARD, -1), F.regexp_extract_all(v, F.lit(CARD), F.lit(0))
+    card = lambda x: _piece(F.when(luhn_valid(_only_digits(x)), F.lit("card")), x)
+    both = lambda gap, x: F.when(x.isNull(), F.array(_piece(F.lit(None), gap))).otherwise(F.array(_piece(F.lit(None), gap), card(x)))
+    return F.flatten(F.zip_with(gaps, found, both))
+
+
+def cards(run: Column) -> Column:
+    """A run of digits cut into (kind, original): cards, and what lies between them without a kind."""
+    groups = F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0))
+
+    def cut(g: Column, chosen: Column) -> Column:
+        text = lambda i, n: F.array_join(F.slice(g, i + 1, n), "")
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,original:string>>").alias("out"))
+
+        def turn(s: Column, c: Column) -> Column:
+            span = text(c["i"], c["n"])
+            ahead = F.concat(text(s["at"], c["i"] - s["at"]), F.regexp_extract(span, "^[ -]?", 0))
+            return F.struct((c["i"] + c["n"]).alias("at"), F.concat(s["out"], F.array(_piece(F.lit(None), ahead), _piece(F.lit("card"), _bare(span)))).alias("out"))
+
+        rest = lambda s: F.concat(s["out"], F.array(_piece(F.lit(None), text(s["at"], F.size(g) - s["at"]))))
+        by_place = F.array_sort(F.transform(chosen, lambda c: F.struct(c["i"].alias("i"), c["n"].alias("n"))))
+        return F.aggregate(by_place, start, turn, rest)
+
+    pieces = _let(groups, lambda g: cut(g, _card_spans(g)))
+    return F.flatten(F.transform(pieces, lambda x: F.when(x["kind"].isNull(), _remainder(x["original"])).otherwise(F.array(x))))
+
+
+def parts(v: Column) -> Column:
+    """A match of ``ANY`` as an array of (kind, original); only a run of digits has more than one."""
+    kind = classify(v)
+    run = v.rlike(r"^\d[\d -]*$") & ~v.rlike(rf"^(?:{DATE}|{SSN}|\d{{20,}})$")
+    return F.when(run, cards(v)).otherwise(F.array(_piece(kind, v)))
+
+
 def pseudonym(kind: Column, v: Column, key: str) -> Column:
     """The pseudonym of a value of ``kind``; values of no kind stay."""
     capital = v.rlike("[A-F]") & ~v.rlike("[a-f]")
@@ -221,13 +308,13 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     found = df.withColumn("_found", F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))))
     hit = F.size(F.coalesce("_found", F.array().cast("array<string>"))) > 0
-    found = found.withColumn("_kinds", F.when(hit, F.transform("_found", lambda v: F.struct(classify(v).alias("kind"), v.alias("original")))))
+    found = found.withColumn("_kinds", F.when(hit, F.transform("_found", parts)))
     named = lambda x: F.struct(x["kind"].alias("kind"), x["original"].alias("original"), pseudonym(x["kind"], x["original"], key).alias("pseudonym"))
-    found = found.withColumn("_named", F.when(hit, F.transform("_kinds", named)))
+    found = found.withColumn("_named", F.when(hit, F.transform("_kinds", lambda xs: F.transform(xs, named))))
     gaps = F.split(F.col(text), ANY, -1)
-    joined = F.concat(F.array_join(F.zip_with(gaps, "_named", lambda g, x: F.concat(g, F.coalesce(x["pseudonym"], F.lit("")))), ""))
+    joined = F.concat(F.array_join(F.zip_with(gaps, "_named", lambda g, xs: F.concat(g, F.coalesce(F.array_join(xs["pseudonym"], ""), F.lit("")))), ""))
     out = found.withColumn("_new", F.when(hit, joined).otherwise(F.col(text)))
-    valid = F.filter(F.coalesce("_named", F.array().cast("array<struct<kind:string,original:string,pseudonym:string>>")), lambda x: x["kind"].isNotNull())
+    valid = F.filter(F.coalesce(F.flatten("_named"), F.array().cast("array<struct<kind:string,original:string,pseudonym:string>>")), lambda x: x["kind"].isNotNull())
     return out.withColumn("pii", valid).withColumn(text, F.col("_new")).drop("_found", "_kinds", "_named", "_new")
 
 

@@ -109,6 +109,34 @@ def test_pii(spark, docs, none):
     assert pii.pseudonymise_documents(none, "key").count() == 0
 
 
+def test_pii_neighbours(spark):
+    rows = [
+        ("4111111111111111 5 items", ["4111111111111111"]),
+        ("4111-1111-1111-1111 123", ["4111-1111-1111-1111"]),
+        ("5500000000000004 078-05-1120", ["5500000000000004", "078-05-1120"]),
+        ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]),
+        ("12 4111111111111111", ["4111111111111111"]),
+        ("5500000000000004 10.1.2.3", ["5500000000000004", "10.1.2.3"]),
+        ("5500000000000004-10.1.2.3", ["5500000000000004", "10.1.2.3"]),
+        ("7 3400 000000 00009 2001-02-03 8", ["3400 000000 00009", "2001-02-03"]),
+        ("078-05-1120 4111111111111111", ["078-05-1120", "4111111111111111"]),
+        ("4111111111111111 5a@b.co", ["4111111111111111", "5a@b.co"]),
+        ("4111 1111 1111 1111 5500 0000 0000 0004-1", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+        ("9 41 11 11 11 11 11 11 11 3", ["41 11 11 11 11 11 11 11"]),
+        ("1.5 4111111111111111.25", ["4111111111111111"]),
+        ("4111111111111112 5 items", []),
+        ("1 " * 3000 + "4111111111111111", ["4111111111111111"]),
+        ('token = "1234567890123abcdef" 12345678901234567890 4111111111111111', ["1234567890123abcdef", "4111111111111111"]),
+    ]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "text string, want array<string>").withColumn("old", F.col("text")), "key").collect()
+    for r in got:
+        assert [x.original for x in r.pii] == r.want, r.old[-60:]
+        new = r.old
+        for x in r.pii:
+            new = new.replace(x.original, x.pseudonym)
+        assert r.text == new
+
+
 def test_permutations_are_bijections(spark):
     pairs = spark.range(12 * 7).select(pii.permute_pair("k", "t", F.floor(F.col("id") / 7), F.col("id") % 7, 12, 7).alias("p")).select("p.l", "p.r").collect()
     assert {(r.l, r.r) for r in pairs} == {(a, b) for a in range(12) for b in range(7)}
