@@ -11,13 +11,15 @@ kind        recognised when                permuted
 card        13-19 digits, Luhn valid       digits between the first and the check digit;
                                            the check digit is computed anew
 phone       +1 (ddd) ddd-dddd and the      all digits after the country code
-            like
+            like; + and 8-15 digits; ddd-ddd-dddd
 ssn         ddd-dd-dddd, valid ranges      area, group and serial within valid ranges
 ip          four numbers of 0-255          all 32 bits
-date        yyyy-mm-dd, a real day in      the day in that range
-            1900-01-01..2100-01-01
+date        yyyy-mm-dd, yyyy/mm/dd,        the day in that range
+            mm/dd/yyyy, dd.mm.yyyy, a real
+            day in 1900-01-01..2100-01-01
 email       name@domain                    letters and digits of the name by class
-token       hex secret after "token = "    all hex digits
+token       hex secret after the name of   all hex digits
+            one and = or :
 ==========  =============================  ============================================
 
 Strings use a Feistel network of ``ROUNDS`` rounds on two halves whose characters move
@@ -42,6 +44,7 @@ named like an output column are replaced.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -51,18 +54,27 @@ from catalith.llm.names import sheltered
 
 ROUNDS = 8
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])"
-PHONE = r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)"
+PHONE_US = r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+PHONE_ABROAD = r"(?<![\w+])\+(?=[2-9](?:[ .()-]{0,2}\d){7,14}(?!\d))\d{1,15}+(?:[ .-]?(?:\(\d{1,4}\)|\d{1,12}+))*+(?!\d)"
+PHONE_LOCAL = r"(?<![\w+.-])(?:\(\d{3}\) ?\d{3}[ .-]|\d{3}(?:-\d{3}-|\.\d{3}\.| \d{3}-))\d{4}(?![\d-]|\.\d)"
+#: Three groups of digits between spaces are a phone only where no other number stands beside them.
+PHONE_SPACED = r"(?<![\w+.-])(?<!\d )\d{3} \d{3} \d{4}(?![ .-]?\d)"
+PHONE = f"{PHONE_US}|{PHONE_ABROAD}|{PHONE_LOCAL}|{PHONE_SPACED}"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
-DATE = r"(?<![\d-])(?:19|20|21)\d\d-\d\d-\d\d(?![\d-])"
+DATE = (
+    r"(?<![\d-])(?:19|20|21)\d\d-\d\d-\d\d(?![\d-])|(?<![\d/])(?:19|20|21)\d\d/\d\d/\d\d(?![\d/])"
+    r"|(?<![\d/])\d{1,2}/\d{1,2}/(?:19|20|21)\d\d(?![\d/])|(?<![\d.])\d{1,2}\.\d{1,2}\.(?:19|20|21)\d\d(?!\d|\.\d)"
+)
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-TOKEN = r"""(?i)(?<=token = ")[0-9a-f]{16,}(?=")"""
+SECRET = "token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key|secret[ _-]?key|private[ _-]?key"
+TOKEN = rf"""(?i)(?<![0-9a-z])(?=[0-9a-f]{{16}})(?<=(?:{SECRET})["']?\s{{0,3}}[=:]\s{{0,3}}["']?)[0-9a-f]{{16,}}+(?![0-9a-z])"""
 #: Groups of digits side by side, 13 digits at least unless another value ends them earlier.
-RUN = rf"(?<![\d.])(?=\d(?:[ -]?\d){{12}})\d{{1,19}}+(?!\d)(?:(?: (?!{EMAIL}|{DATE}|{SSN})|-)(?!{IP})\d{{1,19}}+(?!\d))*+"
+RUN = rf"(?<![\d.])(?=\d(?:[ -]?\d){{12}})\d{{1,19}}+(?!\d)(?:(?: (?!{EMAIL}|{PHONE_LOCAL}|{DATE}|{SSN})|-)(?!{IP})\d{{1,19}}+(?!\d))*+"
 #: First match wins from left to right; at one place the first alternative does.
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, PHONE, DATE, SSN, IP, TOKEN, RUN))
 #: A cheap test that holds wherever ``ANY`` can match.
-HINT = r"@|\d\d\d|\d\.\d{1,3}\.\d|\d[ -]\d|(?i:token = )"
+HINT = r"@|\d\d\d|\d\.\d{1,3}\.\d|\d[ -]\d|\d[./]\d|(?i:token|secret|passw|key)"
 #: Groupings that cards are printed in, and numbers that an issuer could give: of 14 to 16 digits, of others.
 GROUPED = r"^(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
 ISSUED = r"^(?:(?:4|5[1-5]|2[2-7]|35|6)(?=\d{14,15}$)\d*(?<=^\d{16})|3[47]\d{13}|3[0689]\d{12})$"
@@ -72,6 +84,25 @@ KINDS = ["email", "phone", "date", "ssn", "ip", "card", "token"]
 #: Character classes as (first code point, size): digits, small, capital, Latin-1 small and capital letters.
 CLASSES = [(48, 10), (97, 26), (65, 26), (0xE0, 23), (0xC0, 23)]
 HEX = "0123456789abcdef"
+
+
+def _letter_runs() -> list[tuple[int, int]]:
+    """Runs of neighbouring letters and numerals outside ``CLASSES``, as (first code point, size)."""
+    known = {c for first, size in CLASSES for c in range(first, first + size)}
+    runs: list[tuple[int, int]] = []
+    for c in range(128, 0x32400):
+        if unicodedata.category(chr(c))[0] in "LN" and c not in known:
+            if runs and sum(runs[-1]) == c:
+                runs[-1] = (runs[-1][0], runs[-1][1] + 1)
+            else:
+                runs.append((c, 1))
+    return runs
+
+
+#: ``_letter_runs`` as two lists of numbers; Spark folds them to literals.
+RUN_FIRST, RUN_SIZE = (",".join(map(str, x)) for x in zip(*_letter_runs(), strict=True))
+#: Country codes of one and two digits; the others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 DAYS, DAY_LEFT, DAY_RIGHT = 73050, 150, 487
 EPOCH = "1900-01-01"
 
@@ -99,12 +130,22 @@ def _shift_class(ch: Column, by: Column, hexed: bool) -> Column:
         moved = F.substring(F.lit(HEX), ((place + by) % 16 + 1).cast("int"), F.lit(1))
         return F.when(ch.rlike("[A-F]") | ch.rlike("[a-f0-9]"), moved).otherwise(ch)
     code = F.ascii(ch)
-    out = ch
+    out = F.when(code >= 128, _shift_letter(ch, by)).otherwise(ch)
     for first, size in reversed(CLASSES):
         out = F.when((code >= first) & (code < first + size), _char((code - first + by) % size + first)).otherwise(out)
     return out
 
 
+def _shift_letter(ch: Column, by: Column) -> Column:
+    """A letter of ``_letter_runs`` moved within its run; any other character stays."""
+    code = F.conv(F.hex(F.encode(ch, "UTF-32")), 16, 10).cast("int")
+    numbers = lambda x: F.split(F.lit(x), ",").cast("array<int>")
+    runs = F.arrays_zip(numbers(RUN_FIRST).alias("first"), numbers(RUN_SIZE).alias("size"))
+    own = F.get(F.filter(runs, lambda r: (r["first"] <= code) & (code < r["first"] + r["size"])), F.lit(0))
+    moved = F.decode(F.unhex(F.lpad(F.hex(((code - own["first"] + by) % own["size"] + own["first"]).cast("long")), 8, "0")), "UTF-32")
+    return F.coalesce(moved, ch)
+
+
 def _char(code: Column) -> Column:
     # chr() reaches 255, which covers the classes above
     return F.char(code.cast("long"))
@@ -161,7 +202,8 @@ def _card(key: str, v: Column) -> Column:
 
 def _phone(key: str, v: Column) -> Column:
     d = _only_digits(v)
-    return _refill(v, F.concat(F.substring(d, 1, 1), permute_string(key, "phone", F.substring(d, F.lit(2), F.length(d)))))
+    fixed = F.when(v.startswith("+"), F.length(F.regexp_extract(d, COUNTRY, 0))).otherwise(0)
+    return _refill(v, F.concat(F.substring(d, F.lit(1), fixed), permute_string(key, "phone", F.substring(d, fixed + 1, F.length(d)))))
 
 
 def _ip(key: str, v: Column) -> Column:
@@ -182,10 +224,26 @@ def _ssn(key: str, v: Column) -> Column:
     return F.format_string("%03d-%02d-%04d", new, p["l"] % 99 + 1, p["r"] + 1)
 
 
+def _day(v: Column) -> Column:
+    """Days from ``EPOCH`` to a match of ``DATE``; null if there is no such day."""
+    part = F.split(v, "[./-]")
+    two = lambda i: F.lpad(F.get(part, F.lit(i)), 2, "0")
+    iso = F.when(v.rlike(r"^\d{4}"), F.translate(v, "/", "-")).when(v.contains("."), F.concat_ws("-", F.get(part, F.lit(2)), two(1), two(0)))
+    iso = iso.otherwise(F.concat_ws("-", F.get(part, F.lit(2)), two(0), two(1)))
+    return F.datediff(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"), F.lit(EPOCH).cast("date"))
+
+
 def _date(key: str, v: Column) -> Column:
-    n = F.datediff(F.try_to_timestamp(v, F.lit("yyyy-MM-dd")).cast("date"), F.lit(EPOCH).cast("date"))
+    n = _day(v)
     p = permute_pair(key, "date", F.floor(n / DAY_RIGHT), n % DAY_RIGHT, DAY_LEFT, DAY_RIGHT)
-    return F.date_format(F.date_add(F.lit(EPOCH).cast("date"), (p["l"] * DAY_RIGHT + p["r"]).cast("int")), "yyyy-MM-dd")
+    day = F.date_add(F.lit(EPOCH).cast("date"), (p["l"] * DAY_RIGHT + p["r"]).cast("int"))
+    short = v.rlike(r"(?:^|[./])\d[./]")
+    return (
+        F.when(v.contains("-"), F.date_format(day, "yyyy-MM-dd"))
+        .when(v.rlike(r"^\d{4}"), F.date_format(day, "yyyy/MM/dd"))
+        .when(v.contains("."), F.when(short, F.date_format(day, "d.M.yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy")))
+        .otherwise(F.when(short, F.date_format(day, "M/d/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy")))
+    )
 
 
 def _email(key: str, v: Column) -> Column:
@@ -196,13 +254,11 @@ def classify(v: Column) -> Column:
     """The kind of a match of ``ANY`` that is valid in its format; null if it isn't."""
     octets = F.split(v, r"\.")
     whole = lambda p: v.rlike(f"^(?:{p})$")
-    day = F.try_to_timestamp(v, F.lit("yyyy-MM-dd")).cast("date")
-    n = F.datediff(day, F.lit(EPOCH).cast("date"))
     area = F.substring(v, 1, 3)
     return (
         F.when(v.contains("@"), F.lit("email"))
-        .when(v.startswith("+"), F.lit("phone"))
-        .when(whole(r"\d{4}-\d\d-\d\d"), F.when(n.between(0, DAYS - 1), F.lit("date")))
+        .when(v.startswith("+") | whole(f"{PHONE_LOCAL}|{PHONE_SPACED}"), F.lit("phone"))
+        .when(whole(DATE), F.when(_day(v).between(0, DAYS - 1), F.lit("date")))
         .when(whole(r"\d{3}-\d{2}-\d{4}"), F.when(~area.isin("000", "666") & (area < "900") & (F.substring(v, 5, 2) != "00") & (F.substring(v, 8, 4) != "0000"), F.lit("ssn")))
         .when(whole(r"(?:\d{1,3}\.){3}\d{1,3}"), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), F.lit("ip")))
         .when(whole(r"[0-9A-Fa-f]{16,}"), F.lit("token"))
@@ -280,7 +336,7 @@ def cards(run: Column) -> Column:
 def parts(v: Column) -> Column:
     """A match of ``ANY`` as an array of (kind, original); only a run of digits has more than one."""
     kind = classify(v)
-    run = v.rlike(r"^\d[\d -]*$") & ~v.rlike(rf"^(?:{DATE}|{SSN}|\d{{20,}})$")
+    run = v.rlike(r"^\d[\d -]*$") & ~v.rlike(rf"^(?:{DATE}|{SSN}|{PHONE_LOCAL}|{PHONE_SPACED}|\d{{20,}})$")
     return F.when(run, cards(v)).otherwise(F.array(_piece(kind, v)))
 
 

@@ -137,6 +137,36 @@ def test_pii_neighbours(spark):
         assert r.text == new
 
 
+def test_pii_other_formats(spark):
+    kinds = {
+        "phone": ["415-555-2671", "(415) 555-2671", "415.555.2671", "415 555 2671", "+44 20 7946 0958", "+493012345678", "+7 (495) 123-45-67", "+14155552671"],
+        "date": ["2001/02/03", "12/31/1999", "1/5/2020", "31.12.1999", "5.1.2020"],
+        "token": ["deadbeefdeadbeef", "00FFAB12CD34EF56AA"],
+        "email": ["иван@mail.com", "Ωμέγα.7@mail.com", "山田太郎@mail.com", "østerløkke@mail.com", "Łukasz@mail.com"],
+    }
+    shapes = {"token": ["api_key: '{}'", "SECRET={}"]}
+    plain = ["x 31/12/1999", "x 31.02.1999", "x 13/13/2000", "x 1.2.3", "sha deadbeefdeadbeef", "x 1 415 555 2671 9"]
+    rows = [(f.format(v), k, v) for k, vs in kinds.items() for v in vs for f in shapes.get(k, ["x {}, y", "5500000000000004 {}"])] + [(t, None, None) for t in plain]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "text string, kind string, value string").withColumn("old", F.col("text")), "key").collect()
+    for r in got:
+        hits = [x for x in r.pii if x.kind != "card"]
+        if r.kind is None:
+            assert hits == [] and r.text == r.old
+            continue
+        if r.value == "415 555 2671" and r.old.startswith("5500"):
+            continue  # beside other numbers this is no phone
+        (hit,) = hits
+        assert (hit.kind, hit.original) == (r.kind, r.value) and hit.pseudonym != r.value, r.old
+        assert r.value not in r.text and hit.pseudonym in r.text
+        if r.kind == "email":
+            assert not set(r.value.split("@")[0]) <= set(hit.pseudonym.split("@")[0])
+    again = pii.pseudonymise(spark.createDataFrame([(r.text,) for r in got if r.kind], "text string"), "key").collect()
+    assert Counter(x.kind for r in again for x in r.pii) == Counter(x.kind for r in got for x in r.pii if r.kind)
+    names = [f"{chr(0x430 + i % 32)}{chr(0x4E00 + i)}@b.co" for i in range(300)]
+    done = spark.createDataFrame([(n,) for n in names], "s string").select(pii._email("k", F.col("s"))).collect()
+    assert len({r[0] for r in done}) == len(names)
+
+
 def test_permutations_are_bijections(spark):
     pairs = spark.range(12 * 7).select(pii.permute_pair("k", "t", F.floor(F.col("id") / 7), F.col("id") % 7, 12, 7).alias("p")).select("p.l", "p.r").collect()
     assert {(r.l, r.r) for r in pairs} == {(a, b) for a in range(12) for b in range(7)}
