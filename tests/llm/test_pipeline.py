@@ -88,3 +88,10 @@ def test_oracles(spark, name):
     plain = lambda row: tuple(round(v, 9) if isinstance(v, float) else v for v in row)
     got = sorted((plain(r) for r in df.select(*columns).collect()), key=repr)
     assert got == sorted((plain(r) for r in con.sql(f"SELECT {', '.join(columns)} FROM ({llm.oracle_sql()[name]})").fetchall()), key=repr)
+
+
+def test_bench_times_every_llm_query_and_the_pipeline():
+    import bench
+    from catalith.llm import queries
+
+    assert {*queries.QUERIES, "pipeline"} <= set(bench.HEADLINE)
