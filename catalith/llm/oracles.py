@@ -149,6 +149,17 @@ SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.c, vec_id) AS com
 FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 """
 
+OP9_ABLATION = f"""
+WITH m AS (
+  SELECT fail_mask::BIGINT AS f FROM ({OP9.strip()}) AS ledger
+), r AS (
+  SELECT unnest(['few_words', 'repeated_windows', 'symbols', 'duplicate_lines', 'word_length', 'shouting']) AS rule, unnest([1, 2, 4, 8, 16, 32])::BIGINT AS bit
+)
+SELECT rule, count(*) FILTER (f & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (f & 63 = bit)::BIGINT AS n_only_this,
+       count(*) FILTER (f & (63 - bit) = 0)::BIGINT AS n_kept_without
+FROM m CROSS JOIN r GROUP BY rule
+"""
+
 ORACLES: dict[str, str] = {
     "op2_warc_transactions": OP2,
     "op4_poisson_mixing": OP4,
@@ -156,4 +167,5 @@ ORACLES: dict[str, str] = {
     "op7_chat_windows": OP7,
     "op8_embedding_near_dedup": OP8,
     "op9_quality_ledger": OP9,
+    "op9_quality_rule_ablation": OP9_ABLATION,
 }

@@ -106,6 +106,11 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, alone and with others, over the ledger of all documents."""
+    return quality.ablation(quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")), "v1")
+
+
 def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by context-tree weighting learned from six of seven folds."""
     return ctw.score_documents(_table(spark, sf_dir, "documents"))
@@ -113,7 +118,7 @@ def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_pseudonyms, op2_warc_transactions, op3_token_counts, op4_poisson_mixing, op5_ngram_jaccard_join, op6_best_fit_packing, op7_chat_windows, op8_embedding_near_dedup, op9_quality_ledger, op10_context_tree_weighting)
+    for f in (op1_pii_pseudonyms, op2_warc_transactions, op3_token_counts, op4_poisson_mixing, op5_ngram_jaccard_join, op6_best_fit_packing, op7_chat_windows, op8_embedding_near_dedup, op9_quality_ledger, op10_context_tree_weighting, op9_quality_rule_ablation)
 }
 
 
