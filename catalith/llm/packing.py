@@ -4,22 +4,29 @@ Only the histogram of piece lengths reaches the driver (at most ``capacity`` row
 whatever the input).  A configuration is a multiset of lengths that fits one sequence;
 the linear program asks for the fewest configurations that cover the histogram.
 Multiplicative weights keep a price per length, a knapsack dynamic program prices
-configurations, and the fractional solution is rounded down; what is left over is packed
-by best-fit decreasing on the histogram.  The plan is a list of (configuration, how often),
-whose size depends on ``capacity`` and ``rounds`` alone, so it is broadcast.
+configurations, and half of the fractional solution is rounded down; the program is then
+solved again for what is left, and so on.  Where rounding ends (few pieces, or few of each
+length) whole sequences are priced at the program's last prices, by a knapsack bounded by
+what is left.  No other packing takes part.  ``solve`` also gives the dual bound.  The plan
+is a list of (configuration, how often), whose size depends on ``capacity`` and the
+parameters alone, so it is broadcast.
 
 Pieces find their place by rank among the pieces of equal length.  Ranks come from a
 count per (task, length) and a prefix sum over tasks: no task ever sees all pieces of one
 length, however many there are.
 
 Defined results: null text is the empty text, a document of the end id alone; repeated
-rows are packed as often as they occur; an empty table gives no pieces.
+rows are packed as often as they occur; null ids are ids like others; texts of any length
+are cut into pieces, none is dropped; other columns of the table, whatever their names, are
+not read; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +38,17 @@ from catalith.llm.tokens import one_task, word_ids
 from catalith.plans.storage import write_table
 
 Plan = list[tuple[dict[int, int], int]]
+#: What long pieces are worth more for their length than short ones, at the most.
+LEAN = 0.05
+#: Part of a fractional solution that is rounded before the program is solved again.
+SHARE = 0.5
+#: How far below 1 a configuration that is used may be worth at the prices.
+SLACK = 0.01
 
 
 def cut_pieces(df: DataFrame, id_col: str, text: str, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
     """Tokenized pieces: id, piece, start, length, ids_crc32, task and rank among the task's equal lengths."""
-    source = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    source = df.select(F.col(id_col).alias("_id"), F.col(text).cast("binary").alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long"
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -47,7 +60,7 @@ def cut_pieces(df: DataFrame, id_col: str, text: str, tokenizer_path: str, capac
             for b in batches:
                 rows: list[tuple[int, int, int, int, int]] = []
                 at: list[int] = []
-                for i, ids in enumerate(encoder.encode(t or "" for t in b.column("_text").to_pylist())):
+                for i, ids in enumerate(encoder.encode(t.as_py() or b"" for t in b.column("_text"))):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                         part = ids[4 * start : 4 * (start + capacity)]
@@ -84,67 +97,126 @@ def _trace(value: np.ndarray, best: np.ndarray, c: int, config: dict[int, int])
     return config
 
 
-def fractional(counts: np.ndarray, rounds: int, per_round: int, eps: float) -> list[tuple[dict[int, int], float]]:
-    """Multiplicative weights on the covering program: configurations and how often, as fractions."""
-    capacity, used = len(counts) - 1, counts > 0
+def fractional(counts: np.ndarray, rounds: int, per_round: int, eps: float) -> tuple[list[tuple[dict[int, int], float]], np.ndarray, float]:
+    """Multiplicative weights on the covering program.
+
+    Returns configurations and how often (as fractions), the best prices met, scaled so
+    that no configuration is worth more than 1, and what all pieces are worth at them: by
+    duality a lower bound on the number of sequences.
+    """
+    sizes, used = np.arange(len(counts)), counts > 0
+    capacity = len(counts) - 1
     n = np.where(used, counts, 1).astype(float)
-    weight = used.astype(float)
+    weight = np.where(used, n * sizes * (1 + LEAN * sizes / capacity), 0.0)  # first price: the share of a sequence, a little more for long pieces
     found: dict[tuple[tuple[int, int], ...], float] = {}
+    price, bound = sizes / capacity, float((counts * sizes).sum() / capacity)
     for _ in range(rounds):
         value = np.where(used, weight / n, -np.inf)
         best = _knapsack(value, capacity)
-        for length in np.argsort(-weight, kind="stable")[:per_round].tolist():
-            if not used[length] or value[length] + best[capacity - length] < (1 - eps) * best[capacity]:
+        if (worth := float(weight.sum() / best[capacity])) > bound:
+            price, bound = np.where(used, value / best[capacity], 0.0), worth
+        dear = np.argsort(-weight, kind="stable")[:per_round].tolist()
+        for length in [0, *dear]:  # 0: the best configuration of all; then the best with each of the dearest lengths
+            if length and (not used[length] or value[length] + best[capacity - length] < (1 - eps) * best[capacity]):
                 continue
-            config = _trace(value, best, capacity - length, {length: 1})
+            config = _trace(value, best, capacity - length, {length: 1} if length else {})
             step = min(n[k] / a for k, a in config.items())
             for k, a in config.items():
                 weight[k] *= (1 - eps) ** (a * step / n[k])
             key = tuple(sorted(config.items()))
             found[key] = found.get(key, 0.0) + step
         weight /= weight.max()
-    return [(dict(k), x) for k, x in found.items()]
+    return [(dict(k), x) for k, x in found.items()], price, bound
 
 
-def best_fit(left: np.ndarray) -> Plan:
-    """Best-fit decreasing on a histogram, a configuration at a time; empties ``left``."""
-    plan: Plan = []
+def round_down(parts: list[tuple[dict[int, int], float]], price: np.ndarray, left: np.ndarray, plan: Plan) -> int:
+    """Whole parts of ``SHARE`` of the fractional solution, as far as ``left`` lasts; sequences placed.
+
+    Only configurations that are worth (nearly) 1 at the prices are used: by complementary
+    slackness others have no place in an optimal solution.
+    """
+    volume = sum(x * sum(k * a for k, a in c.items()) for c, x in parts)
+    scale = SHARE * float((left * np.arange(len(left))).sum()) / volume if volume else 0.0
+    placed = 0
+    for config, x in sorted(parts, key=lambda p: (-p[1], sorted(p[0].items()))):
+        if sum(price[k] * a for k, a in config.items()) < 1 - SLACK:
+            continue
+        times = min(int(x * scale), *(int(left[k]) // a for k, a in config.items()))
+        if times > 0:
+            for k, a in config.items():
+                left[k] -= a * times
+            plan.append((config, times))
+            placed += times
+    return placed
+
+
+def bounded_knapsack(left: np.ndarray, price: np.ndarray, room: int) -> dict[int, int]:
+    """The most valuable configuration of at most ``room`` that ``left`` still holds; fuller ones win ties."""
+    best, takes = np.zeros(room + 1), []
+    for length in np.flatnonzero(left[: room + 1])[::-1].tolist():
+        value = price[length] + length * 1e-9
+        if value <= 0:
+            continue
+        for _ in range(min(int(left[length]), room // length)):
+            more = best[:-length] + value
+            better = more > best[length:]
+            if not better.any():
+                break
+            best[length:][better] = more[better]
+            takes.append((length, better))
+    config: dict[int, int] = {}
+    for length, better in reversed(takes):
+        if room >= length and better[room - length]:
+            config[length] = config.get(length, 0) + 1
+            room -= length
+    return config
+
+
+def price_rest(left: np.ndarray, price: np.ndarray, plan: Plan) -> None:
+    """Column generation on whole sequences: the longest piece left, and the most valuable filling for it."""
     capacity = len(left) - 1
+    value = price * (1 + LEAN * np.arange(capacity + 1) / capacity)  # of equal fillings that of the longer pieces: short ones fit anywhere later
     while left.any():
-        room, config, top = capacity, {}, capacity
-        while room > 0 and (fits := np.flatnonzero(left[1 : min(room, top) + 1])).size:
-            length = 1 + int(fits[-1])
-            config[length] = min(room // length, int(left[length]))
-            room -= length * config[length]
-            top = length - 1
+        longest = int(np.flatnonzero(left)[-1])
+        left[longest] -= 1
+        config = bounded_knapsack(left, value, capacity - longest)
+        left[longest] += 1
+        config[longest] = config.get(longest, 0) + 1
         times = min(int(left[k]) // a for k, a in config.items())
         for k, a in config.items():
             left[k] -= a * times
         plan.append((config, times))
-    return plan
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int, rounds: int = 160, per_round: int = 24, eps: float = 0.1) -> Plan:
-    """Configurations and how often each is used; every piece of the histogram has exactly one slot."""
-    counts = np.zeros(capacity + 1, dtype=np.int64)
+class Solution(NamedTuple):
+    plan: Plan
+    #: No plan needs fewer sequences (duality).
+    bound: int
+    #: Sequences that come from rounding the fractional solutions; the others were priced one by one.
+    rounded: int
+
+
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 48, per_round: int = 100, eps: float = 0.1) -> Solution:
+    """Configurations and how often each is used: every piece of the histogram has exactly one slot.
+
+    The program is solved, a share of its solution is rounded down, and the program is
+    solved again for what is left, as long as that places at least a twentieth of it; the
+    rest is priced a sequence at a time.
+    """
+    left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
-        counts[length] = n
-    plain = best_fit(counts.copy())
-    least = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
-    if sum(t for _, t in plain) <= least:
-        return plain  # it meets the volume bound; no program can do better
-    parts = fractional(counts, rounds, per_round, eps)
-    volume = sum(x * sum(k * a for k, a in c.items()) for c, x in parts)
-    scale = float((counts * np.arange(capacity + 1)).sum()) / volume if volume else 0.0
-    left, plan = counts.copy(), []
-    for config, x in sorted(parts, key=lambda p: (-sum(k * a for k, a in p[0].items()), sorted(p[0].items()))):
-        times = min(int(x * scale), *(int(left[k]) // a for k, a in config.items()))
-        if times > 0:
-            for k, a in config.items():
-                left[k] -= a * times
-            plan.append((config, times))
-    plan += best_fit(left)
-    return min(plan, plain, key=lambda p: sum(t for _, t in p))
+        left[length] = n
+    plan: Plan = []
+    price, bound, rounded = np.arange(capacity + 1) / capacity, 0.0, 0
+    while left.any():
+        parts, price, least = fractional(left, rounds, per_round, eps)
+        bound = bound or least
+        placed = round_down(parts, price, left, plan)
+        rounded += placed
+        if placed < least / 20:
+            break
+    price_rest(left, price, plan)
+    return Solution(plan, math.ceil(bound - 1e-6), rounded)
 
 
 def slots(plan: Plan) -> dict[str, np.ndarray]:
@@ -170,7 +242,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str =
     pieces = write_table(cut_pieces(df, id_col, text, tokenizer_path, capacity, end_id), "pieces")
     per_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = slots(plan_sequences(histogram, capacity))
+    table = slots(solve(histogram, capacity).plan)
 
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))

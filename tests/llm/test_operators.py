@@ -12,9 +12,10 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
-from catalith.llm import chat, ctw, embeddings, graph, jaccard, mixing, packing, pii, quality, tokens, warc
+from catalith.llm import chat, ctw, embeddings, graph, jaccard, mixing, packing, pii, quality, queries, tokens, warc
 from catalith.plans.storage import table_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -220,12 +221,50 @@ def test_token_counts(docs, none):
     assert tokens.token_counts(none, ["doc_id"], "text", path).count() == 0
 
 
-def test_small_tables_give_the_same(monkeypatch):
+def test_small_tables_give_the_same(docs, monkeypatch):
     monkeypatch.setattr(tokens, "MAX_TABLE", 10)
     all_texts = [t or "" for _, t, *_ in texts() if len(t or "") < 5000]
-    pieces, words = tokens.PieceCounts(public_tokenizers.path("piece_bpe_32k.model")), tokens.WordIds(public_tokenizers.path("word_bpe_49k.json"))
-    assert list(pieces.count(all_texts)) == [len(pieces.sp.encode(t)) for t in all_texts]
-    assert list(words.encode(all_texts)) == [np.array(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch(all_texts, add_special_tokens=False)]
+    words = tokens.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    assert list(words.encode(t.encode() for t in all_texts)) == [np.array(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch(all_texts, add_special_tokens=False)]
+
+
+HOSTILE = [
+    "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|>", "'small 's 't''s ''s (foo)! \"bar's\" it's, Don'T I'LL", "\x01 a\x01b", "e\u0301 \u0301x \u2260 a\u2260 =\u0338",
+    "ΑΣ ΣΑΣ. İstanbul ǅ ﬁ", "１２ ²³ Ⅷ x² ㆒", "a\u00a0b c\x1cd\x1ce\x85f", "中文。，好! ไทย ำ हिन्दी", "한글 한ㅏ", "😀👍🏽.. ok…. …x ", "", " \n\t", "foo_bar-baz __init__ $$x%% #1",
+    "a.b.c 3.14, 1,000!", "ß ẞ ÀÉ éÀ.", "\ufeffx \u200by", "x<|", "<|endoftext|", "|>", "'S 'Re 'LL'd", "ñ\u0301 o\u0332", "▁ ▁▁x  y", "  two  gaps  ",
+]
+
+
+def test_hostile_texts_have_the_ids_of_the_library(spark):
+    words = tokens.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(t.encode() for t in HOSTILE)] == [e.ids for e in words.tokenizer.encode_batch(HOSTILE, add_special_tokens=False)]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    df = spark.createDataFrame(list(enumerate(HOSTILE)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in tokens.token_counts(df, ["doc_id"], "text", path).collect()} == {i: len(sp.encode(t)) for i, t in enumerate(HOSTILE)}
+
+
+def test_counts_do_not_depend_on_chunks(docs, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    whole = multiset(tokens.token_counts(docs, ["doc_id", "source"], "text", path).collect())
+    monkeypatch.setattr(tokens, "COUNT_CHARS", 1)
+    assert multiset(tokens.token_counts(docs, ["doc_id", "source"], "text", path).collect()) == whole
+
+
+def test_a_pre_token_is_counted_once(docs, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    kept = {}
+    write = tokens.write_table
+    monkeypatch.setattr(tokens, "write_table", lambda df, name: kept.setdefault(name, write(df, name)))
+    tokens.token_counts(docs, ["doc_id"], "text", path).count()
+    words = [r.pre_token for r in kept["pieces"].collect()]
+    assert len(words) == len(set(words)) and set(words) >= {"quick", "w17x3"}
+
+
+def test_count_query_columns(spark):
+    rows = queries.op3_token_counts(spark, "/root/testdata/sf0.001").collect()
+    size = {r.doc_id: len((r.text or "").encode()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert all(r.n_bytes == size[r.doc_id] and r.over_limit == (r.n_tokens > 4096) for r in rows) and len(rows) == len(size)
 
 
 def test_packing(docs, none):
@@ -250,18 +289,58 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def best_fit(counts):
+    """Sequences that best-fit decreasing needs, a piece at a time."""
+    capacity, rooms = len(counts) - 1, []
+    for length in range(capacity, 0, -1):
+        for _ in range(int(counts[length])):
+            fits = [(r, i) for i, r in enumerate(rooms) if r >= length]
+            if fits:
+                rooms[min(fits)[1]] -= length
+            else:
+                rooms.append(capacity - length)
+    return len(rooms)
+
+
+def solved(h, capacity):
+    found = packing.solve(h, capacity)
+    used = Counter()
+    for config, times in found.plan:
+        assert sum(k * a for k, a in config.items()) <= capacity and times > 0
+        used.update({k: a * times for k, a in config.items()})
+    assert used == Counter(h)
+    return sum(t for _, t in found.plan), found
+
+
 def test_plan_covers_every_histogram():
     rng = np.random.default_rng(0)
     for _ in range(6):
         h = {int(k): int(n) for k, n in zip(rng.integers(1, 101, 12), rng.integers(1, 60, 12), strict=True)}
-        plan = packing.plan_sequences(h, 100, rounds=60, per_round=8)
-        used = Counter()
-        for config, times in plan:
-            assert sum(k * a for k, a in config.items()) <= 100
-            used.update({k: a * times for k, a in config.items()})
-        assert used == Counter(h)
         n = np.bincount(list(h), weights=list(h.values()), minlength=101).astype(int)
-        assert sum(t for _, t in plan) <= sum(t for _, t in packing.best_fit(n))
+        total, found = solved(h, 100)
+        assert found.bound <= total <= best_fit(n) and found.bound >= -(-sum(k * a for k, a in h.items()) // 100)
+    assert packing.solve({}, 100) == ([], 0, 0)
+
+
+@pytest.mark.parametrize(
+    ("h", "capacity", "best"),
+    [({700: 30, 690: 40, 650: 35, 1400: 20, 1000: 15}, 2048, 63), ({6: 2, 5: 2, 4: 2, 3: 4, 2: 4}, 25, 2), (dict(Counter(np.random.default_rng(1).integers(300, 900, 300).tolist())), 2048, None)],
+)
+def test_program_beats_best_fit(h, capacity, best):
+    total, found = solved(h, capacity)
+    n = np.zeros(capacity + 1, dtype=int)
+    n[list(h)] = list(h.values())
+    assert total <= (best or found.bound + 1) and total <= best_fit(n)
+    if capacity == 2048:
+        assert total < best_fit(n)
+
+
+def test_rounding_places_sequences_of_the_small_tables(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.cut_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text", path, 2048, 0)
+    h = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    total, found = solved(h, 2048)
+    assert found.rounded > 0 and found.bound <= total <= found.bound + 1
 
 
 # mixing ------------------------------------------------------------------------------
