@@ -1,18 +1,34 @@
 """Token counts and token ids through distinct pre-tokens.
 
 Both tokenizers used here split a text into pre-tokens that never influence each other,
-so a tokenizer only has to see each distinct pre-token once; everything else is
-dictionary look-ups and sums.  Tables of resolved pre-tokens live as long as a task, hold
-at most ``MAX_TABLE`` entries and are only a memo: emptying one changes no result.
+so a tokenizer only has to see each distinct pre-token once; everything else is look-ups
+and sums.
+
+Counts (``token_counts``) are made in four steps over tables:
+
+1. texts are cut in chunks of about ``COUNT_CHARS``; a chunk gives its distinct pre-tokens,
+   numbered, and one value with its documents' frequencies of these numbers;
+2. the distinct pre-tokens of all chunks are counted, each once, into a table;
+3. that table is joined back to the pre-tokens of the chunks;
+4. a chunk's counts meet its frequencies, and each document is a sum of products.
+
+Texts are read once and never shuffled, no document's ids are made, and a pre-token that
+is in every text has one row a chunk.  A group of the last step is a chunk, so its memory is
+bounded by ``COUNT_CHARS`` or the longest text.
+
+Ids (``WordIds``) come from a table of words that lives as long as a task, holds at most
+``MAX_TABLE`` entries and is only a memo: emptying it changes no result.
 
 Defined results: null text is the empty text; repeated rows give repeated results; texts
-are never cut; an empty table gives an empty result.
+are never cut, however long; a null id is kept; other columns of the table, whatever their
+names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -21,17 +37,22 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalith.plans.storage import write_table
+
 MAX_TABLE = 600_000
 #: Characters of text resolved together, and pre-tokens given to a tokenizer in one call.
 CHUNK_CHARS = 8_000_000
 PER_CALL = 64
+#: Bytes of text whose distinct pre-tokens are gathered together for counting.
+COUNT_CHARS = 32_000_000
 
 
 def chunks[T: (str, bytes)](texts: Iterable[T], limit: int = CHUNK_CHARS) -> Iterator[list[T]]:
-    """Consecutive texts with about ``limit`` characters together."""
+    """Consecutive texts with about ``limit`` characters (or bytes) together."""
     out, size = [], 0
     for t in texts:
         out.append(t)
@@ -44,10 +65,11 @@ def chunks[T: (str, bytes)](texts: Iterable[T], limit: int = CHUNK_CHARS) -> Ite
 
 
 class PieceCounts:
-    """Pieces per text for a SentencePiece BPE model.
+    """Pieces of pre-tokens for a SentencePiece BPE model.
 
     The model writes a space as U+2581, and no piece holds U+2581 after another
-    character (checked here), so cutting before each run of it changes no merge.
+    character (checked here), so cutting before each run of it changes no merge.  A
+    pre-token stands without its first U+2581, which it always has.
     """
 
     SPACE = "▁"
@@ -60,42 +82,30 @@ class PieceCounts:
         if any(self.SPACE in p.lstrip(self.SPACE) for p in pieces):
             raise ValueError("pieces of this model cross spaces; its pre-tokens depend on each other")
         self.starts = np.array([p.startswith(self.SPACE) for p in pieces])
-        self.pre_token = re.compile(f"{self.SPACE}+[^{self.SPACE}]*")
-        self.table: dict[str, int] = {}
+        self.pre_token = re.compile(f"{self.SPACE}({self.SPACE}*[^{self.SPACE}]*)")
 
-    def clear(self) -> None:
-        self.table = {}
+    def pre_tokens(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if self.SPACE not in text and "" not in (words := text.split(" ")):
+            return words
+        return self.pre_token.findall(self.SPACE + text.replace(" ", self.SPACE))
 
     def _one(self, pre_token: str) -> int:
         # encode() puts one U+2581 in front by itself; a lone one is a piece of its own
-        rest = pre_token[1:]
-        return len(self.sp.encode(rest)) if rest else 1
-
-    def _resolve(self, new: list[str], grow: bool = False) -> bool:
-        """Add ``new`` to the table; True if it was emptied before, which ``grow`` prevents."""
-        if full := not grow and len(self.table) + len(new) > MAX_TABLE:
-            self.clear()
-        plain = [w for w in new if len(w) > 1 and w[1] != self.SPACE]
+        return len(self.sp.encode(pre_token)) if pre_token else 1
+
+    def sizes(self, pre_tokens: list[str]) -> list[int]:
+        """How many pieces each pre-token has; several go through the model at a time where pieces show their borders."""
+        out: dict[str, int] = {}
+        plain = [w for w in pre_tokens if w and w[0] != self.SPACE]
         for i in range(0, len(plain), PER_CALL):
             part = plain[i : i + PER_CALL]
-            ids = np.asarray(self.sp.encode(" ".join(w[1:] for w in part)), dtype=np.int64)
+            ids = np.asarray(self.sp.encode(" ".join(part)), dtype=np.int64)
             at = np.flatnonzero(self.starts[ids])
             if len(at) == len(part):
-                self.table.update(zip(part, np.diff(at, append=len(ids)).tolist(), strict=True))
-            else:
-                self.table.update((w, self._one(w)) for w in part)
-        self.table.update((w, self._one(w)) for w in new if w not in self.table)
-        return full
-
-    def count(self, texts: Iterable[str]) -> Iterator[int]:
-        for part in chunks(texts):
-            each = [Counter(self.pre_token.findall(self.SPACE + t.replace(" ", self.SPACE))) if t else {} for t in part]
-            new = {w for freq in each for w in freq if w not in self.table}
-            if new and self._resolve(sorted(new)):
-                self._resolve(sorted({w for freq in each for w in freq if w not in self.table}), grow=True)
-            get = self.table
-            for freq in each:
-                yield sum(get[w] * n for w, n in freq.items())
+                out.update(zip(part, np.diff(at, append=len(ids)).tolist(), strict=True))
+        return [out[w] if w in out else self._one(w) for w in pre_tokens]
 
 
 class WordIds:
@@ -240,22 +250,75 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def token_counts(df: DataFrame, keep: list[str | Column], text: str, model_path: str) -> DataFrame:
-    """The ``keep`` columns of ``df`` with ``n_tokens``: pieces of the whole ``text``.
+def _chunk_rows(counter: PieceCounts, rows: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+    """A chunk's distinct pre-tokens by number, and a row (number null) with its documents' frequencies."""
+    index: dict[str, int] = {}
+    upto, slots, times = [0], array("I"), array("I")
+    for t in chain.from_iterable(b.column("_text").to_pylist() for b in rows):
+        freq = Counter(counter.pre_tokens(t or ""))
+        slots.extend([index.setdefault(w, len(index)) for w in freq])
+        times.extend(freq.values())
+        upto.append(len(slots))
+    kept = pa.Table.from_batches(rows).drop_columns(["_text"])
+    listed = lambda v: pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), pa.array(np.frombuffer(v, dtype=np.uint32)))
+    kept = kept.append_column("_slots", listed(slots)).append_column("_times", listed(times))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(kept)
+    n = len(index)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number] * (n + 1), pa.int64()), pa.array([*range(n), None], pa.int32()), pa.array([*index, None], pa.string()), pa.array([None] * n + [sink.getvalue().to_pybytes()], pa.binary())],
+        names=["chunk", "slot", "pre_token", "docs"],
+    )
+
+
+def _sums(kept: list[str]):
+    """Documents of a chunk with the sum of frequency times pieces."""
+
+    def add(docs: pa.Table, sizes: pa.Table) -> pa.Table:
+        out = []
+        pieces = np.zeros(len(sizes), dtype=np.int64)
+        pieces[sizes.column("slot").to_numpy()] = sizes.column("pieces").to_numpy()
+        for blob in docs.column("docs"):
+            own = pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
+            slots, times = (own.column(c).combine_chunks() for c in ("_slots", "_times"))
+            total = np.r_[0, np.cumsum(pieces[slots.values.to_numpy()] * times.values.to_numpy())]
+            out.append(own.select(kept).append_column("n_tokens", pa.array(np.diff(total[slots.offsets.to_numpy()]), pa.int64())))
+        return pa.concat_tables(out)
+
+    return add
 
-    In each task every distinct pre-token is counted once and joined to the frequencies
-    of each document, so nothing is shuffled and no ids are made.
-    """
+
+def token_counts(df: DataFrame, keep: list[str | Column], text: str, model_path: str) -> DataFrame:
+    """The ``keep`` columns of ``df`` with ``n_tokens``: pieces of the whole ``text``."""
     given = df.select(*keep)
     kept = [f"_k{i}" for i in range(len(given.columns))]
     source = df.select(*[F.col(k).alias(a) if isinstance(k, str) else k.alias(a) for k, a in zip(keep, kept, strict=True)], F.col(text).alias("_text"))
     schema = ", ".join(f"`{a}` {f.dataType.simpleString()}" for a, f in zip(kept, given.schema.fields, strict=True))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with one_task(piece_counts(model_path)) as counter:
-            for b in batches:
-                texts = (t or "" for t in b.column("_text").to_pylist())
-                n = pa.array(counter.count(texts), type=pa.int64())
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), n], names=[*kept, "n_tokens"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, number = piece_counts(model_path), TaskContext.get().partitionId() << 32
+        rows: list[pa.RecordBatch] = []
+        size = 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                rows.append(whole.slice(at, 200))
+                size += rows[-1].column("_text").nbytes
+                if size >= COUNT_CHARS:
+                    yield _chunk_rows(counter, rows, number)
+                    rows, size, number = [], 0, number + 1
+        if rows:
+            yield _chunk_rows(counter, rows, number)
 
-    return source.mapInArrow(count, f"{schema}, n_tokens long").toDF(*given.columns, "n_tokens")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = piece_counts(model_path).sizes(b.column("pre_token").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("pre_token"), pa.array(n, pa.int32())], names=["pre_token", "pieces"])
+
+    chunked = write_table(source.mapInArrow(cut, "chunk long, slot int, pre_token string, docs binary"), "pre-tokens")
+    words = chunked.where("slot IS NOT NULL").select("chunk", "slot", "pre_token")
+    counted = write_table(words.select("pre_token").distinct().mapInArrow(count, "pre_token string, pieces int"), "pieces")
+    sized = words.join(counted, "pre_token").select("chunk", "slot", "pieces")
+    frequencies = chunked.where("slot IS NULL").select(F.col("chunk").alias("own"), "docs")
+    summed = frequencies.groupBy("own").cogroup(sized.groupBy("chunk")).applyInArrow(_sums(kept), f"{schema}, n_tokens long")
+    return summed.toDF(*given.columns, "n_tokens")
