@@ -6,23 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.functions.scalars import version_key
+from catalith.plans.storage import write_table
+
+
+def running_sums(df: DataFrame, group: list[str], order: list[Column], amounts: dict[str, Column]) -> DataFrame:
+    """Adds, for each amount, its sum over the rows before this one in its group.
+
+    No task needs a whole group: the rows are sorted into ranges (a group of any size is
+    spread over many), sums per range and group are few, and a row's sum is that of the
+    ranges before plus that of its range's rows before.  Null keys are a group.
+    """
+    keyed = df.withColumns({f"_a_{k}": v for k, v in amounts.items()})
+    placed = write_table(keyed.orderBy(*group, *order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    names = [f"_g{i}" for i in range(len(group))]
+    ahead = Window.partitionBy(*names).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*(F.col(g).alias(n) for g, n in zip(group, names, strict=True)), F.col("_range").alias("_r")).agg(*(F.sum(f"_a_{k}").alias(f"_s_{k}") for k in amounts))
+    before = sums.select(*names, "_r", *(F.coalesce(F.sum(f"_s_{k}").over(ahead), F.lit(0)).alias(f"_b_{k}") for k in amounts))
+    own = Window.partitionBy(*group, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumns({f"_i_{k}": F.coalesce(F.sum(f"_a_{k}").over(own), F.lit(0)) for k in amounts})
+    same = F.col("_range") == F.col("_r")
+    for g, n in zip(group, names, strict=True):
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    return inside.join(before, same).select(*(c for c in df.columns if c not in amounts), *((F.col(f"_i_{k}") + F.col(f"_b_{k}")).alias(k) for k in amounts))
 
 
 def rank_in_group(df: DataFrame, group: str, order: list[Column], name: str = "rank") -> DataFrame:
     """1-based rank inside each group; ``order`` must end in a unique column to be deterministic."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
+    ranked = running_sums(df, [group], order, {name: F.lit(1).cast("long")})
+    return ranked.withColumn(name, F.col(name) + 1)
 
 
 def display_position(df: DataFrame, group_order: Column, rank: Column, name: str = "position") -> DataFrame:
     """0-based position over all groups.
 
-    The position is the group's first position plus the rank, so only one row per group is
-    ever sorted in one place, not the table.
+    The position is the group's first position plus the rank; the first positions are
+    running sums over the groups' sizes, so neither rows nor groups meet in one place.
     """
     keyed = df.withColumns({"_g": group_order, "_r": rank})
     sizes = keyed.groupBy("_g").agg(F.count("*").alias("_n"))
-    first = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return keyed.join(first.drop("_n"), "_g").withColumn(name, (F.col("_first") + F.col("_r") - 1).cast("long")).drop("_g", "_r", "_first")
+    first = running_sums(sizes.withColumn("_all", F.lit(0)), ["_all"], [F.col("_g")], {"_first": F.col("_n")}).select(F.col("_g").alias("_of"), "_first")
+    return keyed.join(first, F.col("_g").eqNullSafe(F.col("_of"))).withColumn(name, (F.col("_first") + F.col("_r") - 1).cast("long")).drop("_g", "_r", "_first", "_of")
 
 
 #: Sort modes of a listing; unknown modes fall back to the default order.
@@ -66,7 +89,7 @@ def ordered_list(df: DataFrame, group: list[str], value: str, order: list[str],
 def group_totals(df: DataFrame, group: str) -> DataFrame:
     """Rows per group and in all (group null, ``is_total``) in one pass, and the number of groups."""
     one = df.groupBy(group).agg(F.count("*").alias("n"))
-    return one.rollup(group).agg(F.sum("n").alias("n"), F.grouping(group).cast("boolean").alias("is_total"), F.count("*").alias("n_groups"))
+    return one.rollup(group).agg(F.sum("n").alias("n"), F.grouping(group).cast("boolean").alias("is_total"), F.when(F.grouping(group) == 1, F.count(group)).otherwise(1).alias("n_groups"))
 
 
 def newest_match(df: DataFrame, group: list[str], order: list[Column], keep: list[str]) -> DataFrame:
