@@ -11,13 +11,18 @@ shorter than its record announces goes on into the next one, so payloads that ho
 text themselves come back whole.  A gzip file is read by one task from start to end, in
 batches; memory holds one record.
 
-*Assembly* is one shuffle by the identifier that the records share (the response's own,
-or what ``WARC-Concurrent-To`` names) to one nested row per capture.
+*Assembly* joins records through the graph of their concurrent-to identifiers, whichever
+record names which, and however many it names.  A record that no other names and that names
+one only (requests and metadata of most archives) belongs to that one; the components of
+the remaining edges, if there are any, tell which of these belong together.  Then one
+shuffle by capture gives one nested row for each.
 
 Defined results: null payloads are empty, null urls ``about:blank``, a null id is written
-as ``null`` and read back as null; line ends in urls are percent-coded; repeated rows give
-as many captures (records of equal identifiers are paired in order); an empty table gives
-empty archives.
+as ``null`` and read back as null; line ends in urls are percent-coded; an identifier holds
+a digest of url and payload, so rows that share an id stay apart; rows that are equal in
+all columns share identifiers and give as many captures; a payload of any length is one
+record; other columns of the table, whatever their names, are not read; an empty table
+gives empty archives.
 """
 
 from __future__ import annotations
@@ -30,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.plans.storage import checkpoint
+from catalith.llm.graph import components
+from catalith.plans.storage import checkpoint, write_table
 
 CRLF = "\r\n"
 URN = "urn:catalith:page:"
@@ -39,7 +45,7 @@ DATE = "2024-01-01T00:00:00Z"
 LEAST_BYTES = 100
 #: Rows (32-byte digest and id each) up to which the table of repeated payloads is broadcast.
 BROADCAST_ROWS = 100_000
-RECORD = "record_type string, record_id string, concurrent_to string, refers_to string, uri string, payload_bytes long, payload_digest string, payload binary"
+RECORD = "record_type string, record_id string, concurrent_to array<string>, refers_to string, uri string, payload_bytes long, payload_digest string, payload binary"
 
 
 def _header(*fields: tuple[str, Column | str]) -> Column:
@@ -54,9 +60,9 @@ def repeated_payloads(keyed: DataFrame) -> DataFrame:
     return (
         keyed.where(F.col("_bytes") >= LEAST_BYTES)
         .groupBy("_digest")
-        .agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+        .agg(F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_name"))).alias("_f"), F.count("*").alias("_n"))
         .where("_n > 1")
-        .select(F.col("_digest").alias("_same"), "_first")
+        .select(F.col("_digest").alias("_same"), F.col("_f._id").alias("_first"), F.col("_f._name").alias("_first_name"))
     )
 
 
@@ -66,23 +72,24 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url: str =
     keyed = df.select(F.col(id_col).alias("_id"), clean.alias("_url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("_body")).withColumns(
         {"_bytes": F.octet_length("_body").cast("long"), "_digest": F.sha2(F.encode("_body", "UTF-8"), 256)}
     )
+    page = F.coalesce(F.col("_id").cast("string"), F.lit("null"))
+    keyed = keyed.withColumns({"_page": page, "_name": F.concat(page, F.lit(":"), F.substring(F.sha2(F.concat_ws("|", "_digest", "_url"), 256), 1, 16))})
     same = checkpoint(repeated_payloads(keyed))
     # The payloads are shuffled by digest only where too many of them repeat for a broadcast.
     small = same.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = keyed.join(F.broadcast(same) if small else same, (F.col("_digest") == F.col("_same")) & (F.col("_bytes") >= LEAST_BYTES), "left")
-    name = F.coalesce(F.col("_id").cast("string"), F.lit("null"))
-    joined = joined.withColumns({"_name": name, "_revisit": F.coalesce(~F.col("_id").eqNullSafe(F.col("_first")), F.lit(False)) & F.col("_first").isNotNull()})
+    joined = joined.withColumns({"_revisit": F.coalesce(~F.col("_id").eqNullSafe(F.col("_first")), F.lit(False)) & F.col("_first").isNotNull()})
     urn = lambda kind, of="_name": F.concat(F.lit(f"<{URN}"), F.col(of).cast("string"), F.lit(f":{kind}>"))
 
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("_bytes").cast("string"), F.lit(CRLF + CRLF))
     block = F.when(F.col("_revisit"), F.col("_http")).otherwise(F.concat("_http", "_body"))
     ask = F.concat(F.lit("GET "), F.col("_url"), F.lit(f" HTTP/1.1{CRLF}{CRLF}"))
-    fields = F.concat(F.lit("page-id: "), F.col("_name"), F.lit(CRLF))
+    fields = F.concat(F.lit("page-id: "), F.col("_page"), F.lit(CRLF))
     size = lambda c: F.octet_length(c).cast("string")
     joined = joined.withColumn("_http", http).withColumns({"_block": block, "_ask": ask, "_fields": fields})
 
     answer = F.when(F.col("_revisit"), F.lit("revisit")).otherwise(F.lit("response"))
-    refers = F.when(F.col("_revisit"), F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF + "WARC-Refers-To: "), urn("response", "_first"), F.lit(CRLF))).otherwise("")
+    refers = F.when(F.col("_revisit"), F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF + "WARC-Refers-To: "), urn("response", "_first_name"), F.lit(CRLF))).otherwise("")
     records = F.array(
         F.concat(_header(("WARC-Type", "request"), ("WARC-Record-ID", urn("request")), ("WARC-Date", DATE), ("WARC-Target-URI", F.col("_url")), ("WARC-Concurrent-To", urn("response")), ("Content-Type", "application/http; msgtype=request"), ("Content-Length", size("_ask"))), F.col("_ask")),
         F.concat(
@@ -132,7 +139,8 @@ def _records(pieces: Iterator[bytes]) -> Iterator[tuple]:
         fields = {k.lower(): v for k, v in _FIELD.findall(head)}
         text = lambda k, f=fields: f[k].decode("utf-8", "replace") if k in f else None
         kind = text(b"warc-type") or ""
-        yield kind, text(b"warc-record-id"), text(b"warc-concurrent-to"), text(b"warc-refers-to"), text(b"warc-target-uri"), *_payload(kind, block, fields)
+        named = [v.decode("utf-8", "replace") for k, v in _FIELD.findall(head) if k.lower() == b"warc-concurrent-to"]
+        yield kind, text(b"warc-record-id"), named, text(b"warc-refers-to"), text(b"warc-target-uri"), *_payload(kind, block, fields)
     if held is not None:
         raise ValueError("an archive ends inside a record")
 
@@ -140,7 +148,8 @@ def _records(pieces: Iterator[bytes]) -> Iterator[tuple]:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the gzipped archives under ``path``, with its payload."""
     lines = spark.read.option("lineSep", _SPLIT).text(path).select(F.col("value").cast("binary").alias("value"))
-    schema = pa.schema([(n, pa.binary() if t == "binary" else pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in RECORD.split(", "))])
+    kinds = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in RECORD.split(", "))])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -157,21 +166,51 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return lines.mapInArrow(parse, RECORD)
 
 
+def capture_ids(records: DataFrame) -> DataFrame:
+    """Records with ``capture_id``: the least identifier among those that concurrent-to edges connect."""
+    answers = F.col("record_type").isin("response", "revisit", "resource")
+    to = F.array_distinct(F.filter(F.coalesce("concurrent_to", F.array().cast("array<string>")), lambda x: x != F.coalesce("record_id", F.lit(""))))
+    keyed = records.withColumn("_to", to)
+    links = checkpoint(keyed.where(F.size("_to") > 0).select("record_id", "_to", (answers | (F.size("_to") > 1)).alias("_odd")))
+    edges = links.select("record_id", F.explode("_to").alias("_t"), "_odd")
+    named = edges.select(F.col("_t").alias("_named")).distinct()
+    # a record that others name, or that names several: where it belongs depends on more than itself
+    plain = edges.where(~F.col("_odd"))
+    inner = plain.join(named, F.col("record_id") == F.col("_named"), "left_semi").select("record_id", "_t")
+    odd = checkpoint(edges.where("_odd").select("record_id", "_t").unionByName(inner))
+    keyed = keyed.withColumn("_key", F.when(~answers & (F.size("_to") == 1), F.get("_to", F.lit(0))).otherwise(F.col("record_id")))
+    if odd.isEmpty():
+        return keyed.withColumn("capture_id", F.col("_key")).drop("_to", "_key")
+    found = components(odd, "record_id", "_t")
+    joined = keyed.join(found, F.col("_key") == F.col("node"), "left")
+    return joined.withColumn("capture_id", F.coalesce("component", "_key")).drop("_to", "_key", "node", "component")
+
+
 def assemble(records: DataFrame, payload: bool = True) -> DataFrame:
-    """One nested row per capture: capture_id, uri, request, response and metadata structs.
+    """One nested row per capture: capture_id, uri, request, response, metadata and ``others``.
 
-    Members that an archive lacks are null.  ``payload=False`` leaves payloads out of the
-    shuffle, but for metadata records.
+    Members that an archive lacks are null; ``others`` are a capture's further records of
+    these kinds.  Several records of one identifier are as many captures.  ``payload=False``
+    leaves payloads out of the shuffle, but for metadata records.
     """
     kind = F.col("record_type")
     keep = F.when(F.lit(payload) | (kind == "metadata"), F.col("payload"))
-    member = F.struct("record_id", "record_type", "refers_to", "uri", "payload_bytes", "payload_digest", keep.alias("payload"))
+    member = F.struct("record_id", "record_type", "refers_to", "uri", "payload_bytes", "payload_digest", "payload")
     answers = kind.isin("response", "revisit", "resource")
-    keyed = records.where(answers | kind.isin("request", "metadata")).withColumns({"capture_id": F.when(answers, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id")), "_m": member})
+    slim = records.where(answers | kind.isin("request", "metadata")).withColumn("payload", keep)
+    # without payloads the parsed records are small, and archives are read once
+    keyed = capture_ids(slim if payload else write_table(slim, "records")).withColumn("_m", member)
     pick = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.col("_m"))))
     grouped = keyed.groupBy("capture_id").agg(pick(answers).alias("response"), pick(kind == "request").alias("request"), pick(kind == "metadata").alias("metadata"))
-    each = grouped.select("capture_id", F.explode(F.arrays_zip("response", "request", "metadata")).alias("_c"))
-    return each.select("capture_id", F.coalesce("_c.response.uri", "_c.request.uri", "_c.metadata.uri").alias("uri"), "_c.request", "_c.response", "_c.metadata")
+    # equal identifiers are copies, one a row; of different identifiers the first is the member
+    copies = lambda c: F.array_min(F.transform(c, lambda m: m["record_id"])) == F.array_max(F.transform(c, lambda m: m["record_id"]))
+    rows = lambda c: F.when(F.coalesce(copies(F.col(c)), F.lit(False)), F.col(c)).otherwise(F.slice(c, 1, 1))
+    rest = lambda c: F.when(F.coalesce(copies(F.col(c)), F.lit(False)), F.slice(c, 1, 0)).otherwise(F.slice(c, 2, 1_000_000_000))
+    kinds = ["response", "request", "metadata"]
+    grouped = grouped.withColumn("others", F.concat(*(rest(c) for c in kinds))).withColumns({c: rows(c) for c in kinds})
+    each = grouped.select("capture_id", F.posexplode(F.arrays_zip(*kinds)).alias("_i", "_c"), "others")
+    uri = F.coalesce("_c.response.uri", "_c.request.uri", "_c.metadata.uri").alias("uri")
+    return each.select("capture_id", uri, "_c.request", "_c.response", "_c.metadata", F.when(F.col("_i") == 0, F.col("others")).otherwise(F.slice("others", 1, 0)).alias("others"))
 
 
 def page_number(urn: Column) -> Column:
