@@ -3,17 +3,27 @@ r"""Jaccard self-join of documents on word n-grams by T-occurrence search (Divid
 A document is the set of its distinct ``k``-word shingles (64-bit hashes of lower-cased
 words).  Documents of sizes n and m link when their overlap reaches ``percent`` of the
 union, so any partner shares at least T = ceil(percent * n / 100) of a document's n
-inverted lists.  DivideSkip parts these lists: the T - 1 longest are *long* and never
-scanned; a partner must then occur in one of the n - T + 1 *short* lists, which are merged
-in sorted order.  For the candidates that come out, the long lists are probed by binary
-search in the partner's sorted set, and pairs that reach the overlap stay.
+inverted lists.  DivideSkip parts these lists: the T - ``MERGE`` longest are *long* and never
+scanned; a partner must then occur ``MERGE`` times in the others, the *short* lists, which are
+merged in sorted order while occurrences are counted.  For the candidates that reach the
+count, the remaining lists are probed by binary search in the partner's sorted set, and
+pairs that reach the overlap stay.
+
+Both sides of the join index their short lists only.  That loses nothing: of the shingles
+that two partners share, in the common order of lists, the first ``MERGE`` are in the short
+lists of both (each has T - ``MERGE`` others at the most).
 
 List lengths come from a table of hashed counters over all documents (``2 **
 sketch_bits`` of them, so its size is fixed); any counts give a correct result, better
 counts give shorter lists.  In a short list, sizes and positions rule out most pairs
-before they are written: the first list that two partners share always keeps them.
+before they are written: the first ``MERGE`` lists that two partners share always keep them.
+
+A list of more than ``LIST`` documents is not merged where it is found.  Its rows are sorted
+by component and size into blocks of ``LIST`` rows, and two blocks are compared only if they
+hold more than one component and sizes that can link; so a list that a large group of
+near copies fills costs its length, and no task holds more than two blocks.
 
-Groups of copies stay cheap without dropping any link between different texts:
+Groups of copies stay cheap without losing a component:
 
 * documents of equal sets become one class (a digest of the set), represented by the
   smallest id;
@@ -21,11 +31,12 @@ Groups of copies stay cheap without dropping any link between different texts:
   with the smallest id of that group only (a star, not all pairs), and verified links
   join them to components;
 * the merge then skips pairs that are already in one component: a further link between
-  them changes no result.
+  them changes no component.  Links are therefore not counted.
 
 Defined results: null or empty texts have no shingles and link with nothing; fewer than
-``k`` words are one shingle; repeated rows are of one class; rows with a null id get a null
-component and take no part; an empty table gives an empty result.
+``k`` words are one shingle; texts are never cut, however long; repeated rows are of one
+class; rows with a null id get a null component and take no part; other columns of the
+table, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,9 +51,14 @@ from pyspark.sql import functions as F
 
 from catalith.llm.graph import components
 from catalith.llm.names import sheltered
+from catalith.operators.ranking import running_sums
 from catalith.plans.storage import checkpoint, write_table
 
 MINIMA = 3
+#: Short lists that two partners must share at least (fewer where T is smaller).
+MERGE = 2
+#: Rows of a list that are compared in one place.
+LIST = 4096
 #: Ids (8 bytes each) up to which a list of wanted documents is broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Odd multipliers and offsets of the mixing steps and permutations (fixed values).
@@ -175,61 +191,72 @@ def star_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return met.select("x", F.col("rep").alias("y")).distinct()
 
 
+def least_shared(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+    """T: lists of a set of ``n`` that any partner shares."""
+    return -(-percent * n // 100)
+
+
+def compare(a: np.ndarray, b: np.ndarray, percent: int, ordered: bool) -> list[np.ndarray]:
+    """Candidates (x, y, times needed) between rows (id, n, pos, comp) of one list; ``ordered``: x < y only."""
+    out = []
+    ids, n, pos, comp = b
+    for s in range(0, a.shape[1], 256):
+        i, m, at, of = (v[s : s + 256, None] for v in a)
+        times = np.minimum(MERGE, np.minimum(least_shared(m, percent), least_shared(n[None, :], percent)))
+        ok = (np.minimum(m - at, n - pos) >= least_overlap(m, n[None, :], percent) - times + 1) & (of != comp)
+        if ordered:
+            ok &= i < ids
+        x, y = ok.nonzero()
+        out.append(np.stack([np.minimum(i[x, 0], ids[y]), np.maximum(i[x, 0], ids[y]), times[x, y]]))
+    return out
+
+
+_ROW = ("shingle", "id", "n", "pos", "comp")
+#: Candidates (x, y, times) with a null shingle, and rows of lists that were too long.
+_MERGED = "x long, y long, times long, shingle long, id long, n long, pos long, comp long"
+
+
 def _lists(percent: int):
     """Merges sorted short lists (shingle, id, n, pos, comp) to candidate pairs of different components."""
 
-    def pairs(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids, n, pos, comp = run
-        xs, ys = [], []
-        for s in range(0, len(ids), 256):
-            a = slice(s, s + 256)
-            need = least_overlap(n[a, None], n[None, :], percent)
-            ok = (ids[a, None] < ids[None, :]) & (comp[a, None] != comp[None, :])
-            ok &= np.minimum(n[a, None] - pos[a, None], n[None, :] - pos[None, :]) >= need
-            i, j = ok.nonzero()
-            xs.append(ids[a][i])
-            ys.append(ids[j])
-        return np.concatenate(xs), np.concatenate(ys)
+    def batch(found: list[np.ndarray], long: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+        rows = np.concatenate(long, axis=1) if long else np.empty((5, 0), np.int64)
+        column = lambda v, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(v, pa.int64()), pa.nulls(after, pa.int64())])
+        return pa.RecordBatch.from_arrays(
+            [*(column(v, 0, rows.shape[1]) for v in pairs), *(column(v, pairs.shape[1], 0) for v in rows)],
+            names=["x", "y", "times", *_ROW],
+        )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # columns of the list that may go on in the next batch
-        last: int | None = None
-
-        def close(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
-            return pairs(np.stack(cols[1:])) if len(cols[0]) > 1 and cols[4].min() != cols[4].max() else None
-
+        held = np.empty((5, 0), np.int64)  # rows of the list that may go on in the next batch
+        passed: int | None = None  # the list whose rows are passed on
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(c).to_numpy().astype(np.int64) for c in ("shingle", "id", "n", "pos", "comp")]
-            begin = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
-            end = np.r_[begin[1:], len(cols[0])]
-            found = []
-            first = 0
-            if held and cols[0][0] == last:
-                held.append([c[: end[0]] for c in cols])
-                first = 1
-            if held and (first < len(begin) or cols[0][0] != last):
-                if (got := close([np.concatenate(c) for c in zip(*held, strict=True)])) is not None:
-                    found.append(got)
-                held = []
-            if first < len(begin):
-                low, high = np.minimum.reduceat(cols[4], begin), np.maximum.reduceat(cols[4], begin)
-                for i in np.flatnonzero((low != high)[first:-1]) + first:
-                    found.append(pairs(np.stack([c[begin[i] : end[i]] for c in cols[1:]])))
-                held = [[c[begin[-1] :] for c in cols]]
-            last = int(cols[0][-1])
-            if found:
-                xs, ys = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(xs), pa.array(ys)], names=["x", "y"])
-        if held and (got := close([np.concatenate(c) for c in zip(*held, strict=True)])) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["x", "y"])
+            rows = np.concatenate([held, np.stack([b.column(c).to_numpy().astype(np.int64) for c in _ROW])], axis=1)
+            begin = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
+            end = np.r_[begin[1:], rows.shape[1]]
+            mixed = np.minimum.reduceat(rows[4], begin) != np.maximum.reduceat(rows[4], begin)
+            found, long = [], []
+            for i in np.flatnonzero((mixed & (end - begin > 1)) | (end - begin > LIST) | (rows[0, begin] == passed)):
+                own, last = rows[:, begin[i] : end[i]], i == len(begin) - 1
+                if own.shape[1] > LIST or own[0, 0] == passed:
+                    long.append(own)
+                    passed = int(own[0, 0])
+                elif not last and mixed[i]:
+                    found += compare(own[1:], own[1:], percent, True)
+            held = rows[:, begin[-1] :] if rows[0, -1] != passed else np.empty((5, 0), np.int64)
+            if found or long:
+                yield batch(found, long)
+        if held.shape[1] > 1 and (found := compare(held[1:], held[1:], percent, True)):
+            yield batch(found, [])
 
     return merge
 
 
 def short_lists(docs: DataFrame, known: DataFrame, lengths: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Rows (shingle, id, n, pos, comp): each class's n - T + 1 shingles with the shortest lists."""
+    """Rows (shingle, id, n, pos, comp): each class's n - T + ``MERGE`` shingles with the shortest lists."""
     mask = np.uint64(len(lengths) - 1)
     table = docs.sparkSession.sparkContext.broadcast(lengths)
 
@@ -240,7 +267,8 @@ def short_lists(docs: DataFrame, known: DataFrame, lengths: np.ndarray, k: int,
             for t in b.column("text"):
                 s = shingles(t.as_py(), k)
                 n.append(len(s))
-                p = len(s) - (-(-percent * len(s) // 100)) + 1
+                least = least_shared(len(s), percent)
+                p = len(s) - least + min(MERGE, least)
                 order = np.argsort(length[(s & mask).astype(np.int64)], kind="stable")[:p] if len(s) else []
                 short.append(s[order].astype(np.int64))
             offsets = np.r_[0, np.cumsum([len(s) for s in short])]
@@ -251,6 +279,32 @@ def short_lists(docs: DataFrame, known: DataFrame, lengths: np.ndarray, k: int,
     return ranked.select(F.posexplode("short").alias("pos", "shingle"), "id", "n", "comp").select("shingle", "id", "n", F.col("pos").cast("long").alias("pos"), "comp")
 
 
+def long_lists(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates (x, y, times) from lists (shingle, id, n, pos, comp) of any length, in blocks."""
+    ranked = running_sums(rows.select(*_ROW), ["shingle"], [F.asc("comp"), F.asc("n"), F.asc("id")], {"rank": F.lit(1).cast("long")})
+    blocked = write_table(ranked.withColumn("block", F.floor(F.col("rank") / LIST)).drop("rank"), "long-lists")
+    extent = blocked.groupBy("shingle", "block").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    one, two = (extent.select(F.col("shingle").alias("shingle" if side == "a" else "_s"), *(F.col(c).alias(f"{side}_{c}") for c in ("block", "c0", "c1", "n0", "n1"))) for side in "ab")
+    met = one.join(two, (F.col("shingle") == F.col("_s")) & (F.col("a_block") <= F.col("b_block")))
+    several = F.least("a_c0", "b_c0") < F.greatest("a_c1", "b_c1")
+    fits = (100 * F.col("a_n1") >= percent * F.col("b_n0")) & (100 * F.col("b_n1") >= percent * F.col("a_n0"))
+    met = checkpoint(met.where(several & fits).select("shingle", "a_block", "b_block"))
+    sides = [
+        blocked.join(met.withColumnRenamed(f"{side}_block", "block"), ["shingle", "block"]).select(*_ROW, F.col("block").alias(f"{side}_block"), f"{other}_block", F.lit(side == "a").alias("first"))
+        for side, other in ("ab", "ba")
+    ]
+
+    def both(table: pa.Table) -> pa.Table:
+        rows = np.stack([table.column(c).to_numpy().astype(np.int64) for c in _ROW[1:]])
+        first = table.column("first").to_numpy()
+        same = table.column("a_block")[0].as_py() == table.column("b_block")[0].as_py()
+        found = compare(rows[:, first], rows[:, ~first], percent, same)
+        cols = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("x", "y", "times"), cols, strict=True)})
+
+    return sides[0].unionByName(sides[1]).groupBy("shingle", "a_block", "b_block").applyInArrow(both, "x long, y long, times long")
+
+
 def link_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", sketch_bits: int = 20) -> DataFrame:
     """Per row of ``df``: id, n_shingles, component_id (smallest id reachable through links)."""
     docs = _texts(df, id_col, text)
@@ -265,8 +319,13 @@ def link_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     known = write_table(known, "known")
 
     lists = short_lists(docs, known, list_lengths(rows, sketch_bits), k, percent)
-    merged = lists.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_lists(percent), "x long, y long")
-    candidates = checkpoint(merged.distinct())
+    merged = write_table(lists.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_lists(percent), _MERGED), "merged")
+    occurred = merged.where("shingle IS NULL").select("x", "y", "times")
+    long = merged.where("shingle IS NOT NULL")
+    if not long.isEmpty():
+        occurred = occurred.unionByName(long_lists(long, percent))
+    counted = occurred.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("times").alias("times"))
+    candidates = checkpoint(counted.where("n >= times").select("x", "y"))
     links = stars.unionByName(verify(docs, candidates, k, percent))
 
     groups = components(links, "x", "y")
