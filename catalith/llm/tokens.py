@@ -4,17 +4,18 @@ Both tokenizers used here split a text into pre-tokens that never influence each
 so a tokenizer only has to see each distinct pre-token once; everything else is look-ups
 and sums.
 
-Counts (``token_counts``) are made in four steps over tables:
+Counts (``token_counts``) are made in three steps over tables:
 
-1. texts are cut in chunks of about ``COUNT_CHARS``; a chunk gives its distinct pre-tokens,
-   numbered, and one value with its documents' frequencies of these numbers;
-2. the distinct pre-tokens of all chunks are counted, each once, into a table;
-3. that table is joined back to the pre-tokens of the chunks;
-4. a chunk's counts meet its frequencies, and each document is a sum of products.
+1. texts are cut in chunks of about ``COUNT_BYTES``; a chunk gives its distinct pre-tokens,
+   dealt to shards by a hash, and one value with its documents' frequencies of them;
+2. a shard meets its pre-tokens of all chunks, counts each distinct one once, and answers
+   every chunk;
+3. a chunk's counts are joined to its frequencies: each document is a sum of products.
 
 Texts are read once and never shuffled, no document's ids are made, and a pre-token that
-is in every text has one row a chunk.  A group of the last step is a chunk, so its memory is
-bounded by ``COUNT_CHARS`` or the longest text.
+is in every text is sent once a chunk.  There are as many shards as chunks, so a shard's
+pre-tokens and a chunk's are about as many, whatever the input; a group's memory is bounded
+by ``COUNT_BYTES`` or the longest text.  Lists travel compressed.
 
 Ids (``WordIds``) come from a table of words that lives as long as a task, holds at most
 ``MAX_TABLE`` entries and is only a memo: emptying it changes no result.
@@ -26,6 +27,7 @@ names, are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 from array import array
@@ -37,6 +39,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +52,7 @@ MAX_TABLE = 600_000
 CHUNK_CHARS = 8_000_000
 PER_CALL = 64
 #: Bytes of text whose distinct pre-tokens are gathered together for counting.
-COUNT_CHARS = 32_000_000
+COUNT_BYTES = 32_000_000
 
 
 def chunks[T: (str, bytes)](texts: Iterable[T], limit: int = CHUNK_CHARS) -> Iterator[list[T]]:
@@ -250,8 +254,16 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _chunk_rows(counter: PieceCounts, rows: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
-    """A chunk's distinct pre-tokens by number, and a row (number null) with its documents' frequencies."""
+def _packed(values: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(values)
+
+
+def _unpacked(values: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(values)
+
+
+def _chunk_rows(counter: PieceCounts, rows: list[pa.RecordBatch], number: int, shards: int) -> pa.RecordBatch:
+    """A chunk's distinct pre-tokens by shard (parted by spaces, which none holds), and a row (shard null) with its documents' frequencies."""
     index: dict[str, int] = {}
     upto, slots, times = [0], array("I"), array("I")
     for t in chain.from_iterable(b.column("_text").to_pylist() for b in rows):
@@ -259,26 +271,51 @@ def _chunk_rows(counter: PieceCounts, rows: list[pa.RecordBatch], number: int) -
         slots.extend([index.setdefault(w, len(index)) for w in freq])
         times.extend(freq.values())
         upto.append(len(slots))
+    words = list(index)
+    shard = (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(words), dtype=np.uint32)
+    place[order] = np.arange(len(words), dtype=np.uint32)
     kept = pa.Table.from_batches(rows).drop_columns(["_text"])
-    listed = lambda v: pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), pa.array(np.frombuffer(v, dtype=np.uint32)))
-    kept = kept.append_column("_slots", listed(slots)).append_column("_times", listed(times))
+    listed = lambda v: pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), pa.array(v))
+    kept = kept.append_column("_slots", listed(place[np.frombuffer(slots, dtype=np.uint32)])).append_column("_times", listed(np.frombuffer(times, dtype=np.uint32)))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
         stream.write_table(kept)
-    n = len(index)
+    own, first = np.unique(shard[order], return_index=True)
+    parts = [_packed(" ".join([words[i] for i in at]).encode()) for at in np.split(order, first[1:])] if len(words) else []
+    n = len(parts)
     return pa.RecordBatch.from_arrays(
-        [pa.array([number] * (n + 1), pa.int64()), pa.array([*range(n), None], pa.int32()), pa.array([*index, None], pa.string()), pa.array([None] * n + [sink.getvalue().to_pybytes()], pa.binary())],
-        names=["chunk", "slot", "pre_token", "docs"],
+        [pa.array([number] * (n + 1), pa.int64()), pa.array([*own.tolist(), None], pa.int32()), pa.array([*parts, None], pa.binary()), pa.array([None] * n + [sink.getvalue().to_pybytes()], pa.binary())],
+        names=["chunk", "shard", "words", "docs"],
     )
 
 
+def _answers(model_path: str):
+    """Counts of a shard's pre-tokens, each distinct one counted once, for every chunk that has some."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        counter = piece_counts(model_path)
+        sizes: dict[str, int] = {}
+        counts = []
+        for packed in table.column("words"):
+            words = _unpacked(packed.as_py()).decode().split(" ")
+            new = [w for w in words if w not in sizes]
+            sizes.update(zip(new, counter.sizes(new), strict=True))
+            counts.append(_packed(np.fromiter(map(sizes.__getitem__, words), np.uint32, len(words)).tobytes()))
+        return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "counts": pa.array(counts, pa.binary())})
+
+    return answer
+
+
 def _sums(kept: list[str]):
     """Documents of a chunk with the sum of frequency times pieces."""
 
-    def add(docs: pa.Table, sizes: pa.Table) -> pa.Table:
+    def add(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        order = np.argsort(counts.column("shard").to_numpy(), kind="stable")
+        answers = counts.column("counts").to_pylist()
+        pieces = np.frombuffer(b"".join(_unpacked(answers[i]) for i in order), dtype=np.uint32).astype(np.int64)
         out = []
-        pieces = np.zeros(len(sizes), dtype=np.int64)
-        pieces[sizes.column("slot").to_numpy()] = sizes.column("pieces").to_numpy()
         for blob in docs.column("docs"):
             own = pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
             slots, times = (own.column(c).combine_chunks() for c in ("_slots", "_times"))
@@ -296,6 +333,8 @@ def token_counts(df: DataFrame, keep: list[str | Column], text: str, model_path:
     source = df.select(*[F.col(k).alias(a) if isinstance(k, str) else k.alias(a) for k, a in zip(keep, kept, strict=True)], F.col(text).alias("_text"))
     schema = ", ".join(f"`{a}` {f.dataType.simpleString()}" for a, f in zip(kept, given.schema.fields, strict=True))
 
+    shards = max(1, math.ceil((df.agg(F.sum(F.octet_length(text))).first()[0] or 0) / COUNT_BYTES))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, number = piece_counts(model_path), TaskContext.get().partitionId() << 32
         rows: list[pa.RecordBatch] = []
@@ -304,21 +343,15 @@ def token_counts(df: DataFrame, keep: list[str | Column], text: str, model_path:
             for at in range(0, whole.num_rows, 200):
                 rows.append(whole.slice(at, 200))
                 size += rows[-1].column("_text").nbytes
-                if size >= COUNT_CHARS:
-                    yield _chunk_rows(counter, rows, number)
+                if size >= COUNT_BYTES:
+                    yield _chunk_rows(counter, rows, number, shards)
                     rows, size, number = [], 0, number + 1
         if rows:
-            yield _chunk_rows(counter, rows, number)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = piece_counts(model_path).sizes(b.column("pre_token").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("pre_token"), pa.array(n, pa.int32())], names=["pre_token", "pieces"])
-
-    chunked = write_table(source.mapInArrow(cut, "chunk long, slot int, pre_token string, docs binary"), "pre-tokens")
-    words = chunked.where("slot IS NOT NULL").select("chunk", "slot", "pre_token")
-    counted = write_table(words.select("pre_token").distinct().mapInArrow(count, "pre_token string, pieces int"), "pieces")
-    sized = words.join(counted, "pre_token").select("chunk", "slot", "pieces")
-    frequencies = chunked.where("slot IS NULL").select(F.col("chunk").alias("own"), "docs")
-    summed = frequencies.groupBy("own").cogroup(sized.groupBy("chunk")).applyInArrow(_sums(kept), f"{schema}, n_tokens long")
+            yield _chunk_rows(counter, rows, number, shards)
+
+    chunked = write_table(source.mapInArrow(cut, "chunk long, shard int, words binary, docs binary"), "pre-tokens")
+    counted = chunked.where("shard IS NOT NULL").select("chunk", "shard", "words").groupBy("shard").applyInArrow(_answers(model_path), "chunk long, shard int, counts binary")
+    counted = write_table(counted, "pieces")
+    frequencies = chunked.where("shard IS NULL").select(F.col("chunk").alias("own"), "docs")
+    summed = frequencies.groupBy("own").cogroup(counted.groupBy("chunk")).applyInArrow(_sums(kept), f"{schema}, n_tokens long")
     return summed.toDF(*given.columns, "n_tokens")

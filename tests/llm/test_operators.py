@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -208,6 +209,46 @@ def test_warc(spark):
     assert warc.assemble(warc.read_records(spark, empty)).count() == 0
 
 
+def record(kind, own, to=(), uri="u"):
+    return (kind, own, list(to), None, uri, 1, "d", b"")
+
+
+@pytest.mark.parametrize(
+    ("rows", "want"),
+    [
+        ([record("response", "p", ["q"]), record("request", "q"), record("metadata", "m", ["q"])], {("p", "q", "m")}),
+        ([record("response", "p"), record("request", "q", ["p"]), record("metadata", "m", ["q"])], {("p", "q", "m")}),
+        ([record("response", "p"), record("request", "q", ["p"]), record("metadata", "m", ["p"]), record("response", "p2"), record("request", "q2", ["p2"])], {("p", "q", "m"), ("p2", "q2", None)}),
+        ([record("metadata", "m", ["x", "p"]), record("request", "q", ["x"]), record("response", "p")], {("p", "q", "m")}),
+        ([record("request", "q", ["gone"]), record("metadata", "m", ["gone"]), record("response", "p")], {(None, "q", "m"), ("p", None, None)}),
+    ],
+)
+def test_assembly_follows_every_identifier(spark, rows, want):
+    df = spark.createDataFrame(rows, warc.RECORD).repartition(2)
+    name = lambda m: m.record_id if m else None
+    assert {(name(r.response), name(r.request), name(r.metadata)) for r in warc.assemble(df).collect()} == want
+
+
+def test_assembly_keeps_further_records(spark):
+    rows = [record("response", "p"), record("metadata", "m1", ["p"]), record("metadata", "m2", ["p"]), record("request", "q", ["p"])]
+    (row,) = warc.assemble(spark.createDataFrame(rows, warc.RECORD)).collect()
+    assert row.metadata.record_id == "m1" and [m.record_id for m in row.others] == ["m2"]
+
+
+def test_long_and_repeated_pages(spark, tmp_path):
+    long = "<p>" + "word " * 400_000
+    rows = [(1, "a", long), (2, "b", long), (None, "c", "x" * 200), (None, "d", "x" * 200), (3, "e", "same"), (3, "f", "other"), (3, "f", "other")]
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    got = warc.assemble(warc.read_records(spark, path)).collect()
+    assert Counter((r.response.payload_bytes, r.request.uri, r.metadata.uri, r.response.uri) for r in got) == Counter((len(h), u, u, u) for _, u, h in rows)
+    assert [warc_page(r) for r in got if r.response.record_type == "revisit" and r.uri == "b"] == [1]
+
+
+def warc_page(r):
+    return int(re.search(r"page:(-?\d+):", r.response.refers_to)[1])
+
+
 # tokens and packing ------------------------------------------------------------------
 
 
@@ -247,7 +288,7 @@ def test_hostile_texts_have_the_ids_of_the_library(spark):
 def test_counts_do_not_depend_on_chunks(docs, monkeypatch):
     path = public_tokenizers.path("piece_bpe_32k.model")
     whole = multiset(tokens.token_counts(docs, ["doc_id", "source"], "text", path).collect())
-    monkeypatch.setattr(tokens, "COUNT_CHARS", 1)
+    monkeypatch.setattr(tokens, "COUNT_BYTES", 1000)
     assert multiset(tokens.token_counts(docs, ["doc_id", "source"], "text", path).collect()) == whole
 
 
@@ -256,9 +297,13 @@ def test_a_pre_token_is_counted_once(docs, monkeypatch):
     kept = {}
     write = tokens.write_table
     monkeypatch.setattr(tokens, "write_table", lambda df, name: kept.setdefault(name, write(df, name)))
+    monkeypatch.setattr(tokens, "COUNT_BYTES", 20_000)
     tokens.token_counts(docs, ["doc_id"], "text", path).count()
-    words = [r.pre_token for r in kept["pieces"].collect()]
-    assert len(words) == len(set(words)) and set(words) >= {"quick", "w17x3"}
+    shards = defaultdict(set)
+    for r in kept["pre-tokens"].where("shard IS NOT NULL").collect():
+        for w in tokens._unpacked(r.words).decode().split(" "):
+            shards[w].add(r.shard)
+    assert set(shards) >= {"quick", "w17x3"} and all(len(s) == 1 for s in shards.values()) and len(set.union(*shards.values())) > 5
 
 
 def test_count_query_columns(spark):
@@ -427,17 +472,46 @@ def test_jaccard(spark, none, k, percent):
         assert jaccard.link_components(none).count() == 0
 
 
-def test_merge_over_batch_borders():
-    import pyarrow as pa
+def pairs_of(batches):
+    out = [dict(zip(b.schema.names, r, strict=True)) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    return Counter((r["x"], r["y"], r["times"]) for r in out if r["shingle"] is None), [tuple(r[c] for c in jaccard._ROW) for r in out if r["shingle"] is not None]
 
-    rows = [(1, 5, 9, 0, 5), (1, 6, 9, 0, 6), (1, 7, 9, 0, 7), (2, 5, 9, 1, 5), (3, 6, 9, 1, 6), (3, 7, 9, 1, 7)]
 
-    def batch(rs):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rs, strict=True)], names=["shingle", "id", "n", "pos", "comp"])
+def row_batch(rows):
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=list(jaccard._ROW))
+
 
+def test_merge_over_batch_borders(monkeypatch):
+    rows = [(1, 5, 9, 0, 5), (1, 6, 9, 0, 6), (1, 7, 9, 0, 7), (2, 5, 9, 1, 5), (3, 6, 9, 1, 6), (3, 7, 9, 1, 7)]
+    for cut in range(1, 6):
+        found, long = pairs_of(jaccard._lists(80)(iter([row_batch(rows[:cut]), row_batch(rows[cut:])])))
+        assert found == {(5, 6, 2): 1, (5, 7, 2): 1, (6, 7, 2): 2} and not long
+    monkeypatch.setattr(jaccard, "LIST", 2)
     for cut in range(1, 6):
-        out = [p for b in jaccard._lists(80)(iter([batch(rows[:cut]), batch(rows[cut:])])) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        assert sorted(out) == [(5, 6), (5, 7), (6, 7), (6, 7)]
+        found, long = pairs_of(jaccard._lists(80)(iter([row_batch(rows[:cut]), row_batch(rows[cut:])])))
+        assert found == {(6, 7, 2): 1} and sorted(long) == rows[:3]
+
+
+def test_long_lists_give_what_short_ones_give(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(s, i, int(rng.integers(8, 14)), int(rng.integers(0, 4)), i if i % 3 else 0) for s in range(4) for i in range(30)]
+    want = Counter()
+    for s in range(4):
+        own = np.array([r[1:] for r in rows if r[0] == s]).T
+        want.update(tuple(int(v) for v in p) for c in jaccard.compare(own, own, 80, True) for p in c.T)
+    monkeypatch.setattr(jaccard, "LIST", 4)
+    df = spark.createDataFrame(rows, "shingle long, id long, n long, pos long, comp long").repartition(3)
+    assert multiset(jaccard.long_lists(df, 80).collect()) == want and want
+
+
+def test_one_shingle_list_in_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST", 16)
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, common if i % 2 else f"{common} x{i}") for i in range(300)] + [(1000 + i, f"{common} " + " ".join(f"y{i}z{j}" for j in range(i % 9 + 1))) for i in range(60)]
+    sets = {i: shingle_set(t, 4) for i, t in rows}
+    want = least_reachable(list(sets), [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    got = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, want[i]) for i in sets}
 
 
 def test_components_of_a_chain(spark):
@@ -445,6 +519,15 @@ def test_components_of_a_chain(spark):
     assert {(r.node, r.component) for r in graph.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(6)
+    edges = [(int(x), int(x + d)) for x, d in zip(rng.integers(0, 400, 500), rng.integers(0, 12, 500), strict=True)] + [(900, 900), (7, 7), (1, 600), (None, 3)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges + edges[:50], "a long, b long")).collect()}
+    real = [(x, y) for x, y in edges if x is not None and x != y]
+    nodes = {x for e in real for x in e}
+    assert got == {x: c for x, c in least_reachable(list(nodes), real).items()}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     rows, base = [], rng.normal(size=(40, 16))
@@ -467,11 +550,77 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def true_links(x, labels, cosine=0.93):
+    """Links per row and component, by brute force in blocks."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = np.zeros((len(x), len(x)), dtype=bool)
+    for s in range(0, len(x), 500):
+        hit[s : s + 500] = (u[s : s + 500] @ u.T >= cosine) & (labels[s : s + 500, None] == labels[None, :])
+    np.fill_diagonal(hit, False)
+    root = np.arange(len(x))
+    while True:
+        new = np.minimum(root, np.where(hit, root[None, :], len(x)).min(1))
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            return hit.sum(1), root
+        root = new
+
+
+def clustered(rng, n, dims, rank, near, cosine=0.935):
+    """Vectors of a subspace of ``rank`` dimensions; each ``near``-th has a partner just above the threshold inside it."""
+    base = rng.normal(size=(rank, dims))
+    y = rng.normal(size=(n, rank))
+    x = y @ base
+    for i in range(0, n - 1, near):
+        side = rng.normal(size=rank) @ base
+        u = x[i] / np.linalg.norm(x[i])
+        side -= (side @ u) * u
+        x[i + 1] = cosine * u + math.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+    return x
+
+
+def as_vectors(spark, x, labels):
+    rows = [(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, labels, strict=True))]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+
+
+@pytest.mark.parametrize(("dims", "rank"), [(384, 6), (256, 16), (32, 32)])
+def test_recall_does_not_depend_on_the_spread(spark, monkeypatch, dims, rank):
+    monkeypatch.setattr(embeddings, "CELL", 16)  # many cells
+    rng = np.random.default_rng(rank)
+    x = clustered(rng, 3000, dims, rank, 4)
+    df = as_vectors(spark, x, np.zeros(len(x), dtype=int))
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    degree, _ = true_links(x, np.zeros(len(x)))
+    found = sum(min(got[i].n_links, int(degree[i])) for i in range(len(x)))
+    assert all(got[i].n_links <= degree[i] for i in range(len(x))) and found >= 0.99 * degree.sum()
+
+
+def test_target_of_one_is_exact_and_slices_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 20)
+    monkeypatch.setattr(embeddings, "SLICE", 30)
+    monkeypatch.setattr(embeddings, "VISITORS", 50)
+    rng = np.random.default_rng(8)
+    x = clustered(rng, 900, 24, 5, 3)
+    labels = rng.integers(0, 2, len(x))
+    degree, root = true_links(x, labels)
+    got = embeddings.near_duplicates(as_vectors(spark, x, labels), target_recall=1).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, int(d), int(c)) for i, (d, c) in enumerate(zip(degree, root, strict=True))}
+
+
+def test_a_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SLICE", 100)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=64)[None, :] + rng.normal(size=(1200, 64)) * 0.05
+    got = embeddings.near_duplicates(as_vectors(spark, x, np.zeros(len(x), dtype=int))).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(1199, 0)}
+
+
 def test_multi_sequence_is_sorted():
     rng = np.random.default_rng(3)
     a, b = rng.random(9), rng.random(7)
-    cost = [a[i] ** 2 + b[j] ** 2 for i, j in embeddings.multi_sequence(a, b, 0.5)]
-    assert cost == sorted(cost) and len(cost) == sum(x**2 + y**2 <= 0.5 for x in a for y in b)
+    cost = [a[i] + b[j] for i, j in embeddings.multi_sequence(a, b, 0.5)]
+    assert cost == sorted(cost) and len(cost) == sum(x + y <= 0.5 for x in a for y in b)
 
 
 # chat --------------------------------------------------------------------------------
@@ -500,6 +649,43 @@ def test_chat(spark):
     assert chat.format_windows(df.limit(0)).count() == 0
 
 
+def greedy(turns, budget, history):
+    """Windows as (first, last) of the turns' tokens; turns are (tokens, is_system)."""
+    system = turns[0][0] if turns and turns[0][1] else 0
+    out, used = [], 0
+    for i, (n, is_system) in enumerate(turns):
+        room = max(1, budget - system - (0 if len(out) <= 1 else history))
+        if not out or (not is_system and used and used + n > room):
+            out.append([i, i])
+            used = 0
+        out[-1][1] = i
+        used += 0 if is_system else n
+    return out
+
+
+def test_windows_are_filled_turn_by_turn(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = {1: [30] * 60, 2: [30] * 60 + [1200] + [5] * 4, 3: rng.integers(1, 90, 80).tolist(), 4: [2000], 5: [1] * 400}
+    rows = [(c, i, ["user", "assistant"][i % 2], " ".join(["w"] * n)) for c, ns in sizes.items() for i, n in enumerate(ns)]
+    rows += [(6, 0, "system", "be kind " * 40), *((6, i, "user", "w " * 50) for i in range(1, 40))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = defaultdict(list)
+    for w in chat.format_windows(df, budget=1024, history=192).collect():
+        found[w.conv_id].append(w.first_turn)
+    by = defaultdict(list)
+    for c, i, r, t in sorted(rows):
+        by[c].append((len(t.split()) + chat.MARKS, i == 0 and r == "system"))
+    assert {c: sorted(f) for c, f in found.items()} == {c: [a + 1 for a, _ in greedy(t, 1024, 192)] for c, t in by.items()}
+    assert len(found[2]) <= len(found[1]) + 2  # one long turn moves no other border far
+    monkeypatch.setattr(chat, "STRETCH", 1)
+    windows = chat.format_windows(df, budget=1024, history=192)
+    assert all(w.n_tokens <= 1024 or w.formatted.count("<|end|>") == 1 for w in windows.collect())
+    got = {r.conv_id: r for r in chat.digests(windows).collect()}
+    for c in by:
+        loss = "".join(t for k, _, r, t in sorted(rows) if k == c and r == "assistant")
+        assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and got[c].n_turns == len(by[c])
+
+
 # language model ----------------------------------------------------------------------
 
 
