@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
 
+import __spark_entry__  # noqa: F401  (registers all queries)
 from catalith.plans.catalog_queries import ORACLES, QUERIES
 
+ROOT = Path(__file__).resolve().parent.parent
 SF = os.environ.get("CATALITH_TEST_TABLES", "/root/testdata/sf0.001")
 
 
@@ -36,3 +42,16 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "rank_in_group" in e.queries()
+
+
+def test_queries_without_the_llm_folder(tmp_path):
+    """A copy without ``catalith/llm`` and ``tests/llm`` still gives its own queries, with and without the pipeline file."""
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
+    call = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), 'pipeline' in q, any(n.startswith('op') for n in q), set(o) <= set(q))"
+    for _ in range(2):
+        done = subprocess.run([sys.executable, "-B", "-c", call], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(copy)})
+        assert done.returncode == 0, done.stderr
+        n, *flags = done.stdout.split()[-4:]
+        assert int(n) == len(QUERIES) and flags == ["False", "False", "True"]
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
