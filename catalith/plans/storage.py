@@ -1,8 +1,9 @@
 """Where jobs put intermediate results so that a lost executor loses nothing.
 
 Every intermediate table lives in the folder that ``spark.checkpoint.dir`` names,
-which the driver and all executors share.  Only where that setting is absent (unit
-tests, a laptop) a private folder is made.
+which the driver and all executors share, or in the session's checkpoint folder.  Where
+neither is set, a local master (unit tests, a laptop) gets a private folder; on a cluster
+that is an error, as executors would not see each other's files.
 """
 
 from __future__ import annotations
@@ -21,7 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    sc = spark.sparkContext
+    if (chosen := sc.getCheckpointDir()) is not None:
+        return chosen.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = sc.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="catalith-")
     return _LOCAL[app]
