@@ -34,14 +34,15 @@ def version_key(version: Column) -> Column:
 
 
 def version_numbers(version: Column) -> Column:
-    """Every part of a dotted version as a number."""
-    return F.transform(F.split(version, r"\."), _number)
+    """Every part of a dotted version as a number of any size."""
+    part = lambda x: F.coalesce(F.when(trim_all(x).rlike(r"^\+?[0-9]+$"), trim_all(x).try_cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return F.transform(F.split(version, r"\."), part)
 
 
 def compare_versions(a: Column, b: Column) -> Column:
     """-1, 0 or 1 by number, part by part; missing parts are 0, any number of parts."""
     x, y = version_numbers(a), version_numbers(b)
-    pad = lambda v, w: F.concat(v, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.size(w) - F.size(v), F.lit(0))))
+    pad = lambda v, w: F.concat(v, F.array_repeat(F.lit(0).cast("decimal(38,0)"), F.greatest(F.size(w) - F.size(v), F.lit(0))))
     x2, y2 = pad(x, y), pad(y, x)
     return F.when(x2 < y2, -1).when(x2 > y2, 1).when(x2 == y2, 0)
 
@@ -135,7 +136,7 @@ def status_label(archived: Column, stale: Column) -> Column:
 
 
 def repo_label(url: Column) -> Column:
-    for pattern in (r"^(https://)+", r"^(http://)+", r"/+$", r"^(github[.]com/)+"):
+    for pattern in (r"^(https://)+", r"^(http://)+", r"/+$", r"^github[.]com/"):
         url = F.regexp_replace(url, pattern, "")
     return url
 

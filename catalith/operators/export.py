@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,25 +52,66 @@ def url_entry(loc: Column, lastmod: Column, priority: Column) -> Column:
     return F.concat_ws("\n", F.lit("  <url>"), tag("loc", loc), tag("lastmod", lastmod), tag("priority", priority), F.lit("  </url>"))
 
 
-def sitemap(tools: DataFrame, stacks: DataFrame, base_url: str, baseline: str, stamp: str = "metrics.updated_at") -> DataFrame:
+def sitemap(entities: DataFrame, stacks: DataFrame, base_url: str, baseline: str, stamp: str = "metrics.updated_at") -> DataFrame:
     """Rows (ord, id, entry): the opening, the home page, every stack but the baseline, the end; in this order a sitemap.
 
     All pages carry the newest refresh date.
     """
     base = base_url.rstrip("/")
-    newest = tools.agg(F.date_format(F.max(F.to_date(F.col(stamp))), "yyyy-MM-dd")).scalar()
-    pages = tools.sparkSession.range(1).select(F.lit("").alias("id"), F.lit(0).alias("ord")).unionByName(stacks.where(F.col("id") != baseline).select("id", F.lit(1).alias("ord")))
+    newest = entities.agg(F.date_format(F.max(F.to_date(F.col(stamp))), "yyyy-MM-dd")).scalar()
+    pages = entities.sparkSession.range(1).select(F.lit("").alias("id"), F.lit(0).alias("ord")).unionByName(stacks.where(F.col("id") != baseline).select("id", F.lit(1).alias("ord")))
     loc = F.when(F.col("ord") == 0, F.lit(f"{base}/")).otherwise(F.concat(F.lit(f"{base}/?stack="), F.col("id")))
     priority = F.when(F.col("ord") == 0, F.lit("1.0")).otherwise(F.lit("0.7"))
     entries = pages.select("ord", "id", url_entry(loc, newest, priority).alias("entry"))
-    edge = lambda n, text: tools.sparkSession.range(1).select(F.lit(n).alias("ord"), F.lit("").alias("id"), F.lit(text).alias("entry"))
+    edge = lambda n, text: entities.sparkSession.range(1).select(F.lit(n).alias("ord"), F.lit("").alias("id"), F.lit(text).alias("entry"))
     opening = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
     return entries.unionByName(edge(-1, opening)).unionByName(edge(2, "</urlset>"))
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    """Tab-separated rows without a header."""
-    df.write.option("sep", "\t").option("header", "false").csv(path)
+def tsv_line(*values: Column) -> Column:
+    """A tab-separated line: backslash, tab, line feed and carriage return are escaped, nulls are empty, nothing is quoted."""
+
+    def safe(c: Column) -> Column:
+        for raw, escaped in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+            c = F.replace(c, F.lit(raw), F.lit(escaped))
+        return c
+
+    return F.concat_ws("\t", *(F.coalesce(safe(v.cast("string")), F.lit("")) for v in values))
+
+
+def tsv(df: DataFrame, header: list[str] | None = None) -> DataFrame:
+    """Lines (``line``, with ``ord`` 0 for the header and 1 for rows) of all columns of ``df``, in their order."""
+    lines = df.select(F.lit(1).alias("ord"), tsv_line(*(F.col(c) for c in df.columns)).alias("line"))
+    if header is None:
+        return lines
+    return df.sparkSession.range(1).select(F.lit(0).alias("ord"), F.lit("\t".join(header)).alias("line")).unionByName(lines)
+
+
+def write_tsv(df: DataFrame, path: str, header: list[str] | None = None) -> None:
+    """Tab-separated files as :func:`tsv` makes them; each file starts with the header, if there is one."""
+    lines = df.select(tsv_line(*(F.col(c) for c in df.columns)).alias("line"))
+    if header is not None:
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        lines = lines.withColumn("line", F.when(first, F.concat(F.lit("\t".join(header) + "\n"), "line")).otherwise(F.col("line")))
+    lines.write.text(path)
+
+
+def entity_json(body: Column, fields: dict[str, str], schema: str) -> Column:
+    """A JSON document cut to named fields: ``fields`` maps an output name to a path inside ``schema``."""
+    parsed = F.from_json(body, schema)
+
+    def at(path: str) -> Column:
+        c = parsed
+        for part in path.split("."):
+            c = c[part]
+        return c
+
+    return F.to_json(F.struct(*(at(path).alias(name) for name, path in fields.items())), {"ignoreNullFields": "false"})
+
+
+def base_url(default: str, variable: str = "BASE_URL") -> str:
+    """The site's address: the environment's if it is set, without slashes at its end."""
+    return (os.environ.get(variable) or default).rstrip("/")
 
 
 def stamp_now(now: dt.datetime) -> str:

@@ -54,15 +54,20 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
     return child.join(parent.select(F.col(parent_key).alias("_parent")), F.col(key) == F.col("_parent"), "left_anti")
 
 
-def violations(tools: DataFrame, categories: DataFrame, stacks: DataFrame) -> DataFrame:
-    """All broken rules as (severity, kind, subject, detail), the first to report smallest."""
-    picks = stacks.select(F.col("id").alias("stack"), F.explode("picks").alias("p")).select("stack", F.col("p.tool").alias("tool"))
-    row = lambda df, n, kind, subject, detail: df.select(F.lit(n).alias("severity"), F.lit(kind).alias("kind"), subject.alias("subject"), detail.alias("detail"))
+def violations(entities: DataFrame, categories: DataFrame, stacks: DataFrame) -> DataFrame:
+    """All broken rules as (part, subject, place, severity, kind, detail); the first to report is the smallest.
+
+    Rows are met in id order, entities before stacks; a row's repeated id comes before its
+    references, and these in their order.
+    """
+    picks = stacks.select(F.col("id").alias("stack"), F.posexplode("picks").alias("place", "p")).select("stack", (F.col("place") + 1).alias("place"), F.col("p.tool").alias("tool"))
+    none = F.lit(0)
+    row = lambda df, part, n, kind, subject, detail, place=none: df.select(F.lit(part).alias("part"), subject.alias("subject"), place.alias("place"), F.lit(n).alias("severity"), F.lit(kind).alias("kind"), detail.alias("detail"))
     parts = [
-        row(duplicate_keys(tools, ["id"]), 1, "duplicate tool", F.col("id"), F.col("n").cast("string")),
-        row(orphans(tools, "category", categories.withColumnRenamed("id", "_cid"), "_cid"), 2, "unknown category", F.col("id"), F.col("category")),
-        row(duplicate_keys(stacks, ["id"]), 3, "duplicate stack", F.col("id"), F.col("n").cast("string")),
-        row(orphans(picks, "tool", tools, "id"), 4, "unknown pick", F.col("stack"), F.col("tool")),
+        row(duplicate_keys(entities, ["id"]), 1, 1, "duplicate entity", F.col("id"), F.col("n").cast("string")),
+        row(orphans(entities, "category", categories.withColumnRenamed("id", "_cid"), "_cid"), 1, 2, "unknown category", F.col("id"), F.col("category")),
+        row(duplicate_keys(stacks, ["id"]), 2, 3, "duplicate stack", F.col("id"), F.col("n").cast("string")),
+        row(orphans(picks, "tool", entities, "id"), 2, 4, "unknown pick", F.col("stack"), F.col("tool"), F.col("place")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -70,19 +75,23 @@ def violations(tools: DataFrame, categories: DataFrame, stacks: DataFrame) -> Da
     return out
 
 
-def upsert_metrics(tools: DataFrame, outcomes: DataFrame, key: str = "id", metrics: str = "metrics") -> DataFrame:
+def upsert_metrics(entities: DataFrame, outcomes: DataFrame, key: str = "id", metrics: str = "metrics") -> DataFrame:
     """Apply refresh outcomes (``key``, ``new_metrics``, ``failure``) to the metrics struct.
 
     A success replaces the whole struct, so nothing old survives in it; a failure keeps
-    what was known and marks it stale with the message; rows without an outcome stay.
+    what was known and marks it stale with the message; rows without an outcome stay.  Of
+    several outcomes of one key the newest counts where ``outcomes`` has a column ``at``, else
+    the one with the greatest failure (a failure before a success).
     """
-    kind = tools.schema[metrics].dataType
+    newest = F.col("at") if "at" in outcomes.columns else F.lit(0)
+    outcomes = outcomes.groupBy(key).agg(F.max_by(F.struct("new_metrics", "failure"), F.struct(newest, F.coalesce("failure", F.lit("")))).alias("_o")).select(key, "_o.*")
+    kind = entities.schema[metrics].dataType
     empty = F.lit(None).cast(kind)
     blank = F.struct(*(F.lit(False).alias(f.name) if f.name in ("archived", "stale") else F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields))
     known = F.coalesce(F.col(metrics), blank.cast(kind))
     failed = known.withField("stale", F.lit(True)).withField("error", F.col("_failure"))
     done = outcomes.select(F.col(key).alias("_key"), F.col("new_metrics").cast(kind).alias("_new"), F.col("failure").alias("_failure"), F.lit(True).alias("_seen"))
-    joined = tools.join(done, tools[key] == F.col("_key"), "left")
+    joined = entities.join(done, entities[key] == F.col("_key"), "left")
     value = F.when(F.col("_failure").isNotNull(), failed).when(F.col("_seen"), F.coalesce("_new", empty)).otherwise(F.col(metrics))
     return joined.withColumn(metrics, value).drop("_key", "_new", "_failure", "_seen")
 

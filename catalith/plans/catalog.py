@@ -18,52 +18,52 @@ BASELINE = "essentials"
 
 @dataclass(frozen=True)
 class Catalog:
-    tools: DataFrame
+    entities: DataFrame
     categories: DataFrame
     stacks: DataFrame
 
     @classmethod
-    def load(cls, spark: SparkSession, folder: str) -> Catalog:
-        """Read and check a catalog folder; the first broken rule is raised."""
-        made = cls(toml.read_tools(spark, f"{folder}/tools").cache(), toml.read_categories(spark, f"{folder}/categories.toml").cache(), toml.read_stacks(spark, f"{folder}/stacks").cache())
+    def load(cls, spark: SparkSession, folder: str, entities: str = "entities") -> Catalog:
+        """Read and check a catalog folder; the first broken rule is raised.  ``entities`` names the folder of its rows."""
+        made = cls(toml.read_entities(spark, f"{folder}/{entities}").cache(), toml.read_categories(spark, f"{folder}/categories.toml").cache(), toml.read_stacks(spark, f"{folder}/stacks").cache())
         made.validate()
         return made
 
     def validate(self) -> None:
-        first = relations.violations(self.tools, self.categories, self.stacks).orderBy("severity", "subject", "detail").first()
+        first = relations.violations(self.entities, self.categories, self.stacks).orderBy("part", "subject", "place", "severity", "detail").first()
         if first is not None:
             raise ValueError(f"{first['kind']}: {first['subject']} ({first['detail']})")
 
-    def get(self, tool_id: str) -> DataFrame:
-        return self.tools.where(F.col("id") == tool_id).limit(1)
+    def get(self, entity_id: str) -> DataFrame:
+        return self.entities.where(F.col("id") == entity_id).limit(1)
 
-    def list_tools(self, category: str | None = None) -> DataFrame:
-        """Tools in id order, of one category if given; unknown categories have none."""
-        found = self.tools if category is None else self.tools.where(F.col("category") == category)
+    def list_entities(self, category: str | None = None) -> DataFrame:
+        """Entities in id order, of one category if given; unknown categories have none."""
+        found = self.entities if category is None else self.entities.where(F.col("category") == category)
         return found.orderBy("id")
 
     def sample(self, preferred: str) -> DataFrame:
-        """One pretty JSON row: the preferred tool, else the first."""
-        return export.json_rows(self.tools.orderBy(F.col("id") != preferred, "id").limit(1), pretty=True)
+        """One pretty JSON row: the preferred entity, else the first."""
+        return export.json_rows(self.entities.orderBy(F.col("id") != preferred, "id").limit(1), pretty=True)
 
     def search(self, needle: str) -> DataFrame:
         """Keyword search over name, id, category, remarks and alternatives; live before archived, then relevance."""
-        hits = filters.search_any(self.tools, needle, ["name", "id", "category", "remarks"], ["alternatives"])
+        hits = filters.search_any(self.entities, needle, ["name", "id", "category", "remarks"], ["alternatives"])
         return hits.withColumns({"archived": archived(), "relevance": relevance()}).orderBy("archived", F.desc("relevance"), "name", "id")
 
     def grouped(self) -> DataFrame:
-        """Tools of every non-empty category with ``category_ord``, ``rank`` and ``position``."""
-        joined = self.tools.join(self.categories.select(F.col("id").alias("category"), F.col("ord").alias("category_ord"), F.col("name").alias("category_name"), F.col("description").alias("category_description")), "category")
+        """Entities of every non-empty category with ``category_ord``, ``rank`` and ``position``."""
+        joined = self.entities.join(self.categories.select(F.col("id").alias("category"), F.col("ord").alias("category_ord"), F.col("name").alias("category_name"), F.col("description").alias("category_description")), "category")
         order = [F.asc(archived()), F.desc("recommended"), F.desc(relevance()), F.asc("name"), F.asc("id")]
         return ranking.display_position(ranking.rank_in_group(joined, "category", order), F.col("category_ord"), F.col("rank"))
 
     def resolve(self, references: DataFrame, reference: str) -> DataFrame:
-        """References with the tool they mean: by id or name, ignoring case and qualifiers."""
-        return relations.resolve_references(references, reference, self.tools, ["id", "name"], "id")
+        """References with the entity they mean: by id or name, ignoring case and qualifiers."""
+        return relations.resolve_references(references, reference, self.entities, ["id", "name"], "id")
 
     def relations(self, kind: str) -> DataFrame:
-        """Per tool its ``kind`` relations (alternatives, successors, related) resolved, in order."""
-        return relations.resolve_array(self.tools, "id", kind, self.tools, ["id", "name"], "id", kind)
+        """Per entity its ``kind`` relations (alternatives, successors, related) resolved, in order."""
+        return relations.resolve_array(self.entities, "id", kind, self.entities, ["id", "name"], "id", kind)
 
     def picks(self) -> DataFrame:
         """Stack picks in order (stack_id, pick_ord, tool, note)."""
@@ -75,7 +75,7 @@ class Catalog:
     def stack_cards(self, baseline: str = BASELINE) -> DataFrame:
         """Per stack but the baseline: pick count, crates to install, names that have none."""
         crate = S.install_crate(F.col("installable"), F.col("crate"), F.col("metrics.crate.name"))
-        named = self.picks().join(self.tools.select(F.col("id").alias("tool"), "name", crate.alias("_crate")), "tool")
+        named = self.picks().join(self.entities.select(F.col("id").alias("tool"), "name", crate.alias("_crate")), "tool")
         lists = named.groupBy("stack_id").agg(
             F.sort_array(F.collect_list(F.when(F.col("_crate").isNotNull(), F.struct("pick_ord", F.col("_crate").alias("v"))))).alias("_c"),
             F.sort_array(F.collect_list(F.when(F.col("_crate").isNull(), F.struct("pick_ord", F.col("name").alias("v"))))).alias("_n"),
@@ -85,12 +85,12 @@ class Catalog:
         return cards.select("id", "name", "description", "intro", F.size("picks").alias("n_picks"), values("_c").alias("install_crates"), values("_n").alias("uncovered"))
 
     def baseline_layer(self, baseline: str = BASELINE) -> DataFrame:
-        """The baseline's picks that are tools: pick_ord, tool, name, crate to install."""
+        """The baseline's picks that are entities: pick_ord, tool, name, crate to install."""
         crate = S.install_crate(F.col("installable"), F.col("crate"), F.col("metrics.crate.name")).alias("install_crate")
-        return self.picks().where(F.col("stack_id") == baseline).join(self.tools.select(F.col("id").alias("tool"), "name", crate), "tool").select("pick_ord", "tool", "name", "install_crate")
+        return self.picks().where(F.col("stack_id") == baseline).join(self.entities.select(F.col("id").alias("tool"), "name", crate), "tool").select("pick_ord", "tool", "name", "install_crate")
 
     def view(self, today: Column) -> DataFrame:
-        """The listing's row per tool: position, labels, sort keys, haystack, licence tokens."""
+        """The listing's row per entity: position, labels, sort keys, haystack, licence tokens."""
         m = "metrics."
         licence = F.coalesce(m + "crate.license", m + "license")
         families = F.coalesce(S.license_families(licence), F.array().cast("array<string>"))
@@ -126,26 +126,45 @@ class Catalog:
             F.coalesce(m + "crate.owners", F.array().cast("array<string>")).alias("owners"),
         )
 
+    def shown(self, spec: FilterSpec, today: Column, baseline: str = BASELINE) -> DataFrame:
+        """The listing's rows under a filter state, marked."""
+        marked = filters.membership_marks(self.view(today), "id", self.picks(), spec.stack or None, baseline)
+        return filters.stack_filter(filters.faceted_filter(marked, spec.predicates()), spec.stack or None)
+
     def browse(self, spec: FilterSpec, today: Column, baseline: str = BASELINE) -> DataFrame:
         """The listing under a filter state, marked and sorted inside categories."""
-        marked = filters.membership_marks(self.view(today), "id", self.picks(), spec.stack or None, baseline)
-        shown = filters.stack_filter(filters.faceted_filter(marked, spec.predicates()), spec.stack or None)
-        return shown.orderBy("category_ord", *ranking.sort_order(spec.sort))
+        return self.shown(spec, today, baseline).orderBy("category_ord", *ranking.sort_order(spec.sort))
 
     def category_counts(self, spec: FilterSpec, today: Column, baseline: str = BASELINE) -> DataFrame:
-        """Visible tools per category; empty categories stay with 0."""
+        """Visible entities per category; empty categories stay with 0."""
         marked = filters.membership_marks(self.view(today), "id", self.picks(), spec.stack or None, baseline)
         stack = (F.col("is_pick") | F.col("is_baseline")) if spec.stack else None
         counted = filters.facet_counts(marked, "category", [*spec.predicates(), stack])
         return self.categories.select(F.col("ord"), F.col("id").alias("category")).join(counted, "category", "left").select("ord", "category", F.coalesce("n", F.lit(0)).alias("n"))
 
+    def visible_counts(self, spec: FilterSpec, today: Column, baseline: str = BASELINE) -> DataFrame:
+        """One row: rows shown, and highlighted ones (picks of the active stack) among them."""
+        return self.shown(spec, today, baseline).agg(F.count("*").alias("n_visible"), F.count_if("is_pick").alias("n_highlighted"))
+
+    def category_references(self) -> DataFrame:
+        return self.categories.select("id", "name")
+
+    def stack_notes(self, active: str | None, baseline: str = BASELINE) -> DataFrame:
+        """Notes on picks (stack, pick_ord, tool, note) that a listing shows: of the active stack, and the baseline's if any is active."""
+        shown = F.lit(False) if not active else F.col("stack_id").isin(active, baseline)
+        return self.picks().where(shown)
+
+    def banners(self, active: str | None) -> DataFrame:
+        """Stacks with ``visible``: a stack's banner shows while it is active."""
+        return self.stacks.select("id", "name", F.col("id").eqNullSafe(F.lit(active)).alias("visible"))
+
     def license_options(self) -> DataFrame:
         licence = F.coalesce("metrics.crate.license", "metrics.license")
-        flat = self.tools.select("id", F.posexplode(S.license_families(licence)).alias("pos", "label"))
+        flat = self.entities.select("id", F.posexplode(S.license_families(licence)).alias("pos", "label"))
         return ranking.distinct_first_label(flat, "label", ["id", "pos"]).orderBy("key")
 
     def msrv_options(self) -> DataFrame:
-        return ranking.distinct_versions(self.tools.select(F.col("metrics.crate.msrv").alias("msrv")), "msrv").orderBy("key", "version")
+        return ranking.distinct_versions(self.entities.select(F.col("metrics.crate.msrv").alias("msrv")), "msrv").orderBy("key", "version")
 
     def totals(self) -> DataFrame:
         return ranking.group_totals(self.grouped(), "category")
@@ -155,7 +174,7 @@ class Catalog:
         return self.grouped().agg(F.date_format(F.max(F.to_date("metrics.updated_at")), "d MMM yyyy").alias("refreshed"))
 
     def text_export(self) -> DataFrame:
-        """Rows (section_order, text): one section per category, one block per tool."""
+        """Rows (section_order, text): one section per category, one block per entity."""
         c = "metrics.crate."
         facts = export.facts(
             F.concat(F.col(c + "downloads_total").cast("string"), F.lit(" downloads")),
@@ -176,13 +195,13 @@ class Catalog:
         )
         return export.sections(self.grouped().withColumn("_block", block), "category_ord", "category_name", "category_description", "rank", "_block").orderBy("section_order")
 
-    def text_header(self, title: str, *about: str) -> DataFrame:
-        """One row (text): title, lines about the catalog, and its totals."""
-        totals = self.totals().where("is_total").select(F.concat(F.col("n").cast("string"), F.lit(" tools across "), F.col("n_groups").cast("string"), F.lit(" categories.")).alias("_t"))
+    def text_header(self, title: str, *about: str, noun: str = "entities") -> DataFrame:
+        """One row (text): title, lines about the catalog, and its totals of what ``noun`` calls them."""
+        totals = self.totals().where("is_total").select(F.concat(F.col("n").cast("string"), F.lit(f" {noun} across "), F.col("n_groups").cast("string"), F.lit(" categories.")).alias("_t"))
         return totals.select(F.concat_ws("\n", F.lit(f"# {title}"), *(F.lit(x) for x in about), "_t").alias("text"))
 
     def sitemap(self, base_url: str, baseline: str = BASELINE) -> DataFrame:
-        return export.sitemap(self.tools, self.stacks, base_url, baseline).orderBy("ord", "id")
+        return export.sitemap(self.entities, self.stacks, base_url, baseline).orderBy("ord", "id")
 
 
 def archived() -> Column:

@@ -35,7 +35,7 @@ METRICS = T.StructType(
         T.StructField("crate", CRATE),
     ]
 )
-TOOL = T.StructType(
+ENTITY = T.StructType(
     [
         T.StructField("id", _S),
         T.StructField("name", _S),
@@ -58,9 +58,9 @@ STACK = T.StructType([T.StructField("id", _S), T.StructField("name", _S), T.Stru
 CATEGORY = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("id", _S), T.StructField("name", _S), T.StructField("description", _S)])
 
 #: Keys without which a record is malformed, and what absent optional keys become.
-REQUIRED = {"tool": ["id", "name", "repository", "category"], "stack": ["id", "name"], "category": ["id", "name"], "pick": ["tool"], "crate": ["name"]}
+REQUIRED = {"entity": ["id", "name", "repository", "category"], "stack": ["id", "name"], "category": ["id", "name"], "pick": ["tool"], "crate": ["name"]}
 DEFAULTS = {
-    "tool": {"remarks": "", "installable": True, "alternatives": [], "successors": [], "related": [], "recommended": False},
+    "entity": {"remarks": "", "installable": True, "alternatives": [], "successors": [], "related": [], "recommended": False},
     "metrics": {"archived": False, "stale": False},
     "crate": {"owners": []},
     "stack": {"description": "", "intro": "", "picks": []},

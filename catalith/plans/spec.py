@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from urllib.parse import parse_qs, urlencode, urlsplit
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.operators.filters import at_most_version
@@ -55,3 +55,34 @@ class FilterSpec:
             F.array_contains(licenses, self.license) if self.license else None,
             at_most_version(msrv, self.msrv) if self.msrv else None,
         ]
+
+
+def states(df: DataFrame, url: str, licenses: set[str] | None = None, msrvs: set[str] | None = None, stacks: set[str] | None = None) -> DataFrame:
+    """Adds the state's fields to rows with a url each; values that are not on their option list (where one is given) are ignored."""
+    arg = lambda key: F.coalesce(F.try_url_decode(F.try_parse_url(F.col(url), F.lit("QUERY"), F.lit(key))), F.lit(""))
+    listed = lambda key, options: arg(key) if options is None else F.when(arg(key).isin(*options), arg(key)).otherwise("")
+    return df.withColumns(
+        {
+            "q": arg("q"),
+            "license": listed("license", licenses),
+            "msrv": listed("msrv", msrvs),
+            "sort": F.when(arg("sort").isin(*SORT_MODES), arg("sort")).otherwise("default"),
+            "deprecated": arg("deprecated") != "0",
+            "recommended": arg("recommended") == "1",
+            "stack": listed("stack", stacks),
+        }
+    )
+
+
+def active_count() -> Column:
+    """Active filters of a state's columns; search text doesn't count, a sort order does."""
+    c = F.col
+    active = (c("license") != "", c("msrv") != "", c("sort") != "default", ~c("deprecated"), c("recommended"), c("stack") != "")
+    return sum((a.cast("int") for a in active), F.lit(0))
+
+
+def query_string() -> Column:
+    """A state's columns as a query string, only what differs from the defaults."""
+    c = F.col
+    given = [("q", F.btrim(c("q"))), ("license", c("license")), ("msrv", c("msrv")), ("sort", F.nullif(c("sort"), F.lit("default"))), ("deprecated", F.when(~c("deprecated"), "0")), ("recommended", F.when(c("recommended"), "1")), ("stack", c("stack"))]
+    return F.concat_ws("&", *(F.when(v != "", F.concat(F.lit(f"{k}="), F.url_encode(v))) for k, v in given))

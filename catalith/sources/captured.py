@@ -1,8 +1,9 @@
 """Captured responses of code forges and of a package registry.
 
 There are no live calls: responses are JSON documents that some fetcher stored, one per
-line, with the tool's id.  Each source is read under a declared schema and projected to one
-normal form; a response that holds an error gives an error column, not a failed job.
+line, with the entity's id.  Each source is read under a declared schema and projected to one
+normal form.  A response that reports an error, can't be decoded, has no success status or never
+came gives an error column, not a failed job and not a row of nulls.
 """
 
 from __future__ import annotations
@@ -39,16 +40,36 @@ def _normal(host: str) -> dict[str, Column]:
     return both | {"stars": c("stars_count"), "last_commit": stamp_date(c("updated_at")), "license": F.lit(None).cast("string")}
 
 
+#: What any unusable response is called; a reported error keeps its own text.
+MISSING, UNREADABLE = "no response", "cannot decode the response"
+
+
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Stored responses: id, kind (a host, ``registry`` or ``owners``), body, error."""
-    return spark.read.schema("id string, kind string, body string, error string").json(path)
+    """Stored responses: id, kind (a host, ``registry`` or ``owners``), body, error, status (null: not recorded)."""
+    return spark.read.schema("id string, kind string, body string, error string, status int").json(path)
+
+
+def decoded(responses: DataFrame, schema: str, required: str | None = None) -> DataFrame:
+    """Adds ``_r``, the body under ``schema``, and ``_error`` where it can't be used.
+
+    A body counts as decoded if it is one JSON object whose known fields have their types and
+    that holds ``required``; other fields are free.
+    """
+    flat = f"{schema}, _corrupt string"
+    status = F.col("status") if "status" in responses.columns else F.lit(None).cast("int")
+    read = responses.withColumn("_p", F.from_json("body", flat, {"columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("body").isNull() | F.col("_p").isNull() | F.col("_p._corrupt").isNotNull() | ~F.trim(F.col("body")).startswith("{")
+    if required:
+        bad = bad | F.col(f"_p.{required}").isNull()
+    error = F.coalesce(F.col("error"), F.when(~status.between(200, 299), F.concat(F.lit("status "), status.cast("string"))), F.when(bad, F.lit(UNREADABLE)))
+    return read.withColumns({"_error": error, "_r": F.when(error.isNull(), F.col("_p"))}).drop("_p")
 
 
-def route(tools: DataFrame) -> DataFrame:
-    """Tools with ``host`` (null if no source serves it), owner, repo and ``failure`` for an unusable url."""
+def route(entities: DataFrame) -> DataFrame:
+    """Entities with ``host`` (null if no source serves it), owner, repo and ``failure`` for an unusable url."""
     host = url_host(F.col("repository"))
     known = F.when(host.isin(*FORGES), host)
-    return tools.withColumns({"host": known, "_or": owner_repo(F.col("repository"))}).withColumns(
+    return entities.withColumns({"host": known, "_or": owner_repo(F.col("repository"))}).withColumns(
         {"owner": F.col("_or.owner"), "repo": F.col("_or.repo"), "failure": F.when(known.isNotNull() & F.col("_or").isNull(), F.lit("cannot parse owner and repository"))}
     ).drop("_or")
 
@@ -57,9 +78,9 @@ def forge_metrics(responses: DataFrame) -> DataFrame:
     """(id, forge struct, forge_error) of all forge responses in one form."""
     parts = []
     for host, schema in FORGES.items():
-        own = responses.where(F.col("kind") == host).withColumn("_r", F.from_json("body", schema))
+        own = decoded(responses.where(F.col("kind") == host), schema)
         n = _normal(host)
-        parts.append(own.select("id", F.when(F.col("error").isNull(), F.struct(*(n[k].alias(k) for k in FORGE_COLUMNS))).alias("forge"), F.col("error").alias("forge_error")))
+        parts.append(own.select("id", F.when(F.col("_error").isNull(), F.struct(*(n[k].alias(k) for k in FORGE_COLUMNS))).alias("forge"), F.col("_error").alias("forge_error")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -70,8 +91,8 @@ def owner_names(users: Column) -> Column:
 
 def registry_metrics(responses: DataFrame) -> DataFrame:
     """(id, registry struct, registry_error); owners are best effort and default to none."""
-    owners = responses.where((F.col("kind") == "owners") & F.col("error").isNull()).select(F.col("id").alias("_oid"), owner_names(F.from_json("body", OWNERS)["users"]).alias("_owners"))
-    own = responses.where(F.col("kind") == "registry").withColumn("_r", F.from_json("body", REGISTRY)).join(owners, F.col("id") == F.col("_oid"), "left")
+    owners = decoded(responses.where(F.col("kind") == "owners"), OWNERS).select(F.col("id").alias("_oid"), owner_names(F.col("_r.users")).alias("_owners"))
+    own = decoded(responses.where(F.col("kind") == "registry"), REGISTRY, "crate").join(owners, F.col("id") == F.col("_oid"), "left")
     own = own.withColumn("_v", newest_version(F.col("_r.versions"), F.col("_r.crate.newest_version")))
     crate = F.struct(
         F.col("id").alias("name"),
@@ -83,18 +104,28 @@ def registry_metrics(responses: DataFrame) -> DataFrame:
         F.col("_v.license").alias("license"),
         F.coalesce("_owners", F.array().cast("array<string>")).alias("owners"),
     )
-    return own.select("id", F.when(F.col("error").isNull(), crate).alias("registry"), F.col("error").alias("registry_error"))
+    return own.select("id", F.when(F.col("_error").isNull(), crate).alias("registry"), F.col("_error").alias("registry_error"))
 
 
-def outcomes(tools: DataFrame, responses: DataFrame) -> DataFrame:
-    """Refresh outcomes (id, forge, registry, failure): a registry failure fails the tool even if its forge answered."""
-    routed = route(tools).select("id", "crate", "host", F.col("failure").alias("_bad"))
+def outcomes(entities: DataFrame, responses: DataFrame) -> DataFrame:
+    """Refresh outcomes (id, forge, registry, failure): a registry failure fails the entity even if its forge answered."""
+    routed = route(entities).select("id", "crate", "host", F.col("failure").alias("_bad"))
     joined = routed.join(forge_metrics(responses), "id", "left").join(registry_metrics(responses), "id", "left")
     wants = F.col("crate").isNotNull()
-    failure = F.coalesce("_bad", F.when(F.col("host").isNotNull(), F.col("forge_error")), F.when(wants, F.col("registry_error")))
+    lacks = lambda value, error: F.coalesce(F.col(error), F.when(F.col(value).isNull(), F.lit(MISSING)))
+    failure = F.coalesce("_bad", F.when(F.col("host").isNotNull(), lacks("forge", "forge_error")), F.when(wants, lacks("registry", "registry_error")))
     return joined.select("id", F.when(F.col("host").isNotNull(), F.col("forge")).alias("forge"), F.when(wants, F.struct(F.col("crate").alias("name"), *(F.col(f"registry.{n}").alias(n) for n in ("downloads_total", "downloads_recent", "latest_version", "latest_release", "msrv", "license", "owners")))).alias("registry"), failure.alias("failure"))
 
 
+PACKAGES = "crates array<struct<name: string, recent_downloads: long, max_stable_version: string, newest_version: string, description: string>>"
+
+
+def read_pages(pages: DataFrame, pages_wanted: int | None = None) -> DataFrame:
+    """Packages of stored pages (page, body, error, status) of a keyword scan, up to page ``pages_wanted``."""
+    kept = pages if pages_wanted is None else pages.where(F.col("page") <= pages_wanted)
+    return decoded(kept, PACKAGES, "crates").where("_error IS NULL").select("page", F.inline("_r.crates"))
+
+
 def discover(packages: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """Keyword-scan listing: most recent downloads first, one page; the limit is the feature."""
     shown = packages.select("name", F.coalesce("recent_downloads", F.lit(0)).alias("recent"), F.coalesce("max_stable_version", "newest_version", F.lit("")).alias("version"), short_line(F.col("description")).alias("description"))

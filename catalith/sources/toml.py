@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalith.plans.schema import CATEGORY, DEFAULTS, REQUIRED, STACK, TOOL
+from catalith.plans.schema import CATEGORY, DEFAULTS, REQUIRED, STACK, ENTITY
 
 _MAX_COUNT = {"stars": 2**32 - 1, "forks": 2**32 - 1, "open_issues": 2**32 - 1}
 
@@ -45,10 +45,10 @@ def bind(kind: str, record: dict[str, Any], where: str) -> dict[str, Any]:
     return DEFAULTS.get(kind, {}) | record
 
 
-def bind_tool(record: dict[str, Any], where: str) -> dict[str, Any]:
-    tool = bind("tool", record, where)
-    tool["added"] = _date(tool.get("added"))
-    if (m := tool.get("metrics")) is not None:
+def bind_entity(record: dict[str, Any], where: str) -> dict[str, Any]:
+    entity = bind("entity", record, where)
+    entity["added"] = _date(entity.get("added"))
+    if (m := entity.get("metrics")) is not None:
         m = bind("metrics", m, where)
         for key, most in _MAX_COUNT.items():
             if m.get(key) is not None and not 0 <= m[key] <= most:
@@ -60,8 +60,8 @@ def bind_tool(record: dict[str, Any], where: str) -> dict[str, Any]:
             c = bind("crate", c, where)
             c["latest_release"] = _date(c.get("latest_release"))
             m["crate"] = c
-        tool["metrics"] = m
-    return tool
+        entity["metrics"] = m
+    return entity
 
 
 def bind_stack(record: dict[str, Any], where: str) -> dict[str, Any]:
@@ -111,13 +111,18 @@ def _files(spark: SparkSession, path: str, only: str | None = None) -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", f"{only or '*'}.toml").option("recursiveFileLookup", "false").load(path)
 
 
-def read_tools(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+def parse_entities(files: DataFrame) -> DataFrame:
+    """One row per file of a frame (path, content)."""
+    return _parsed(files, ENTITY, lambda doc, where: [bind_entity(doc, where)])
+
+
+def read_entities(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
     """One row per file of a folder; ``only`` reads a single file by its stem."""
-    return _parsed(_files(spark, path, only), TOOL, lambda doc, where: [bind_tool(doc, where)])
+    return parse_entities(_files(spark, path, only))
 
 
 def read_stacks(spark: SparkSession, path: str) -> DataFrame:
-    """As :func:`read_tools` for stacks; a missing folder is an empty relation."""
+    """As :func:`read_entities` for stacks; a missing folder is an empty relation."""
     jvm = spark.sparkContext._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)
     if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
@@ -131,9 +136,34 @@ def read_categories(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(files, CATEGORY, lambda doc, where: [bind("category", c, where) | {"ord": i} for i, c in enumerate(doc.get("category", []))])
 
 
-def write_metrics(tools: DataFrame, path: str) -> None:
+def write_metrics(entities: DataFrame, path: str) -> None:
     """Refreshed metrics as a Parquet table by category; comments of hand-written TOML are not kept anywhere."""
-    tools.select("id", "category", "metrics").write.mode("overwrite").partitionBy("category").parquet(path)
+    entities.select("id", "category", "metrics").write.mode("overwrite").partitionBy("category").parquet(path)
+
+
+def table_lines(values: Column, fields: list[str]) -> Column:
+    """``key = value`` lines of a struct's numbers, flags and texts; null fields are left out."""
+    text = F.from_json(F.to_json(values), "map<string,string>")
+    typed = F.from_json(F.to_json(F.struct(values.alias("v"))), "v map<string,string>")["v"]
+
+    def line(name: str) -> Column:
+        raw, quoted = typed[name], F.to_json(F.struct(values[name].cast("string").alias("v")))
+        plain = raw.rlike(r"^(?:-?\d+(?:\.\d+)?|true|false)$")
+        return F.when(text[name].isNotNull(), F.concat(F.lit(f"{name} = "), F.when(plain, raw).otherwise(F.substring(quoted, F.lit(6), F.length(quoted) - 6)), F.lit("\n")))
+
+    return F.concat(*(F.coalesce(line(f), F.lit("")) for f in fields))
+
+
+def replace_table(text: Column, table: str, lines: Column) -> Column:
+    """A TOML text whose table (with its sub-tables) holds ``lines``; all else, comments too, stays as written.
+
+    A text without the table gets it at its end.
+    """
+    old = rf"(?m)^\[{table}(?:\.[^\]\n]*)?\][^\n]*\n?(?:(?!\[)[^\n]*\n|(?!\[)[^\n]+\z)*"
+    rest = F.regexp_replace(text, old, "")
+    ahead = F.when(text.rlike(old), F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(old)) - 1)).otherwise(F.concat(rest, F.when((rest == "") | rest.endswith("\n"), "").otherwise("\n")))
+    behind = F.substring(rest, F.length(ahead) + 1, F.length(rest))
+    return F.concat(ahead, F.lit(f"[{table}]\n"), lines, behind)
 
 
 def metrics_struct(forge: str | None, registry: str | None, stamp: Column) -> Column:

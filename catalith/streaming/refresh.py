@@ -1,7 +1,7 @@
 """Refresh outcomes as a stream.
 
 An extension of the batch upsert: outcomes arrive as files, every micro-batch is applied
-to the stored tools under last-known-good rules, and the new table replaces the old by
+to the stored entities under last-known-good rules, and the new table replaces the old by
 version, so readers see whole tables only and a repeated batch writes the same version.
 """
 
@@ -21,11 +21,11 @@ def latest_outcomes(outcomes: DataFrame, key: str = "id", time: str = "at") -> D
 
 
 def apply_outcomes(spark: SparkSession, source: str, schema: StructType, tables: str, checkpoint: str) -> StreamingQuery:
-    """Start the stream: ``tables``/v=N holds the tools after micro-batch N - 1; ``tables``/v=0 is the start."""
+    """Start the stream: ``tables``/v=N holds the entities after micro-batch N - 1; ``tables``/v=0 is the start."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        tools = batch.sparkSession.read.parquet(f"{tables}/v={number}")
-        upsert_metrics(tools, latest_outcomes(batch)).write.mode("overwrite").parquet(f"{tables}/v={number + 1}")
+        entities = batch.sparkSession.read.parquet(f"{tables}/v={number}")
+        upsert_metrics(entities, latest_outcomes(batch)).write.mode("overwrite").parquet(f"{tables}/v={number + 1}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

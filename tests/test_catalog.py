@@ -25,7 +25,7 @@ name = "Nothing"
 id = "build"
 name = "Building"
 """
-TOOLS = {
+ENTITIES = {
     "alpha": """
 id = "alpha"
 name = "Alpha"
@@ -103,16 +103,16 @@ def today():
     return F.lit(dt.date(2024, 3, 1))
 
 
-def write(folder, tools=TOOLS, stacks=STACKS):
-    (folder / "tools").mkdir()
-    for k, v in tools.items():
-        (folder / "tools" / f"{k}.toml").write_text(v)
+def write(folder, entities=ENTITIES, stacks=STACKS):
+    (folder / "entities").mkdir()
+    for k, v in entities.items():
+        (folder / "entities" / f"{k}.toml").write_text(v)
     if stacks is not None:
         (folder / "stacks").mkdir()
         for k, v in stacks.items():
             (folder / "stacks" / f"{k}.toml").write_text(v)
     (folder / "categories.toml").write_text(CATEGORIES)
-    (folder / "tools" / "notes.txt").write_text("not a tool")
+    (folder / "entities" / "notes.txt").write_text("not an entity")
     return str(folder)
 
 
@@ -122,8 +122,8 @@ def catalog(spark, tmp_path_factory):
 
 
 def test_load(catalog):
-    rows = {r["id"]: r for r in catalog.tools.collect()}
-    assert set(rows) == set(TOOLS)
+    rows = {r["id"]: r for r in catalog.entities.collect()}
+    assert set(rows) == set(ENTITIES)
     assert rows["delta"]["installable"] is True and rows["delta"]["alternatives"] == [] and rows["delta"]["metrics"] is None
     m = rows["alpha"]["metrics"]
     assert m["updated_at_raw"].endswith("801146060+00:00") and m["updated_at"].microsecond == 801146 and m["archived"] is False and m["crate"]["owners"] == []
@@ -139,20 +139,20 @@ def test_unknown_category_and_pick_are_rejected(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "b").mkdir()
     with pytest.raises(ValueError, match="unknown category"):
-        Catalog.load(spark, write(tmp_path / "a", {"x": TOOLS["delta"].replace('"build"', '"nowhere"')}, None))
+        Catalog.load(spark, write(tmp_path / "a", {"x": ENTITIES["delta"].replace('"build"', '"nowhere"')}, None))
     with pytest.raises(ValueError, match="unknown pick"):
-        Catalog.load(spark, write(tmp_path / "b", {"alpha": TOOLS["alpha"]}, {"s": 'id = "s"\nname = "S"\n[[pick]]\ntool = "ghost"\n'}))
+        Catalog.load(spark, write(tmp_path / "b", {"alpha": ENTITIES["alpha"]}, {"s": 'id = "s"\nname = "S"\n[[pick]]\ntool = "ghost"\n'}))
 
 
 def test_duplicates_are_rejected_and_stacks_may_be_missing(spark, tmp_path):
-    with pytest.raises(ValueError, match="duplicate tool"):
-        Catalog.load(spark, write(tmp_path, TOOLS | {"copy": TOOLS["delta"]}, None))
+    with pytest.raises(ValueError, match="duplicate entity"):
+        Catalog.load(spark, write(tmp_path, ENTITIES | {"copy": ENTITIES["delta"]}, None))
 
 
 def test_required_keys(spark, tmp_path):
     (tmp_path / "x.toml").write_text('id = "x"')
-    with pytest.raises(Exception, match="tool has no name"):
-        toml.read_tools(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="entity has no name"):
+        toml.read_entities(spark, str(tmp_path)).collect()
 
 
 def test_search(catalog):
@@ -217,7 +217,7 @@ def test_facets(catalog):
 def test_text_export(catalog):
     first = catalog.text_export().first()["text"]
     assert first.startswith("## Testing (3)\nRun tests.\n\n- Gamma [RECOMMENDED]: https://example.org/gamma\n  Rust 1.74.0+\n\n- Alpha: https://github.com/x/alpha\n  1250 downloads · Rust 1.74+ · 10 stars · last commit 2024-02-28 · MIT\n  Runs fuzz tests.\n  Fast.\n  alternatives: BETA (old), none of these\n\n- Beta [RECOMMENDED] [DEPRECATED]")
-    assert catalog.text_header("Tools", "About.").first()["text"] == "# Tools\nAbout.\n4 tools across 2 categories."
+    assert catalog.text_header("Entities", "About.").first()["text"] == "# Entities\nAbout.\n4 entities across 2 categories."
 
 
 def test_sitemap_and_json(catalog):
@@ -232,9 +232,9 @@ def test_refresh(spark, catalog):
     crate = json.dumps({"crate": {"downloads": 7, "recent_downloads": 3, "newest_version": "2.0"}, "versions": [{"num": "1.0"}, {"num": "2.0", "rust_version": "1.80", "created_at": "2024-01-05T00:00:00Z"}]})
     rows = [("alpha", "github.com", body, None), ("alpha", "registry", crate, None), ("alpha", "owners", json.dumps({"users": [{"login": "l"}, {"login": "m", "name": "M"}, {}]}), None), ("beta", "gitlab.com", None, "timeout"), ("delta", "codeberg.org", json.dumps({"stars_count": 3}), None)]
     responses = spark.createDataFrame(rows, "id string, kind string, body string, error string")
-    out = captured.outcomes(catalog.tools, responses)
+    out = captured.outcomes(catalog.entities, responses)
     fresh = out.select("id", "failure", toml.metrics_struct("forge", "registry", F.lit("2024-03-02T00:00:00Z")).alias("new_metrics"))
-    new = {r["id"]: r["metrics"] for r in relations.upsert_metrics(catalog.tools, fresh).collect()}
+    new = {r["id"]: r["metrics"] for r in relations.upsert_metrics(catalog.entities, fresh).collect()}
     assert new["alpha"]["stars"] == 99 and new["alpha"]["license"] is None and new["alpha"]["last_commit"] == dt.date(2024, 3, 1)
     assert new["alpha"]["crate"]["msrv"] == "1.80" and new["alpha"]["crate"]["owners"] == ["l", "M"] and new["alpha"]["crate"]["downloads_recent"] == 3
     assert new["beta"]["stale"] is True and new["beta"]["error"] == "timeout" and new["beta"]["stars"] == 5
@@ -244,10 +244,10 @@ def test_refresh(spark, catalog):
 def test_stream_equals_batch(spark, catalog, tmp_path):
     from catalith.streaming.refresh import apply_outcomes
 
-    tools = catalog.tools.select("id", "metrics")
-    tools.write.parquet(f"{tmp_path}/t/v=0")
+    entities = catalog.entities.select("id", "metrics")
+    entities.write.parquet(f"{tmp_path}/t/v=0")
     at = [("alpha", None, "late", 2), ("alpha", None, None, 1)]
-    kind = tools.schema["metrics"].dataType.simpleString()
+    kind = entities.schema["metrics"].dataType.simpleString()
     spark.createDataFrame(at, f"id string, new_metrics {kind}, failure string, at int").write.parquet(f"{tmp_path}/in")
     q = apply_outcomes(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, f"{tmp_path}/t", f"{tmp_path}/c")
     q.awaitTermination()
