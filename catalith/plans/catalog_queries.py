@@ -63,12 +63,12 @@ def display_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-SELECT d.doc_id, coalesce(toxic = 1, false) AS archived, n_chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-WHERE contains(lower(text), 'license')
+SELECT d.doc_id, coalesce(toxic = 1, false) AS archived, n_chars, row_number() OVER (ORDER BY coalesce(toxic = 1, false), n_chars DESC, d.doc_id) AS place
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE contains(lower(text), 'license')
 """)
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = filters.search_any(_documents(spark, sf_dir, "text"), "  LICENSE ", ["text"])
-    return hits.select("doc_id", "archived", "n_chars").orderBy("archived", F.desc("n_chars"), "doc_id")
+    hits = filters.search_any(_documents(spark, sf_dir, "text"), "  LICENSE ", ["text"]).select("doc_id", "archived", "n_chars").withColumn("_all", F.lit(0))
+    return ranking.rank_in_group(hits, "_all", [F.asc("archived"), F.desc("n_chars"), F.asc("doc_id")], "place").drop("_all")
 
 
 @_query("""
@@ -227,7 +227,7 @@ def compact_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^(https://)+', ''), '^(http://)+', ''), '/+$', ''), '^(github[.]com/)+', '') AS label FROM pages
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^(https://)+', ''), '^(http://)+', ''), '/+$', ''), '^github[.]com/', '') AS label FROM pages
 """)
 def repo_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", S.repo_label(F.col("url")).alias("label"))
@@ -327,6 +327,8 @@ def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", export.url_entry(loc, changed, F.lit("0.8")).alias("entry"))
 
 
-@_query(None)
+@_query("""
+SELECT to_json({'doc_id': d.doc_id, 'lang': lang, 'n_chars': n_chars, 'quality': quality, 'toxic': toxic, 'archived': coalesce(toxic = 1, false)}) AS json FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+""")
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.json_rows(_documents(spark, sf_dir))
