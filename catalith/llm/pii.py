@@ -18,8 +18,8 @@ date        yyyy-mm-dd, yyyy/mm/dd,        the day in that range
             mm/dd/yyyy, dd.mm.yyyy, a real
             day in 1900-01-01..2100-01-01
 email       name@domain                    letters and digits of the name by class
-token       hex secret after the name of   all hex digits
-            one and = or :
+token       hex secret after the name of   all hex digits; with capitals: capitals, small
+            one and = or :                 letters and digits each among themselves
 ==========  =============================  ============================================
 
 Strings use a Feistel network of ``ROUNDS`` rounds on two halves whose characters move
@@ -38,8 +38,8 @@ digits, then others); what then remains is tested in pieces of up to 19 digits.
 Only documents that hold a match pay more than one scan; there is no shuffle.
 
 Defined results: null text stays null; texts without a match are returned unchanged;
-repeated rows are treated alike; an empty table gives an empty result; input columns
-named like an output column are replaced.
+texts are searched whole, however long; repeated rows are treated alike; an empty table gives
+an empty result; input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -84,6 +84,8 @@ KINDS = ["email", "phone", "date", "ssn", "ip", "card", "token"]
 #: Character classes as (first code point, size): digits, small, capital, Latin-1 small and capital letters.
 CLASSES = [(48, 10), (97, 26), (65, 26), (0xE0, 23), (0xC0, 23)]
 HEX = "0123456789abcdef"
+#: Classes of a token that holds capital letters: its capitals, small letters and digits stay where they are.
+HEX_CLASSES = [(48, 10), (97, 6), (65, 6)]
 
 
 def _letter_runs() -> list[tuple[int, int]]:
@@ -124,14 +126,14 @@ def permute_pair(key: str, kind: str, left: Column, right: Column, a: int, b: in
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
 
 
-def _shift_class(ch: Column, by: Column, hexed: bool) -> Column:
-    if hexed:
-        place = F.locate(HEX[0], F.lit(HEX)) * 0 + F.instr(F.lit(HEX), F.lower(ch)) - 1
-        moved = F.substring(F.lit(HEX), ((place + by) % 16 + 1).cast("int"), F.lit(1))
-        return F.when(ch.rlike("[A-F]") | ch.rlike("[a-f0-9]"), moved).otherwise(ch)
+def _shift_class(ch: Column, by: Column, classes: list[tuple[int, int]] | None) -> Column:
+    """A character moved within its class; without ``classes`` the hexadecimal digits are one."""
+    if classes is None:
+        place = F.instr(F.lit(HEX), ch) - 1
+        return F.when(ch.rlike("[a-f0-9]"), F.substring(F.lit(HEX), ((place + by) % 16 + 1).cast("int"), F.lit(1))).otherwise(ch)
     code = F.ascii(ch)
     out = F.when(code >= 128, _shift_letter(ch, by)).otherwise(ch)
-    for first, size in reversed(CLASSES):
+    for first, size in reversed(classes):
         out = F.when((code >= first) & (code < first + size), _char((code - first + by) % size + first)).otherwise(out)
     return out
 
@@ -151,21 +153,21 @@ def _char(code: Column) -> Column:
     return F.char(code.cast("long"))
 
 
-def _stream(key: str, kind: str, half: Column, i: Column, other: Column, hexed: bool) -> Column:
+def _stream(key: str, kind: str, half: Column, i: Column, other: Column, classes: list[tuple[int, int]] | None) -> Column:
     """``half`` with each character moved by a key stream made from ``other``."""
     chars = F.filter(F.split(half, ""), lambda x: x != "")
     seed = _hash(key, kind, i, other)
-    moved = F.transform(chars, lambda ch, j: _shift_class(ch, _number(F.sha2(F.concat(seed, j.cast("string")), 256), 1, 8), hexed))
+    moved = F.transform(chars, lambda ch, j: _shift_class(ch, _number(F.sha2(F.concat(seed, j.cast("string")), 256), 1, 8), classes))
     return F.array_join(moved, "")
 
 
-def permute_string(key: str, kind: str, value: Column, hexed: bool = False) -> Column:
+def permute_string(key: str, kind: str, value: Column, classes: list[tuple[int, int]] | None = CLASSES) -> Column:
     """Keyed permutation of the strings with ``value``'s character classes."""
     cut = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substring(value, F.lit(1), cut).alias("l"), F.substring(value, cut + 1, F.length(value)).alias("r"))
     turn = lambda s, i: F.when(
-        i % 2 == 0, F.struct(_stream(key, kind, s["l"], i, s["r"], hexed).alias("l"), s["r"].alias("r"))
-    ).otherwise(F.struct(s["l"].alias("l"), _stream(key, kind, s["r"], i, s["l"], hexed).alias("r")))
+        i % 2 == 0, F.struct(_stream(key, kind, s["l"], i, s["r"], classes).alias("l"), s["r"].alias("r"))
+    ).otherwise(F.struct(s["l"].alias("l"), _stream(key, kind, s["r"], i, s["l"], classes).alias("r")))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["l"], s["r"]))
 
 
@@ -342,8 +344,7 @@ def parts(v: Column) -> Column:
 
 def pseudonym(kind: Column, v: Column, key: str) -> Column:
     """The pseudonym of a value of ``kind``; values of no kind stay."""
-    capital = v.rlike("[A-F]") & ~v.rlike("[a-f]")
-    token = permute_string(key, "token", F.lower(v), hexed=True)
+    token = F.when(v.rlike("[A-F]"), permute_string(key, "token", v, HEX_CLASSES)).otherwise(permute_string(key, "token", v, None))
     return (
         F.when(kind == "email", _email(key, v))
         .when(kind == "phone", _phone(key, v))
@@ -351,7 +352,7 @@ def pseudonym(kind: Column, v: Column, key: str) -> Column:
         .when(kind == "ssn", _ssn(key, v))
         .when(kind == "ip", _ip(key, v))
         .when(kind == "card", _card(key, v))
-        .when(kind == "token", F.when(capital, F.upper(token)).otherwise(token))
+        .when(kind == "token", token)
         .otherwise(v)
     )
 
