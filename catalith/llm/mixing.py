@@ -11,12 +11,16 @@ Two passes: counts per source (map-side combined, so a source with a third of al
 one row per task), then the draw.  The rates are joined back by broadcast only if there
 are few sources; otherwise by a shuffled join of which Spark splits skewed keys.
 
+The cumulative distribution is computed once a source, not once a document.
+
 Rates above ``CHUNK`` are drawn as sums of independent Poisson parts, so large rates
 neither underflow nor lengthen the inversion.
 
 Defined results: a null source is a source of its own; a null id hashes as the empty
 text; repeated rows draw the same number; sources without a target get rate 0 under
-explicit targets; an empty table gives an empty result.
+explicit targets; a very long text is copied whole; input columns named like an output column
+are replaced (``replicate``) or stay (``replicate_documents``); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -38,25 +42,27 @@ def uniform(seed: int, *parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def _invert(u: Column, rate: Column) -> Column:
-    """Smallest k with u <= P(Poisson(rate) <= k)."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
-    step = lambda a, i: F.when(
-        u > a["c"],
-        F.struct((a["p"] * rate / i).alias("p"), (a["c"] + a["p"] * rate / i).alias("c"), (a["k"] + 1).alias("k")),
-    ).otherwise(a)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda a: a["k"])
+def cumulative(rate: Column) -> Column:
+    """P(Poisson(rate) <= k) for k from 0, as far as it still grows or ``TERMS``."""
+    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
+    term = lambda a, i: F.struct((a["p"] * rate / i).alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + a["p"] * rate / i)).alias("c"))
+    whole = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, term, lambda a: a["c"])
+    return F.array_distinct(whole)  # the sums never fall, so equal ones stand at the end
+
+
+def _invert(u: Column, below: Column) -> Column:
+    """Smallest k with u <= P(Poisson <= k)."""
+    return F.least(F.lit(TERMS), F.size(F.filter(below, lambda c: c < u)))
 
 
-def poisson(rate: Column, seed: int, key: Column) -> Column:
-    """The hash-seeded Poisson count of a row (long)."""
+def poisson(rate: Column, below: Column, below_chunk: Column, seed: int, key: Column) -> Column:
+    """The hash-seeded Poisson count of a row (long); ``below`` is the table of the rate's rest after whole chunks."""
     whole = F.floor(rate / CHUNK).cast("int")
-    rest = rate - whole * CHUNK
     extra = F.when(
         whole > 0,
-        F.aggregate(F.sequence(F.lit(1), whole), F.lit(0), lambda a, i: a + _invert(uniform(seed, key, i), F.lit(CHUNK))),
+        F.aggregate(F.sequence(F.lit(1), whole), F.lit(0), lambda a, i: a + _invert(uniform(seed, key, i), below_chunk)),
     ).otherwise(0)
-    return (_invert(uniform(seed, key), rest) + extra).cast("long")
+    return (_invert(uniform(seed, key), below) + extra).cast("long")
 
 
 def source_rates(df: DataFrame, source: str, targets: dict[str, float] | None, power: float, total: float | None) -> DataFrame:
@@ -84,11 +90,13 @@ def replicate(df: DataFrame, id_col: str = "doc_id", source: str = "source", tar
 
     Input columns of these names are replaced.
     """
-    rates = source_rates(df, source, targets, power, total).select("_source", "rate")
+    # the distribution is tabled once a source; a document only looks its uniform number up
+    tables = {"_below": cumulative(F.col("rate") - F.floor(F.col("rate") / CHUNK) * CHUNK), "_chunk": F.when(F.col("rate") >= CHUNK, cumulative(F.lit(CHUNK)))}
+    rates = checkpoint(source_rates(df, source, targets, power, total).select("_source", "rate").withColumns(tables))
     few = rates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     base = df.drop("rate", "copy", "shuffle_key")
     drawn = base.join(F.broadcast(rates) if few else rates, base[source].eqNullSafe(rates["_source"])).drop("_source")
-    drawn = drawn.withColumn("_copies", poisson(F.col("rate"), seed, F.col(id_col)))
+    drawn = drawn.withColumn("_copies", poisson(F.col("rate"), F.col("_below"), F.col("_chunk"), seed, F.col(id_col))).drop("_below", "_chunk")
     copies = drawn.where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))).drop("_copies")
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy"))), 1, 15), 16, 10).cast("long")
     return copies.withColumn("shuffle_key", order).orderBy("shuffle_key")
