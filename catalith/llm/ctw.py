@@ -11,19 +11,24 @@ proper; before the text stand ``DEPTH`` zero bytes.
 
 Distribution:
 
-1. documents are dealt to blocks of about ``BLOCK_BYTES`` by a hash of their id; each block
-   gives its distinct (DEPTH + 1)-byte grams and its distinct words with training counts;
+1. documents are dealt to blocks of about ``BLOCK_BYTES`` by their place in the input, so no
+   id or text gathers; each block gives its distinct (DEPTH + 1)-byte grams and its distinct
+   words with training counts, and its documents, compressed;
 2. counts are summed per gram and per word over all blocks;
 3. grams meet by the two latest context bytes, where the deeper part of the trees is
-   local; what lies above is at most 256 x 255 sums, which the driver mixes and broadcasts;
+   local, and stream by in that order: a task holds ``CONTEXT_ROWS`` of them, or one context's
+   (at most 256 to the power of three, whatever the corpus); what lies above is at most
+   256 x 255 sums, which the driver mixes and broadcasts;
 4. each gram gets the log-probability of its byte; blocks get back the values of the grams
    and words they hold, and score their documents.
 
 No table of the whole corpus is ever broadcast or collected, and nothing is truncated.
+Texts are shuffled once.
 
-Defined results: null text is empty (its end symbol is scored); a null id counts as the
-empty text in the hold-out rule; repeated rows are scored, and learned from, as often as
-they occur; an empty table gives an empty result.
+Defined results: null text is empty (its end symbol is scored, and it has no bits a byte); a
+null id counts as the empty text in the hold-out rule; repeated rows are scored, and learned
+from, as often as they occur; a very long text is in one block, whole; other columns of the
+table, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +46,7 @@ from catalith.plans.storage import checkpoint, write_table
 
 DEPTH = 4
 BLOCK_BYTES = 24_000_000
+CONTEXT_ROWS = 400_000
 HOLD_OUT, FOLDS = 2, 7
 _END = b"\xff"
 
@@ -86,7 +92,7 @@ class GramCounts:
 
 
 def _profile_block(table: pa.Table) -> pa.Table:
-    """Distinct grams and words of a block with their training counts (0: held out only)."""
+    """Distinct grams and words of a block with their training counts (0: held out only), and a row with its documents."""
     train, other = GramCounts(), GramCounts()
     words: Counter[bytes] = Counter()
     unseen: set[bytes] = set()
@@ -103,12 +109,17 @@ def _profile_block(table: pa.Table) -> pa.Table:
     extra = np.setdiff1d(other.flush().keys, key, assume_unique=True)
     unseen.difference_update(words)
     rows_g, rows_w = len(key) + len(extra), len(words) + len(unseen)
+    sink = pa.BufferOutputStream()
+    docs = table.drop_columns(["_block", "_train"])
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(docs)
     return pa.table(
         {
-            "_block": pa.array([table.column("_block")[0].as_py()] * (rows_g + rows_w), pa.int32()),
-            "gram": pa.concat_arrays([pa.array(np.r_[key, extra], pa.int64()), pa.nulls(rows_w, pa.int64())]),
-            "word": pa.concat_arrays([pa.nulls(rows_g, pa.binary()), pa.array([*words, *unseen], pa.binary())]),
-            "n": pa.array(np.r_[n, np.zeros(len(extra), np.int64), np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(unseen), np.int64)], pa.int64()),
+            "_block": pa.array([table.column("_block")[0].as_py()] * (rows_g + rows_w + 1), pa.int32()),
+            "gram": pa.concat_arrays([pa.array(np.r_[key, extra], pa.int64()), pa.nulls(rows_w + 1, pa.int64())]),
+            "word": pa.concat_arrays([pa.nulls(rows_g, pa.binary()), pa.array([*words, *unseen, None], pa.binary())]),
+            "n": pa.array(np.r_[n, np.zeros(len(extra), np.int64), np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(unseen) + 1, np.int64)], pa.int64()),
+            "docs": pa.concat_arrays([pa.nulls(rows_g + rows_w, pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]),
         }
     )
 
@@ -172,20 +183,35 @@ class Subtrees:
         return p
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got) if got else None
+def whole_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams and counts, sorted by their two latest context bytes, in parts that end where a context ends."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append((b.column("gram").to_numpy(), b.column("n").to_numpy()))
+        size += b.num_rows
+        if size >= CONTEXT_ROWS:
+            code, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            context = (code >> 8) & 0xFFFF
+            last = int(np.flatnonzero(context != context[-1])[-1]) + 1 if (context != context[-1]).any() else 0
+            if last:
+                yield code[:last], n[:last]
+            held, size = [(code[last:], n[last:])], len(code) - last
+    if size:
+        code, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        yield code, n
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Depth-2 nodes: latest byte, decision node, counts and weighted log-probability."""
-    if (t := _whole(batches)) is None:
-        return
-    trees = Subtrees(t.column("gram").to_numpy(), t.column("n").to_numpy())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array((trees.keys >> 8) & 0xFF, pa.int64()), pa.array(trees.keys & 0xFF, pa.int64()), pa.array(trees.total), pa.array(trees.one), pa.array(trees.weighted)],
-        names=["latest", "node", "total", "one", "below"],
-    )
+    for code, n in whole_contexts(batches):
+        trees = Subtrees(code, n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((trees.keys >> 8) & 0xFF, pa.int64()), pa.array(trees.keys & 0xFF, pa.int64()), pa.array(trees.total), pa.array(trees.one), pa.array(trees.weighted)],
+            names=["latest", "node", "total", "one", "below"],
+        )
 
 
 def top_of_trees(rows: list) -> dict[str, np.ndarray]:
@@ -200,25 +226,25 @@ def top_of_trees(rows: list) -> dict[str, np.ndarray]:
 
 def gram_scores(counts: DataFrame) -> DataFrame:
     """(gram, value): log10 probability of each gram's last byte after its context."""
-    by_context = counts.withColumn("_c", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))).repartition("_c").select("gram", "n")
+    by_context = counts.withColumn("_c", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))).repartition("_c").sortWithinPartitions("_c").select("gram", "n")
     deep = by_context.mapInArrow(_summaries, "latest long, node long, total double, one double, below double")
     top = top_of_trees(deep.groupBy("latest", "node").agg(*(F.sum(c).alias(c) for c in ("total", "one", "below"))).collect())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (t := _whole(batches)) is None:
-            return
-        trees = Subtrees(t.column("gram").to_numpy(), t.column("n").to_numpy())
-        p = trees.probability()
-        at = (trees.latest[:, None], trees.node)
-        for own, one in ((top["own1"][at], top["p1"][at]), (top["own0"][trees.node], top["p0"][trees.node])):
-            p = own * np.where(trees.bit, one, 1 - one) + (1 - own) * p
-        yield pa.RecordBatch.from_arrays([t.column("gram").combine_chunks(), pa.array(np.log10(p).sum(1))], names=["gram", "value"])
+        for code, n in whole_contexts(batches):
+            trees = Subtrees(code, n)
+            p = trees.probability()
+            at = (trees.latest[:, None], trees.node)
+            for own, one in ((top["own1"][at], top["p1"][at]), (top["own0"][trees.node], top["p0"][trees.node])):
+                p = own * np.where(trees.bit, one, 1 - one) + (1 - own) * p
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.log10(p).sum(1))], names=["gram", "value"])
 
     return by_context.mapInArrow(score, "gram long, value double")
 
 
 def _scorer(unknown: float, end: float, end_known: bool):
-    def score(docs: pa.Table, model: pa.Table) -> pa.Table:
+    def score(blobs: pa.Table, model: pa.Table) -> pa.Table:
+        docs = pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for x in blobs.column("docs"))
         is_gram = model.column("gram").is_valid()
         g = model.filter(is_gram)
         order = np.argsort(g.column("gram").to_numpy(), kind="stable")
@@ -242,16 +268,16 @@ def _scorer(unknown: float, end: float, end_known: bool):
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_bytes."""
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte (the code length of a byte)."""
     c = F.col
     body = F.coalesce(c(text).cast("binary"), F.lit(b""))
     fold = F.crc32(F.coalesce(c(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     docs = df.select(
-        F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("_block"), body.alias("_text"), (fold != HOLD_OUT).alias("_train"), c(id_col).alias("_id"), (fold == HOLD_OUT).alias("held_out"), F.octet_length(body).cast("long").alias("n_bytes")
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("_block"), body.alias("_text"), (fold != HOLD_OUT).alias("_train"), c(id_col).alias("_id"), (fold == HOLD_OUT).alias("held_out"), F.octet_length(body).cast("long").alias("n_bytes")
     )
-    held = write_table(docs.select("_block", "_text", "_train").groupBy("_block").applyInArrow(_profile_block, "_block int, gram long, word binary, n long"), "block-counts")
+    held = write_table(docs.groupBy("_block").applyInArrow(_profile_block, "_block int, gram long, word binary, n long, docs binary"), "block-counts")
     of_grams, of_words = held.where("gram IS NOT NULL"), held.where("word IS NOT NULL")
 
     words = write_table(of_words.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
@@ -269,6 +295,6 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     model = model.unionByName(of_words.select("_block", "word").join(word_values, "word").select("_block", F.lit(None).cast("long").alias("gram"), "word", "value"))
 
     kind = docs.schema["_id"].dataType.simpleString()
-    texts = docs.select("_block", "_text", "_id", "held_out", "n_bytes").groupBy("_block")
+    texts = held.where("docs IS NOT NULL").select(c("_block").alias("_own"), "docs").groupBy("_own")
     scored = texts.cogroup(model.groupBy("_block")).applyInArrow(_scorer(unknown, end, n_docs > 0), f"_id {kind}, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(c("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")
+    return scored.select(c("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", F.when(c("n_bytes") > 0, -c("score") / math.log10(2) / c("n_bytes")).alias("bits_per_byte"))

@@ -7,7 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
@@ -111,6 +111,98 @@ def test_pii(spark, docs, none):
     assert pii.pseudonymise_documents(none, "key").count() == 0
 
 
+def feistel_hash(key, kind, i, other):
+    return hashlib.sha256(f"{key}|{kind}|{i}|{other}".encode()).hexdigest()
+
+
+def feistel_pair(key, kind, left, right, a, b):
+    for i in range(8):
+        if i % 2 == 0:
+            left = (left + int(feistel_hash(key, kind, i, right)[:12], 16)) % a
+        else:
+            right = (right + int(feistel_hash(key, kind, i, left)[:12], 16)) % b
+    return left, right
+
+
+PLAIN = [range(48, 58), range(97, 123), range(65, 91), range(0xE0, 0xF7), range(0xC0, 0xD7)]
+
+
+def feistel_text(key, kind, value, classes=PLAIN):
+    """Both halves in turn, each character moved within its class by a stream made of the other half."""
+
+    def stream(half, i, other):
+        seed, out = feistel_hash(key, kind, i, other), ""
+        for j, ch in enumerate(half):
+            by = int(hashlib.sha256(f"{seed}{j}".encode()).hexdigest()[:8], 16)
+            own = next((c for c in classes if ord(ch) in c), None)
+            out += ch if own is None else chr(own[(ord(ch) - own[0] + by) % len(own)]) if isinstance(own, range) else chr(own[(own.index(ord(ch)) + by) % len(own)])
+        return out
+
+    left, right = value[: len(value) // 2], value[len(value) // 2 :]
+    for i in range(8):
+        if i % 2 == 0:
+            left = stream(left, i, right)
+        else:
+            right = stream(right, i, left)
+    return left + right
+
+
+def refill(shape, digits):
+    it = iter(digits)
+    return "".join(next(it) if c.isdigit() else c for c in shape)
+
+
+def brute_pseudonym(kind, v, key):
+    import datetime as dt
+
+    d = re.sub(r"\D", "", v)
+    if kind == "card":
+        body = d[0] + feistel_text(key, "card", d[1:-1])
+        return refill(v, next(body + str(c) for c in range(10) if luhn(body + str(c))))
+    if kind == "phone":
+        fixed = 0 if not v.startswith("+") else 1 if d[0] in "17" else 2 if d[:2] in ("44", "49", "33") else 3
+        return refill(v, d[:fixed] + feistel_text(key, "phone", d[fixed:]))
+    if kind == "ssn":
+        area, group, serial = map(int, v.split("-"))
+        left, right = feistel_pair(key, "ssn", (area - (2 if area > 666 else 1)) * 99 + group - 1, serial - 1, 898 * 99, 9999)
+        return f"{left // 99 + (2 if left // 99 >= 665 else 1):03d}-{left % 99 + 1:02d}-{right + 1:04d}"
+    if kind == "ip":
+        o = [int(x) for x in v.split(".")]
+        pair = feistel_pair(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return ".".join(str(x) for p in pair for x in (p // 256, p % 256))
+    if kind == "date":
+        days = (dt.date.fromisoformat(v) - dt.date(1900, 1, 1)).days
+        left, right = feistel_pair(key, "date", days // 487, days % 487, 150, 487)
+        return (dt.date(1900, 1, 1) + dt.timedelta(left * 487 + right)).isoformat()
+    if kind == "email":
+        name, at, domain = v.rpartition("@")
+        return feistel_text(key, "email", name) + at + domain
+    small, capital = range(97, 103), range(65, 71)
+    return feistel_text(key, "token", v, [range(48, 58), small, capital] if re.search("[A-F]", v) else [[ord(c) for c in "0123456789abcdef"]])
+
+
+def test_pseudonyms_equal_an_independent_network(spark):
+    values = {
+        "card": ["4111-1111-1111-1111", "5500 0000 0000 0004", "340000000000009", "4111111111111111"],
+        "phone": ["+1 (017) 555-7713", "+1 743-555-3824", "+44 20 7946 0958", "212-555-0187"],
+        "ssn": ["078-05-1120", "899-99-9999", "667-01-0001", "001-01-0001"], "ip": ["0.0.0.0", "255.255.255.255", "10.1.2.3"], "date": ["1900-01-01", "2000-02-29", "2099-12-31"],
+        "email": ["Éu.x9@mail.example.com", "a.77@b.co", "x@y.zz"], "token": ["00ffab12cd34ef56aa", "00FFAB12CD34EF56AA", "aBcdef0123456789", "abcdef0123456789"],
+    }
+    rows = [(k, v) for k, vs in values.items() for v in vs]
+    got = spark.createDataFrame(rows, "kind string, v string").select("kind", "v", pii.pseudonym(F.col("kind"), F.col("v"), "key").alias("p")).collect()
+    assert {(r.kind, r.v): r.p for r in got} == {(k, v): brute_pseudonym(k, v, "key") for k, v in rows}
+    tokens_ = [r.p for r in got if r.kind == "token"]
+    assert len(set(tokens_)) == 4
+
+
+def test_tokens_of_any_case_stay_different(spark):
+    small = spark.range(4096).select(pii.pseudonym(F.lit("token"), F.lpad(F.lower(F.hex("id")), 3, "0"), "k").alias("p"))
+    assert len({r.p for r in small.collect()}) == 4096
+    mixed = ["".join(x) for x in product("a0F", "bB1", "cC", "Dd9")]
+    got = [r.p for r in spark.createDataFrame([(m,) for m in mixed], "v string").select(pii.pseudonym(F.lit("token"), F.col("v"), "k").alias("p")).collect()]
+    assert len(set(got)) == len(mixed)
+
+
 def test_pii_neighbours(spark):
     rows = [
         ("4111111111111111 5 items", ["4111111111111111"]),
@@ -424,6 +516,20 @@ def test_mixing(docs, none, options):
     assert mixing.replicate_documents(docs).columns == docs.columns and mixing.replicate(none).count() == 0
 
 
+def test_mixing_under_clashing_names(docs):
+    named = docs.withColumns({"copy": F.lit("mine"), "shuffle_key": F.lit("own")})
+    kept = mixing.replicate_documents(named)
+    assert kept.columns == named.columns and {(r["copy"], r.shuffle_key, r.rate) for r in kept.collect()} == {("mine", "own", "own")}
+    assert dict(mixing.replicate(named).dtypes)["copy"] == "bigint"
+
+
+def test_high_rates_are_sums_of_parts(spark):
+    rows = [(i, "rare" if i < 3 else "common") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = Counter(r.doc_id for r in mixing.replicate(df, targets={"rare": 5, "common": 1}, total=200.0).collect())
+    assert {i: got[i] for i in range(3)} == {i: drawn(200 * 5 / 6 / 3, 17, str(i)) for i in range(3)}
+
+
 # similarity --------------------------------------------------------------------------
 
 
@@ -756,3 +862,27 @@ def test_context_tree_weighting(spark, none, monkeypatch):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
         assert r.base_score == pytest.approx(w[4], abs=1e-6) and r.score == pytest.approx(w[5], rel=1e-6, abs=1e-6)
     assert ctw.score_documents(none).count() == 0
+
+
+def test_language_model_on_long_texts_and_one_id(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 2000)
+    long = " ".join(f"w{i % 60} x{i % 7}" for i in range(4000))
+    rows = [(5, long)] + [(5, " ".join(BASE[i % 5 :])) for i in range(40)] + [(None, "a b c")] * 20
+    got = ctw.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_bytes) for r in got) == Counter((i, len(t)) for i, t in rows)
+    by = {}
+    for r in got:
+        assert by.setdefault((r.doc_id, r.n_bytes), r.score) == pytest.approx(r.score)
+        assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / r.n_bytes)
+    assert next(r for r in got if r.n_bytes == len(long)).bits_per_byte < 2  # it repeats itself
+
+
+def test_contexts_are_never_parted(monkeypatch):
+    monkeypatch.setattr(ctw, "CONTEXT_ROWS", 5)
+    code = np.array([(c << 8) + x for c in (1, 1, 2, 2, 2, 2, 2, 2, 2, 3, 4, 4) for x in (7,)], dtype=np.int64) + np.arange(12)
+    code = (code >> 8 << 8) + np.arange(12)
+    batches = [pa.RecordBatch.from_arrays([pa.array(code[i : i + 2]), pa.array(np.ones(2, np.int64)[: len(code[i : i + 2])])], names=["gram", "n"]) for i in range(0, 12, 2)]
+    parts = list(ctw.whole_contexts(iter(batches)))
+    assert np.concatenate([c for c, _ in parts]).tolist() == code.tolist() and len(parts) > 1
+    seen = [set((c >> 8 & 0xFFFF).tolist()) for c, _ in parts]
+    assert sum(map(len, seen)) == len(set.union(*seen))

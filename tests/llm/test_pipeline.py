@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -9,16 +10,20 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
-from test_operators import BASE, drawn, least_reachable, measured, shingle_set, texts
+from test_operators import BASE, brute_pseudonym, drawn, least_reachable, measured, shingle_set, texts
 
 import corpus_pipeline
 from catalith.llm import quality
 from catalith.llm import queries as llm
 
 
+PRIVATE = ["ab.9@mail.example.com", "x7y@b.co"]
+
+
 def rows():
     rng = np.random.default_rng(9)
-    out = [(i, t, "en", s, len(t or "")) for i, t, s, *_ in texts() if i is not None]
+    out = [(i, t, "en", s, len(t or "")) for i, t, s, *_ in texts()]
+    out += [(60 + i, f"{' '.join(BASE[i:])} write to {PRIVATE[i]} or to {PRIVATE[1 - i]} today, number {i}", "en", "s1", 0) for i in range(2)]
     for g in range(15):
         words = [f"{BASE[rng.integers(len(BASE))]}{rng.integers(50)}" for _ in range(80)]
         for c in range(1 + g % 4):
@@ -41,10 +46,13 @@ def test_pipeline(spark, tmp_path):
 
     spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
     kept = [r for r in rows() if keeps(r[1])]
-    sets = {r[0]: shingle_set(r[1], 5) for r in kept}
+    sets = {r[0]: shingle_set(r[1], 5) for r in kept if r[0] is not None}
     links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     component = least_reachable(sets, links)
-    kept = [r for r in kept if component[r[0]] == r[0]]
+    kept = [r for r in kept if r[0] is None or component[r[0]] == r[0]]
+    hidden = {v: brute_pseudonym("email", v, corpus_pipeline.PII_KEY) for v in PRIVATE}
+    kept = [(i, re.sub("|".join(map(re.escape, hidden)), lambda m: hidden[m[0]], t), *rest) for i, t, *rest in kept]
+    assert sum(any(h in t for h in hidden.values()) for _, t, *_ in kept) == 2
     n = Counter(r[3] for r in kept)
     rate = {s: k**0.5 / sum(x**0.5 for x in n.values()) * sum(n.values()) / k for s, k in n.items()}
     tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -53,7 +61,7 @@ def test_pipeline(spark, tmp_path):
         ids = [*tk.encode(r[1], add_special_tokens=False).ids, 0]
         for p, s in enumerate(range(0, len(ids), 2048)):
             part = ids[s : s + 2048]
-            want[(r[0], p, s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += drawn(rate[r[3]], corpus_pipeline.MIX_SEED, str(r[0]))
+            want[(r[0], p, s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += drawn(rate[r[3]], corpus_pipeline.MIX_SEED, "" if r[0] is None else str(r[0]))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert links and Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == +want
 
