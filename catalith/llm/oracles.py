@@ -92,7 +92,7 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
 """
 
 OP7 = r"""
-WITH r AS (
+WITH RECURSIVE r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
@@ -103,14 +103,18 @@ WITH r AS (
          len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\x20\x09-\x0D]')) + 3 AS n,
          length(replace(replace(replace(role || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) + 13 AS shown FROM t
 ), v AS (
-  SELECT *, CASE WHEN sys THEN 0 ELSE n END AS tok,
+  SELECT *, CASE WHEN sys THEN 0 ELSE n END AS tok, sum(n) OVER (PARTITION BY conv_id ORDER BY i) - n AS start,
          max(CASE WHEN sys THEN n ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_tok,
          max(CASE WHEN sys THEN shown ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_shown FROM u
-), w AS (
-  SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY i) - tok AS start,
-         greatest(1, 1024 - 192 - sys_tok - max(tok) OVER (PARTITION BY conv_id) + 1) AS room FROM v
+), z AS (
+  SELECT conv_id, i, tok AS used, 0 AS bucket, start // 16384 AS stretch FROM v WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i, CASE WHEN opens THEN tok ELSE used + tok END, bucket + opens::INT, stretch FROM (
+    SELECT v.conv_id, v.i, v.tok, z.used, z.bucket, v.start // 16384 AS stretch,
+           v.start // 16384 <> z.stretch OR (z.used > 0 AND z.used + v.tok > greatest(1, 1024 - v.sys_tok - CASE WHEN z.bucket = 0 THEN 0 ELSE 192 END)) AS opens
+    FROM z JOIN v ON v.conv_id IS NOT DISTINCT FROM z.conv_id AND v.i = z.i + 1)
 ), b AS (
-  SELECT *, start // room AS bucket FROM w
+  SELECT v.*, z.bucket FROM v JOIN z ON z.conv_id IS NOT DISTINCT FROM v.conv_id AND z.i = v.i
 ), g AS (
   SELECT conv_id, bucket, min(i) AS f, min(start) AS s, bool_or(sys) AS has_sys, max(sys_shown) AS sys_shown, sum(shown) AS own,
          least(192, greatest(0, 1024 - max(sys_tok) - sum(tok))) AS reach FROM b GROUP BY conv_id, bucket
