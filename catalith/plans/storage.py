@@ -57,13 +57,20 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables this driver has written so far; call it once results are stored elsewhere.
+def written() -> int:
+    """How many tables this driver has written and not released."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> int:
+    """Delete the tables written since ``written()`` was ``since``, all or all but the last; call it once results are stored.
 
     Frames that still read such a table can't be run afterwards.
     """
     conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    last = _WRITTEN[-1:] if keep_last and len(_WRITTEN) > since else []
+    gone, _WRITTEN[since:] = _WRITTEN[since : len(_WRITTEN) - len(last)], last
+    for name in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from catalith.plans import storage
 
 
@@ -8,3 +10,30 @@ def test_tables_survive_and_can_be_released(spark):
     assert df.count() == 5 and storage.checkpoint(spark.range(3)).count() == 3
     assert storage.write_table(spark.range(0), "none").count() == 0
     assert storage.release(spark) >= 2 and storage.release(spark) == 0
+
+
+def test_the_last_table_can_be_kept(spark):
+    storage.release(spark)
+    other = storage.write_table(spark.range(2), "other")
+    before = storage.written()
+    storage.write_table(spark.range(3), "a")
+    last = storage.write_table(spark.range(4), "b")
+    assert storage.release(spark, before, keep_last=True) == 1 and storage.release(spark, storage.written(), keep_last=True) == 0
+    assert other.count() == 2 and last.count() == 4 and storage.release(spark) == 2
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session())
