@@ -3,6 +3,15 @@
 ``run(spark, sf_dir)`` applies ``STAGES`` to the documents table.  Each stage gets the
 documents that its predecessor kept, as a table that was written to the shared folder and
 read again, so a lost executor costs no finished stage.
+
+Every stage takes null, empty and very long texts, null ids, repeated rows, an empty table and
+extra columns of any name, and all but the last return the columns they got:
+
+* quality rules: a null text is empty and fails;
+* near-duplicates: rows with a null id, or without a word, stay; rows of one id stay or go together;
+* personal data: a null text stays null;
+* mixing: a null source is a source; rows of equal id are repeated equally often;
+* packing: a null text is the end id alone.
 """
 
 from __future__ import annotations
@@ -11,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from catalith.llm import jaccard, mixing, packing, pii, quality
-from catalith.plans.storage import write_table
+from catalith.plans.storage import release, write_table, written
 
 PII_KEY = "catalith-demo-key"
 MIX_SEED = 17
@@ -56,7 +65,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the packed pieces."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES[:-1]:
         docs = write_table(stage(spark, docs, sf_dir), name)
+        release(spark, before, keep_last=True)  # what this stage and those before it wrote on the way
     return STAGES[-1][1](spark, docs, sf_dir)
