@@ -82,7 +82,7 @@ def _metrics() -> F.Column:
         c("archived").alias("archived"), c("forge_license").alias("license"), c("last_commit").cast("timestamp").alias("updated_at"), F.lit(None).cast("string").alias("updated_at_raw"),
         c("stale").alias("stale"), F.lit(None).cast("string").alias("error"), F.when(c("has_crate"), crate).alias("crate"),
     )
-    return F.when(c("on"), metrics)
+    return F.when(c("on"), metrics).cast(schema.METRICS)
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
@@ -265,29 +265,26 @@ _FORGE_BODY = """CASE WHEN key % 7 = 0 THEN '<html>rate limited</html>' WHEN key
   WHEN key % 4 = 1 THEN concat('{"star_count":', key, ',"forks_count":2,"last_activity_at":"2024-02-28T23:30:00Z","license":', CASE WHEN key % 8 = 1 THEN '{"nickname":"N"}' ELSE '{"nickname":null,"name":"L"}' END, '}')
   ELSE concat('{"stars_count":', key, ',"updated_at":"no date"}') END"""
 _REGISTRY_BODY = """CASE WHEN key % 19 = 0 THEN '{"crate":' WHEN key % 23 = 0 THEN '{"errors":[]}' ELSE concat('{"crate":{"downloads":', key, ',"recent_downloads":1,"newest_version":"2.0"},"versions":[{"num":"1.0","created_at":"2020-01-01T00:00:00Z","license":"A","rust_version":"1.5"},{"num":"', CASE WHEN key % 2 = 0 THEN '2.0' ELSE '3.0' END, '","created_at":"2024-01-02T00:00:00Z","license":"B","rust_version":null}]}') END"""
+#: What the responses come to: the forge's are good, the registry's are good, the failure.
+_R = f"""r AS (SELECT *, {_HOST} AS host, key % 4 <> 3 AND key % 29 <> 0 AND key % 7 <> 0 AND key % 31 <> 0 AS good, crate IS NOT NULL AND key % 19 <> 0 AND key % 23 <> 0 AS listed,
+  CASE WHEN key % 4 <> 3 AND key % 29 = 0 THEN 'no response' WHEN key % 4 <> 3 AND key % 31 = 0 THEN 'status 503' WHEN key % 4 <> 3 AND key % 7 = 0 THEN 'cannot decode the response'
+    WHEN crate IS NOT NULL AND (key % 19 = 0 OR key % 23 = 0) THEN 'cannot decode the response' END AS failure FROM e)"""
 _OWNERS_BODY = """'{"users":[{"login":"a","name":"Ann"},{"login":"b","name":null},{"login":null,"name":null}]}'"""
 
 
 @_query(f"""
-WITH {_E}, r AS (SELECT *, {_HOST} AS host, key % 4 <> 3 AND key % 29 <> 0 AND key % 7 <> 0 AND key % 31 <> 0 AS good,
-  crate IS NOT NULL AND key % 19 <> 0 AND key % 23 <> 0 AS listed FROM e)
+WITH {_E}, {_R}
 SELECT id, CASE WHEN good THEN key END AS stars, CASE WHEN good THEN coalesce(key % 4 = 0 AND key % 3 = 0, false) END AS archived,
   CASE WHEN good THEN CASE key % 4 WHEN 0 THEN CASE WHEN key % 8 <> 0 THEN 'MIT' END WHEN 1 THEN CASE WHEN key % 8 = 1 THEN 'N' ELSE 'L' END END END AS forge_license,
   CASE WHEN good AND key % 4 < 2 THEN DATE '2024-02-28' END AS last_commit,
   CASE WHEN listed THEN key END AS total, CASE WHEN listed THEN CASE WHEN key % 2 = 0 THEN 'B' ELSE 'A' END END AS crate_license,
   CASE WHEN listed THEN CASE WHEN key % 2 = 0 THEN DATE '2024-01-02' ELSE DATE '2020-01-01' END END AS released, CASE WHEN listed AND key % 2 = 1 THEN '1.5' END AS msrv,
   CASE WHEN listed THEN CASE WHEN key % 5 = 1 THEN '' ELSE 'Ann,b' END END AS owners,
-  CASE WHEN host IS NOT NULL AND key % 29 = 0 THEN 'no response' WHEN host IS NOT NULL AND key % 31 = 0 THEN 'status 503' WHEN host IS NOT NULL AND key % 7 = 0 THEN 'cannot decode the response'
-    WHEN crate IS NOT NULL AND (key % 19 = 0 OR key % 23 = 0) THEN 'cannot decode the response' END AS failure
-FROM r WHERE key % 4 <> 2 OR true
+  failure
+FROM r
 """)
 def refresh_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir).withColumn("repository", F.when(F.col("key") % 4 == 2, F.concat(F.lit("https://codeberg.org/c/r"), "key")).otherwise(F.col("repository")))
-    response = lambda df, kind, body, status="200": df.selectExpr("id", f"{kind} AS kind", f"{body} AS body", "CAST(NULL AS STRING) AS error", f"CAST({status} AS INT) AS status")
-    forges = response(rows.where("key % 4 <> 3 AND key % 29 <> 0"), _HOST, _FORGE_BODY, "CASE WHEN key % 31 = 0 THEN 503 ELSE 200 END")
-    registry = response(rows.where("crate IS NOT NULL"), "'registry'", _REGISTRY_BODY)
-    owners = response(rows.where("crate IS NOT NULL AND key % 5 <> 1"), "'owners'", _OWNERS_BODY)
-    found = captured.outcomes(rows.select("id", "crate", "repository"), forges.unionByName(registry).unionByName(owners))
+    found = _outcomes(spark, sf_dir)
     f, r = "forge.", "registry."
     listed = F.col(r + "downloads_total").isNotNull()
     return found.select(
@@ -296,6 +293,32 @@ def refresh_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query(f"""
+WITH {_E}, {_R} SELECT id, CASE WHEN failure IS NOT NULL THEN stars WHEN good THEN key END AS stars, CASE WHEN failure IS NOT NULL THEN coalesce(archived, false) ELSE coalesce(good AND key % 12 = 0, false) END AS archived,
+  failure IS NOT NULL AS stale, failure AS error, CASE WHEN failure IS NOT NULL THEN last_commit WHEN good AND key % 4 < 2 THEN DATE '2024-02-28' END AS last_commit,
+  CASE WHEN failure IS NOT NULL THEN total WHEN crate IS NOT NULL THEN key END AS total, CASE WHEN failure IS NOT NULL THEN CASE WHEN has_crate THEN 1 END WHEN crate IS NOT NULL THEN CASE WHEN key % 5 = 1 THEN 0 ELSE 2 END END AS n_owners,
+  CASE WHEN failure IS NOT NULL THEN last_commit ELSE DATE '2024-03-02' END AS refreshed FROM r
+""")
+def refresh_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured responses to metrics tables, applied to the catalog: what failed keeps what was known."""
+    fresh = toml.metrics_struct("forge", "registry", F.lit("2024-03-02T01:00:00Z"))
+    outcomes = _outcomes(spark, sf_dir).select("id", F.when(F.col("failure").isNull(), fresh).alias("new_metrics"), "failure")
+    m = "metrics."
+    return relations.upsert_metrics(catalog(spark, sf_dir).entities, outcomes).select(
+        "id", m + "stars", m + "archived", m + "stale", m + "error", m + "last_commit", F.col(m + "crate.downloads_total").alias("total"),
+        F.when(F.col(m + "crate").isNotNull(), F.size(m + "crate.owners").cast("long")).alias("n_owners"), F.to_date(m + "updated_at").alias("refreshed"),
+    )
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir).withColumn("repository", F.when(F.col("key") % 4 == 2, F.concat(F.lit("https://codeberg.org/c/r"), "key")).otherwise(F.col("repository")))
+    response = lambda df, kind, body, status="200": df.selectExpr("id", f"{kind} AS kind", f"{body} AS body", "CAST(NULL AS STRING) AS error", f"CAST({status} AS INT) AS status")
+    forges = response(rows.where("key % 4 <> 3 AND key % 29 <> 0"), _HOST, _FORGE_BODY, "CASE WHEN key % 31 = 0 THEN 503 ELSE 200 END")
+    registry = response(rows.where("crate IS NOT NULL"), "'registry'", _REGISTRY_BODY)
+    owners = response(rows.where("crate IS NOT NULL AND key % 5 <> 1"), "'owners'", _OWNERS_BODY)
+    return captured.outcomes(rows.select("id", "crate", "repository"), forges.unionByName(registry).unionByName(owners))
+
+
 _FACTS = "concat_ws(' · ', total || ' downloads', 'v' || version, 'Rust ' || msrv || '+', stars || ' stars', 'last commit ' || strftime(last_commit, '%Y-%m-%d'), forge_license)"
 
 

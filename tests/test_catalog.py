@@ -253,3 +253,48 @@ def test_stream_equals_batch(spark, catalog, tmp_path):
     q.awaitTermination()
     row = spark.read.parquet(f"{tmp_path}/t/v=1").where("id = 'alpha'").first()["metrics"]
     assert row["stale"] and row["error"] == "late" and row["stars"] == 10
+    # an outcome that is older than what the table shows changes nothing; a newer one does; older versions go
+    later = [("alpha", None, "older", 1), ("beta", None, "first", 1)]
+    spark.createDataFrame(later, f"id string, new_metrics {kind}, failure string, at int").write.mode("append").parquet(f"{tmp_path}/in")
+    apply_outcomes(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination()
+    last = {r["id"]: r for r in spark.read.parquet(f"{tmp_path}/t/v=2").collect()}
+    assert last["alpha"]["metrics"]["error"] == "late" and last["beta"]["metrics"]["error"] == "first" and last["alpha"]["outcome_at"] == 2
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v=1", "v=2"]
+
+
+def test_unusable_responses_are_failures(spark):
+    rows = [("a", "github.com", "<html>rate limited</html>", None, 200), ("b", "github.com", '{"message": "Not Found"}', None, 404), ("c", "github.com", '{"stargazers_count": "many"}', None, None), ("d", "github.com", '[{"stargazers_count": 1}]', None, None), ("e", "github.com", None, None, None), ("f", "github.com", '{"stargazers_count": 3, "extra": {}}', None, 200), ("g", "github.com", "{}", "timed out", None)]
+    responses = spark.createDataFrame(rows, "id string, kind string, body string, error string, status int")
+    entities = spark.createDataFrame([(k, None, f"https://github.com/x/{k}") for k in "abcdefgh"], "id string, crate string, repository string")
+    got = {r["id"]: (r["failure"], r["forge"]) for r in captured.outcomes(entities, responses).collect()}
+    bad = captured.UNREADABLE
+    assert {k: f for k, (f, _) in got.items()} == {"a": bad, "b": "status 404", "c": bad, "d": bad, "e": bad, "f": None, "g": "timed out", "h": captured.MISSING}
+    assert got["f"][1]["stars"] == 3 and all(v is None for k, (_, v) in got.items() if k != "f")
+
+
+def test_tsv(spark, tmp_path):
+    from catalith.operators import export
+
+    df = spark.createDataFrame([(" a", None, 'q"u'), ("b\tc", "", "x\\y\nz")], "n string, e string, v string").coalesce(1)
+    export.write_tsv(df, f"file://{tmp_path}/t", ["n", "e", "v"])
+    (part,) = [p for p in (tmp_path / "t").iterdir() if p.name.endswith(".txt")]
+    assert part.read_text() == 'n\te\tv\n a\t\tq"u\nb\\tc\t\tx\\\\y\\nz\n'
+    assert [r.line for r in export.tsv(df, ["n", "e", "v"]).orderBy("ord").collect()][0] == "n\te\tv"
+
+
+def test_write_back_keeps_everything_else(spark):
+    text = 'id = "x"  # mine\n\n[metrics]\nstars = 1\n# of the table\n[metrics.crate]\nname = "c"\n[[pick]]\nentity = "y"\n'
+    rows = [(text,), ('id = "x"',), ("",), ('[metrics]\nstars = 1',)]
+    got = [r.t for r in spark.createDataFrame(rows, "t string").select(toml.replace_table(F.col("t"), "metrics", F.lit("stars = 2\n")).alias("t")).collect()]
+    new = "[metrics]\nstars = 2\n"
+    assert got == ['id = "x"  # mine\n\n' + new + '[[pick]]\nentity = "y"\n', 'id = "x"\n' + new, new, new]
+    line = spark.range(1).select(toml.table_lines(F.struct(F.lit('a"b').alias("s"), F.lit(1.5).alias("n"), F.lit("2024-01-01").cast("date").alias("d")), ["s", "n", "d"]).alias("t")).first()["t"]
+    assert line == 's = "a\\"b"\nn = 1.5\nd = "2024-01-01"\n'
+
+
+def test_base_url(monkeypatch):
+    from catalith.operators import export
+
+    assert export.base_url("https://a.org//") == "https://a.org"
+    monkeypatch.setenv("BASE_URL", "https://b.org/")
+    assert export.base_url("https://a.org") == "https://b.org"
