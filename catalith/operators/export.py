@@ -46,6 +46,67 @@ def sections(blocks: DataFrame, order: str, heading: str, description: str, rank
     return grouped.select(F.col(order).alias("section_order"), F.concat(F.lit("## "), F.col(heading), F.lit(" ("), F.col("_n").cast("string"), F.lit(")\n"), about, F.lit("\n"), F.col("_body")).alias("text"))
 
 
+#: Inline marks: code first, so that nothing inside it is a mark; then links and the emphases.
+_CODE, _LINK = r"`([^`]+)`", r"\[([^\[\]]+)\]\(([^()\s]+)\)"
+_INLINE = [(r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), (r"~~([^~]+)~~", "<del>$1</del>"), (r"\*([^*]+)\*", "<em>$1</em>")]
+
+
+def html_escape(c: Column) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
+
+
+def inline_html(text: Column) -> Column:
+    """Inline Markdown as HTML: code, links, strong, emphasis, strikethrough; everything else is escaped."""
+
+    def plain(part: Column) -> Column:
+        out = F.regexp_replace(html_escape(part), _LINK, '<a href="$2">$1</a>')
+        for pattern, tags in _INLINE:
+            out = F.regexp_replace(out, pattern, tags)
+        return out
+
+    codes = F.regexp_extract_all(text, F.lit(_CODE), F.lit(1))
+    parts = F.split(text, _CODE, -1)
+    code = lambda c: F.coalesce(F.concat(F.lit("<code>"), html_escape(c), F.lit("</code>")), F.lit(""))
+    return F.array_join(F.zip_with(parts, codes, lambda p, c: F.concat(plain(p), code(c))), "")
+
+
+def markdown(text: Column) -> Column:
+    """Markdown as HTML, a block a line: headings, lists of ``-`` or ``*`` lines, paragraphs, with :func:`inline_html`.
+
+    Blocks are parted by blank lines.  Nested lists, quotes, tables, code blocks and raw HTML
+    are not known; their lines are paragraphs.
+    """
+    lines = lambda b: F.split(b, r"\n")
+    item = r"^[-*] +"
+
+    def block(b: Column) -> Column:
+        level = F.length(F.regexp_extract(b, r"^(#{1,6}) ", 1)).cast("string")
+        listed = F.array_join(F.transform(lines(b), lambda x: F.concat(F.lit("<li>"), inline_html(F.regexp_replace(x, item, "")), F.lit("</li>\n"))), "")
+        return (
+            F.when(b.rlike(r"^#{1,6} [^\n]*$"), F.concat(F.lit("<h"), level, F.lit(">"), inline_html(F.regexp_replace(b, "^#+ +", "")), F.lit("</h"), level, F.lit(">\n")))
+            .when(F.forall(lines(b), lambda x: x.rlike(item)), F.concat(F.lit("<ul>\n"), listed, F.lit("</ul>\n")))
+            .otherwise(F.concat(F.lit("<p>"), inline_html(b), F.lit("</p>\n")))
+        )
+
+    blocks = F.filter(F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), r"\n[ \t]*\n\s*"), trim_all), lambda b: b != "")
+    return F.array_join(F.transform(blocks, block), "")
+
+
+def page_sections(rows: DataFrame, order: str, heading: str, rank: str, name: str, url: str, body: str) -> DataFrame:
+    """Rows (ord, rank, html) of an index page: a heading a section, then an article a row; read in this order they are the page's body."""
+    open_ = F.concat(F.lit("<h2>"), html_escape(F.col(heading)), F.lit("</h2>"))
+    article = F.concat(F.lit('<article><h3><a href="'), html_escape(F.col(url)), F.lit('">'), html_escape(F.col(name)), F.lit("</a></h3>"), F.col(body), F.lit("</article>"))
+    heads = rows.groupBy(order, heading).agg(F.lit(0).cast("long").alias("rank")).select(F.col(order).alias("ord"), "rank", open_.alias("html"))
+    return heads.unionByName(rows.select(F.col(order).alias("ord"), F.col(rank).cast("long").alias("rank"), article.alias("html")))
+
+
+def open_sections(sections: DataFrame, key: str, collapsed: list[str], searching: bool) -> DataFrame:
+    """Sections with ``is_open``: not among the collapsed ones, or any while a search is active."""
+    return sections.withColumn("is_open", F.lit(searching) | ~F.coalesce(F.col(key).isin(*collapsed) if collapsed else F.lit(False), F.lit(False)))
+
+
 def url_entry(loc: Column, lastmod: Column, priority: Column) -> Column:
     """One ``<url>`` element of a sitemap; ``lastmod`` may be null."""
     tag = lambda name, c: F.concat(F.lit(f"    <{name}>"), xml_escape(c), F.lit(f"</{name}>"))

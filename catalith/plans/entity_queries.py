@@ -454,3 +454,35 @@ def catalog_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = catalog(spark, sf_dir).totals().where("is_total").select("n", "n_groups")
     failed = _rows(spark, sf_dir).agg(F.count_if(F.col("key") % 5 == 0).alias("n_failed"))
     return totals.join(failed)
+
+
+_MD = "concat('## About ', name, chr(10), chr(10), 'Made by **', crate, '** & ~~nobody~~, see [the <site>](https://x.org/?a=1&b=', key, ') or `a*b*c`.', chr(10), chr(10), '- one *', key, '*', chr(10), '* two')"
+
+
+@_query(f"""
+WITH {_E} SELECT id, concat('<h2>About ', name, '</h2>', chr(10), '<p>Made by <strong>', coalesce(crate, ''), '</strong> &amp; <del>nobody</del>, see <a href="https://x.org/?a=1&amp;b=', key, '">the &lt;site&gt;</a> or <code>a*b*c</code>.</p>', chr(10),
+  '<ul>', chr(10), '<li>one <em>', key, '</em></li>', chr(10), '<li>two</li>', chr(10), '</ul>', chr(10)) AS html FROM e WHERE crate IS NOT NULL
+""")
+def markdown_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir).where("crate IS NOT NULL").selectExpr("id", f"{_MD} AS md").select("id", export.markdown(F.col("md")).alias("html"))
+
+
+@_query(f"""
+WITH {_E}, {_C}, {_V} SELECT ord, rank, '<article><h3><a href="' || repository || '">' || name || '</a></h3><p>' || remarks || '</p>' || chr(10) || '</article>' AS html FROM v
+UNION ALL SELECT DISTINCT ord, 0, '<h2>' || upper(category[1]) || category[2:] || '</h2>' FROM v
+""")
+def html_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog(spark, sf_dir).grouped().withColumn("_body", export.markdown(F.col("remarks")))
+    return export.page_sections(rows, "category_ord", "category_name", "rank", "name", "repository", "_body")
+
+
+@_query(f"WITH {_C} SELECT cid AS id, cid NOT IN ('small', 'promo') AS is_open, false AS searching FROM c UNION ALL SELECT cid, true, true FROM c")
+def section_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = catalog(spark, sf_dir).categories.select("id")
+    states_ = [export.open_sections(sections, "id", ["small", "promo"], s).withColumn("searching", F.lit(s)) for s in (False, True)]
+    return states_[0].unionByName(states_[1])
+
+
+@_query(f"WITH {_E} SELECT id, (row_number() OVER (ORDER BY id) - 1) * 250 AS not_before_ms FROM e")
+def fetch_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captured.fetch_schedule(_rows(spark, sf_dir).select("id"))

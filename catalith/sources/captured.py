@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions.scalars import null_if, owner_repo, short_line, stamp_date, url_host
-from catalith.operators.ranking import newest_version
+from catalith.operators.ranking import newest_version, rank_in_group
 
 #: Schemas of the stored responses, by exact host of the repository.
 FORGES = {
@@ -65,6 +65,15 @@ def decoded(responses: DataFrame, schema: str, required: str | None = None) -> D
     return read.withColumns({"_error": error, "_r": F.when(error.isNull(), F.col("_p"))}).drop("_p")
 
 
+def fetch_schedule(entities: DataFrame, order: str = "id", pause_ms: int = 250) -> DataFrame:
+    """Entities with ``not_before_ms``: when a fetcher may ask for each, one after the other with a pause between.
+
+    There is no live fetcher here; this is the plan that one keeps to.
+    """
+    placed = rank_in_group(entities.withColumn("_all", F.lit(0)), "_all", [F.asc(order)], "_place")
+    return placed.withColumn("not_before_ms", (F.col("_place") - 1) * pause_ms).drop("_all", "_place")
+
+
 def route(entities: DataFrame) -> DataFrame:
     """Entities with ``host`` (null if no source serves it), owner, repo and ``failure`` for an unusable url."""
     host = url_host(F.col("repository"))
