@@ -23,7 +23,7 @@ Recall is measured, not assumed: ``recall`` compares a query set with brute forc
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components,
 and rows without a label, link with nothing; repeated rows are links of each other; lengths
-that differ never link; a null id is left out of links; other columns of the table, whatever
+that differ never link; ids are integers; a null id is left out of links; other columns of the table, whatever
 their names, are not read; an empty table gives an empty one.
 """
 

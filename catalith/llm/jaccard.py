@@ -35,7 +35,7 @@ Groups of copies stay cheap without losing a component:
 
 Defined results: null or empty texts have no shingles and link with nothing; fewer than
 ``k`` words are one shingle; texts are never cut, however long; repeated rows are of one
-class; rows with a null id get a null component and take no part; other columns of the
+class; ids are integers; rows with a null id get a null component and take no part; other columns of the
 table, whatever their names, are not read; an empty table gives an empty result.
 """
 

@@ -11,7 +11,7 @@ Everything is built from SQL functions; there is no shuffle except in ``ablation
 which groups by the mask (at most ``2 ** len(RULES)`` rows leave the map side).
 
 Defined results: a null text counts as the empty text (0 words, fails ``few_words``);
-repeated rows are measured row by row; input columns whose names clash with an output
+repeated rows are measured row by row; texts are measured whole, however long; input columns whose names clash with an output
 column are replaced by it; an empty table gives an empty ledger.
 """
 

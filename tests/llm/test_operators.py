@@ -620,6 +620,12 @@ def test_one_shingle_list_in_all_documents(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in got} == {(i, want[i]) for i in sets}
 
 
+def test_long_texts_are_joined_whole(spark):
+    rows = [(7, LONG), (8, LONG + " end"), (9, LONG[: len(LONG) // 2]), (10, "x" * 300_000), (11, "x" * 300_000)]
+    got = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(shingle_set(t, 5)), {8: 7, 11: 10}.get(i, i)) for i, t in rows}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {(r.node, r.component) for r in graph.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
