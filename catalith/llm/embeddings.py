@@ -264,7 +264,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     level = F.pow(F.lit(2.0), F.round(F.log2(F.sqrt(F.col("_size") / CELL)))).cast("int")
     words = checkpoint(index.groupBy(F.col("_label").alias("_of")).agg(F.count("*").alias("_size")).select("_of", F.least(F.lit(MOST_CODEWORDS), F.greatest(F.lit(1), level)).alias("_k")))
     sized = index.join(_small(words), F.col("_label") == F.col("_of"))
-    sample = pa.array([r["_v"] for r in index.select("_v", F.xxhash64("_rep").alias("h")).orderBy("h").limit(SAMPLE).collect()], pa.list_(pa.float64()))
+    sample = index.select("_v", F.xxhash64("_rep").alias("h")).orderBy("h").limit(SAMPLE).select("_v").toArrow().column("_v").combine_chunks()
     by_length = {x.shape[1]: x for _, x in matrices(sample)} if len(sample) else {}
     books = fit(by_length, {r["_k"] for r in words.select("_k").distinct().collect()})
     limit = {key: measured_limit(by_length[key[0]], b, cosine, target_recall) for key, b in books.items()}
