@@ -39,11 +39,14 @@ def indented(text: Column) -> Column:
 
 
 def sections(blocks: DataFrame, order: str, heading: str, description: str, rank: str, text: str) -> DataFrame:
-    """One text per section: ``## heading (n)``, its description if any, and its blocks in rank order."""
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(rank, text))), lambda x: F.concat(x[text], F.lit("\n\n"))), "")
-    grouped = blocks.groupBy(order, heading, description).agg(body.alias("_body"), F.count("*").alias("_n"))
+    """Rows (section_order, rank, text) that are a document in this order, a row a block, so no section is gathered.
+
+    Rank 0 is a section's ``## heading (n)`` with its description, if any; a block ends in a blank line.
+    """
     about = F.when(F.coalesce(description, F.lit("")) != "", F.concat(F.col(description), F.lit("\n"))).otherwise("")
-    return grouped.select(F.col(order).alias("section_order"), F.concat(F.lit("## "), F.col(heading), F.lit(" ("), F.col("_n").cast("string"), F.lit(")\n"), about, F.lit("\n"), F.col("_body")).alias("text"))
+    heads = blocks.groupBy(order, heading, description).agg(F.count("*").cast("string").alias("_n"))
+    heads = heads.select(F.col(order).alias("section_order"), F.lit(0).cast("long").alias("rank"), F.concat(F.lit("## "), F.col(heading), F.lit(" ("), F.col("_n"), F.lit(")\n"), about, F.lit("\n")).alias("text"))
+    return heads.unionByName(blocks.select(F.col(order).alias("section_order"), F.col(rank).cast("long").alias("rank"), F.concat(F.col(text), F.lit("\n\n")).alias("text")))
 
 
 #: Inline marks: code first, so that nothing inside it is a mark; then links and the emphases.

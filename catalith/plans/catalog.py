@@ -174,7 +174,7 @@ class Catalog:
         return self.grouped().agg(F.date_format(F.max(F.to_date("metrics.updated_at")), "d MMM yyyy").alias("refreshed"))
 
     def text_export(self) -> DataFrame:
-        """Rows (section_order, text): one section per category, one block per entity."""
+        """Rows (section_order, rank, text): a heading per category, a block per entity."""
         c = "metrics.crate."
         facts = export.facts(
             F.concat(F.col(c + "downloads_total").cast("string"), F.lit(" downloads")),
@@ -193,7 +193,7 @@ class Catalog:
             export.list_line("use instead", F.col("successors")),
             export.list_line("related", F.col("related")),
         )
-        return export.sections(self.grouped().withColumn("_block", block), "category_ord", "category_name", "category_description", "rank", "_block").orderBy("section_order")
+        return export.sections(self.grouped().withColumn("_block", block), "category_ord", "category_name", "category_description", "rank", "_block").orderBy("section_order", "rank")
 
     def text_header(self, title: str, *about: str, noun: str = "entities") -> DataFrame:
         """One row (text): title, lines about the catalog, and its totals of what ``noun`` calls them."""

@@ -326,12 +326,12 @@ _FACTS = "concat_ws(' · ', total || ' downloads', 'v' || version, 'Rust ' || ms
 WITH {_E}, {_C}, {_V}, b AS (SELECT ord, category, rank, '- ' || name || CASE WHEN recommended THEN ' [RECOMMENDED]' ELSE '' END || CASE WHEN gone THEN ' [DEPRECATED]' ELSE '' END || ': ' || repository
   || CASE WHEN {_FACTS} <> '' THEN chr(10) || '  ' || {_FACTS} ELSE '' END || chr(10) || '  ' || remarks
   || CASE WHEN len([x FOR x IN alternatives IF x <> '']) > 0 THEN chr(10) || '  alternatives: ' || array_to_string([x FOR x IN alternatives IF x <> ''], ', ') ELSE '' END AS block FROM v)
-SELECT ord AS section_order, '## ' || upper(category[1]) || category[2:] || ' (' || count(*) || ')' || chr(10) || chr(10) || string_agg(block || chr(10) || chr(10), '' ORDER BY rank) AS text FROM b GROUP BY ord, category
-UNION ALL SELECT -1, '# Parts' || chr(10) || 'All of them.' || chr(10) || count(*) || ' entries across ' || count(DISTINCT category) || ' categories.' FROM v
+SELECT ord AS section_order, 0 AS rank, '## ' || upper(category[1]) || category[2:] || ' (' || count(*) || ')' || chr(10) || chr(10) AS text FROM b GROUP BY ord, category
+UNION ALL SELECT ord, rank, block || chr(10) || chr(10) FROM b UNION ALL SELECT -1, 0, '# Parts' || chr(10) || 'All of them.' || chr(10) || count(*) || ' entries across ' || count(DISTINCT category) || ' categories.' FROM v
 """)
 def text_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
-    return c.text_export().unionByName(c.text_header("Parts", "All of them.", noun="entries").select(F.lit(-1).alias("section_order"), "text"))
+    return c.text_export().unionByName(c.text_header("Parts", "All of them.", noun="entries").select(F.lit(-1).alias("section_order"), F.lit(0).cast("long").alias("rank"), "text"))
 
 
 @_query(f"""

@@ -215,7 +215,7 @@ def test_facets(catalog):
 
 
 def test_text_export(catalog):
-    first = catalog.text_export().first()["text"]
+    first = "".join(r["text"] for r in catalog.text_export().collect())
     assert first.startswith("## Testing (3)\nRun tests.\n\n- Gamma [RECOMMENDED]: https://example.org/gamma\n  Rust 1.74.0+\n\n- Alpha: https://github.com/x/alpha\n  1250 downloads · Rust 1.74+ · 10 stars · last commit 2024-02-28 · MIT\n  Runs fuzz tests.\n  Fast.\n  alternatives: BETA (old), none of these\n\n- Beta [RECOMMENDED] [DEPRECATED]")
     assert catalog.text_header("Entities", "About.").first()["text"] == "# Entities\nAbout.\n4 entities across 2 categories."
 
