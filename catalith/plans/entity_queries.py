@@ -16,6 +16,7 @@ from catalith.plans import schema
 from catalith.plans.catalog import Catalog
 from catalith.plans.catalog_queries import _query, _table
 from catalith.plans.spec import FilterSpec, active_count, query_string, states
+from catalith.plans.storage import write_table
 from catalith.sources import captured, toml
 
 TODAY = "2024-03-01"
@@ -154,7 +155,7 @@ WITH {_E}, {_C}, {_V} {_place("unknown", "")} UNION ALL {_place("downloads", "co
 UNION ALL {_place("updated", "last_commit DESC NULLS LAST,")} UNION ALL {_place("added", "added DESC NULLS LAST,")} UNION ALL {_place("name", "lower(name),")}
 """)
 def sort_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = catalog(spark, sf_dir).view(_today())
+    view = write_table(catalog(spark, sf_dir).view(_today()), "view")
     out = None
     for mode in ("unknown", *ranking.SORT_MODES[1:]):
         ranked = ranking.rank_in_group(view, "category", ranking.sort_order(mode), "place").select(F.lit(mode).alias("mode"), "id", "place")
