@@ -18,7 +18,8 @@ Template: ``<|role|>\ntext<|end|>\n``.  In roles and texts ``&``, ``<`` and ``>`
 Nothing but ``digests`` needs a whole conversation in one place: prefix sums come from
 sorted ranges (``running_sums``), spans are filled inside stretches of ``STRETCH`` budgets of
 the prefix sum, which bounds a row, and history crosses into a stretch from the end of the
-one before.  The system turn is joined once a stretch.
+one before.  The system turn is joined once a stretch, and only to the stretches of a long
+conversation after its first.
 
 Defined results: null texts and roles are empty; turns of equal number are ordered by role
 and text; repeated rows are turns of their own; a null conversation id is a conversation; a
@@ -65,13 +66,16 @@ def _stretches(df: DataFrame, budget: int, history: int) -> DataFrame:
     stretch = F.floor(F.col("start") / width)
     own = write_table(turns.groupBy("_conv", stretch.alias("_s")).agg(F.sort_array(F.collect_list(row)).alias("_turns")), "chat-turns")
 
+    # a conversation's first stretch holds its system turn and has nothing before it; only later ones, of long conversations, are joined
+    opening = F.when(F.col("_turns")[0]["is_system"], F.col("_turns")[0])
+    first = own.where("_s = 0").select("_conv", "_turns", F.slice("_turns", 1, 0).alias("_tail"), opening.alias("_system"))
     last = F.element_at("_turns", -1)
     ends = own.select("_conv", "_s", "_turns", (last["start"] + last["tokens"]).alias("_end"))
     tail = F.filter("_turns", lambda t: t["start"] >= F.col("_end") - history)
     tails = ends.select(F.col("_conv").alias("_tc"), F.floor(F.col("_end") / width).alias("_ts"), tail.alias("_tail"), "_s").where("_ts > _s").drop("_s")
-    systems = own.where(F.col("_turns")[0]["is_system"]).select(F.col("_conv").alias("_sc"), F.col("_turns")[0].alias("_system"))
-    joined = own.join(tails, F.col("_conv").eqNullSafe(F.col("_tc")) & (F.col("_s") == F.col("_ts")), "left").join(systems, F.col("_conv").eqNullSafe(F.col("_sc")), "left")
-    return joined.select("_conv", "_turns", F.coalesce("_tail", F.slice("_turns", 1, 0)).alias("_tail"), "_system")
+    systems = own.where("_s = 0").where(F.col("_turns")[0]["is_system"]).select(F.col("_conv").alias("_sc"), F.col("_turns")[0].alias("_system"))
+    later = own.where("_s > 0").join(tails, F.col("_conv").eqNullSafe(F.col("_tc")) & (F.col("_s") == F.col("_ts")), "left").join(systems, F.col("_conv").eqNullSafe(F.col("_sc")), "left")
+    return first.unionByName(later.select("_conv", "_turns", F.coalesce("_tail", F.slice("_turns", 1, 0)).alias("_tail"), "_system"))
 
 
 def _cuts(turns: Column, system_tokens: Column, budget: int, history: int) -> Column:
