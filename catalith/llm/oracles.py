@@ -164,6 +164,44 @@ SELECT rule, count(*) FILTER (f & bit <> 0)::BIGINT AS n_failed, count(*) FILTER
 FROM m CROSS JOIN r GROUP BY rule
 """
 
+OP12 = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents) GROUP BY ALL
+), bytes AS (
+  SELECT w, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM runs
+), hashed AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT)),
+                               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM bytes, crc
+), v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS (
+  SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS hole, substr(word, 1, i - 1) || substr(word, i + 1) AS less
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM v)
+), pairs AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT v.word, v.n, c.word, c.n FROM cut c JOIN v ON c.less = v.word
+  UNION SELECT c.word, c.n, v.word, v.n FROM cut c JOIN v ON c.less = v.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS form, max(near_n) AS form_n FROM pairs GROUP BY word
+), forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near,
+         CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END::BIGINT AS form_n
+  FROM v LEFT JOIN best USING (word)
+), walk AS (
+  WITH RECURSIVE r AS (
+    SELECT word, word AS last, form AS up FROM forms
+    UNION ALL SELECT r.word, f.word, f.form FROM r JOIN forms f ON f.word = r.up
+  ) SELECT word, last AS root FROM r WHERE up IS NULL
+)
+SELECT word, n, n_near, form, form_n, root FROM forms JOIN walk USING (word)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_warc_transactions": OP2,
     "op4_poisson_mixing": OP4,
@@ -172,4 +210,5 @@ ORACLES: dict[str, str] = {
     "op8_embedding_near_dedup": OP8,
     "op9_quality_ledger": OP9,
     "op9_quality_rule_ablation": OP9_ABLATION,
+    "op12_spelling_variants": OP12,
 }
