@@ -202,6 +202,36 @@ WITH crc AS (
 SELECT word, n, n_near, form, form_n, root FROM forms JOIN walk USING (word)
 """
 
+OP13 = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), sized AS (
+  SELECT conv_id, turns, (xor(list_reduce(list_prepend(4294967295, list_transform(range(length(conv_id::VARCHAR)), lambda i: unicode(substr(conv_id::VARCHAR, (i + 1)::INT, 1))::BIGINT)),
+                                          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 4)::INT AS h
+  FROM own, crc
+), paths AS (
+  SELECT s.conv_id, list_concat(coalesce(b.turns, [])[1:s.h], s.turns[s.h + 1:]) AS p
+  FROM sized s LEFT JOIN own b ON b.conv_id = s.conv_id - ((s.conv_id % 20) + 20) % 20
+), steps AS (
+  SELECT conv_id, len(p) AS size, d, p[1:d] AS path, CASE WHEN d > 0 THEN p[1:d - 1] END AS up FROM (SELECT conv_id, p, unnest(range(0, len(p) + 1))::INT AS d FROM paths)
+), nodes AS (
+  SELECT path, up, d::BIGINT AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256,
+         CASE WHEN d > 0 THEN (count(*) - 1) * len(regexp_extract_all(path[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS own_saved
+  FROM steps GROUP BY path, up, d
+), kids AS (
+  SELECT up AS path, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up
+), below AS (
+  SELECT path[1:a] AS path, sum(own_saved)::BIGINT AS saved, count(*) FILTER (n IS NULL) AS leaves
+  FROM (SELECT path, own_saved, n, unnest(range(0, depth + 1))::INT AS a FROM nodes LEFT JOIN kids USING (path)) GROUP BY 1
+)
+SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n_convs, coalesce(k.n, 0)::BIGINT AS n_children, b.leaves AS n_leaves, b.saved AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN below b USING (path) LEFT JOIN kids k USING (path) LEFT JOIN nodes u ON u.path = x.up
+"""
+
 ORACLES: dict[str, str] = {
     "op2_warc_transactions": OP2,
     "op4_poisson_mixing": OP4,
@@ -211,4 +241,5 @@ ORACLES: dict[str, str] = {
     "op9_quality_ledger": OP9,
     "op9_quality_rule_ablation": OP9_ABLATION,
     "op12_spelling_variants": OP12,
+    "op13_conversation_trie": OP13,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import chat, ctw, embeddings, forest, jaccard, mixing, packing, pii, quality, spelling, tokens, warc
+from catalith.llm import chat, ctw, embeddings, forest, jaccard, mixing, packing, pii, prefixes, quality, spelling, tokens, warc
 from catalith.llm.oracles import ORACLES
 from catalith.plans.storage import table_path
 
@@ -126,9 +126,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations, rebuilt on the beginnings of their block's first."""
+    return prefixes.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_pseudonyms, op2_warc_transactions, op3_token_counts, op4_poisson_mixing, op5_ngram_jaccard_join, op6_best_fit_packing, op7_chat_windows, op8_embedding_near_dedup, op9_quality_ledger, op10_context_tree_weighting, op9_quality_rule_ablation, op11_hash_prefix_forest, op12_spelling_variants)
+    for f in (op1_pii_pseudonyms, op2_warc_transactions, op3_token_counts, op4_poisson_mixing, op5_ngram_jaccard_join, op6_best_fit_packing, op7_chat_windows, op8_embedding_near_dedup, op9_quality_ledger, op10_context_tree_weighting, op9_quality_rule_ablation, op11_hash_prefix_forest, op12_spelling_variants, op13_conversation_trie)
 }
 
 
