@@ -12,12 +12,14 @@ import tomllib
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalith.plans.schema import CATEGORY, DEFAULTS, REQUIRED, STACK, ENTITY
+from catalith.plans.schema import CATEGORY, DEFAULTS, ENTITY, REQUIRED, STACK
+from catalith.sources.toml_text import put_table
 
 _MAX_COUNT = {"stars": 2**32 - 1, "forks": 2**32 - 1, "open_issues": 2**32 - 1}
 
@@ -37,6 +39,14 @@ def _stamp(v: Any) -> dt.datetime | None:
     return dt.datetime.fromisoformat(v.replace("Z", "+00:00"))
 
 
+def loads(content: str, where: str) -> dict[str, Any]:
+    """A parsed file; an error names it."""
+    try:
+        return tomllib.loads(content)
+    except tomllib.TOMLDecodeError as e:
+        raise ValueError(f"{where}: {e}") from e
+
+
 def bind(kind: str, record: dict[str, Any], where: str) -> dict[str, Any]:
     """Defaults for absent keys; an absent required key is an error that names the file."""
     for key in REQUIRED.get(kind, []):
@@ -100,7 +110,7 @@ def _parsed(files: DataFrame, schema: T.StructType, rows: Callable[[dict[str, An
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [_shape(r, schema) for path, body in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) for r in rows(tomllib.loads(body.decode()), path)]
+            out = [_shape(r, schema) for path, body in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) for r in rows(loads(body.decode(), path), path)]
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return files.select("path", "content").mapInArrow(parse, schema)
@@ -157,13 +167,14 @@ def table_lines(values: Column, fields: list[str]) -> Column:
 def replace_table(text: Column, table: str, lines: Column) -> Column:
     """A TOML text whose table (with its sub-tables) holds ``lines``; all else, comments too, stays as written.
 
-    A text without the table gets it at its end.
+    See ``toml_text.put_table``; nulls stay null, and a text that isn't TOML is an error.
     """
-    old = rf"(?m)^\[{table}(?:\.[^\]\n]*)?\][^\n]*\n?(?:(?!\[)[^\n]*\n|(?!\[)[^\n]+\z)*"
-    rest = F.regexp_replace(text, old, "")
-    ahead = F.when(text.rlike(old), F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(old)) - 1)).otherwise(F.concat(rest, F.when((rest == "") | rest.endswith("\n"), "").otherwise("\n")))
-    behind = F.substring(rest, F.length(ahead) + 1, F.length(rest))
-    return F.concat(ahead, F.lit(f"[{table}]\n"), lines, behind)
+
+    @F.pandas_udf("string")
+    def put(texts: pd.Series, bodies: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or b is None else put_table(t, table, b) for t, b in zip(texts, bodies, strict=True)], dtype=object)
+
+    return put(text, lines)
 
 
 def metrics_struct(forge: str | None, registry: str | None, stamp: Column) -> Column:

@@ -1,0 +1,34 @@
+"""Registered queries side by side with their SQL, as the driver compares them."""
+
+from __future__ import annotations
+
+import glob
+import os
+from collections import Counter
+
+import duckdb
+
+
+def tables(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(path).removesuffix('.parquet')} AS SELECT * FROM '{path}'")
+    return con
+
+
+def rows(names: list[str], found: list[tuple]) -> Counter:
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return Counter(repr([r[i] for i in order]) for r in found)
+
+
+def compare(spark, name: str, sf_dir: str) -> int:
+    """Fails where columns or rows differ; the number of rows."""
+    import __spark_entry__ as entry
+
+    mine = entry.queries()[name](spark, sf_dir)
+    theirs = tables(sf_dir).sql(entry.oracle_sql()[name])
+    got, want = mine.collect(), theirs.fetchall()
+    assert sorted(mine.columns) == sorted(theirs.columns)
+    a, b = rows(mine.columns, [tuple(r) for r in got]), rows(theirs.columns, want)
+    assert a == b, (list((a - b).elements())[:3], list((b - a).elements())[:3])
+    return len(got)
