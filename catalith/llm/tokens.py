@@ -47,9 +47,9 @@ from pyspark.sql import functions as F
 
 from catalith.plans.storage import write_table
 
-MAX_TABLE = 600_000
+MAX_TABLE = 400_000
 #: Characters of text resolved together, and pre-tokens given to a tokenizer in one call.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 3_000_000
 PER_CALL = 64
 #: Bytes of text whose distinct pre-tokens are gathered together for counting.
 COUNT_BYTES = 32_000_000
