@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions import scalars as S
 from catalith.operators import export, filters, ranking, relations
+from catalith.operators.search_index import SearchIndex
 from catalith.plans.spec import FilterSpec
 from catalith.sources import toml
 
@@ -51,6 +52,10 @@ class Catalog:
         hits = filters.search_any(self.entities, needle, ["name", "id", "category", "remarks"], ["alternatives"])
         return hits.withColumns({"archived": archived(), "relevance": relevance()}).orderBy("archived", F.desc("relevance"), "name", "id")
 
+    def index(self) -> SearchIndex:
+        """An index for many searches over what :meth:`search` looks at."""
+        return SearchIndex.build(self.entities, ["name", "id", "category", "remarks"], ["alternatives"])
+
     def grouped(self) -> DataFrame:
         """Entities of every non-empty category with ``category_ord``, ``rank`` and ``position``."""
         joined = self.entities.join(self.categories.select(F.col("id").alias("category"), F.col("ord").alias("category_ord"), F.col("name").alias("category_name"), F.col("description").alias("category_description")), "category")

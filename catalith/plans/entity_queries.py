@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from catalith.functions import scalars as S
 from catalith.operators import export, filters, ranking, relations
+from catalith.operators.search_index import SearchIndex
 from catalith.plans import schema
-from catalith.plans.catalog import Catalog
+from catalith.plans.catalog import Catalog, archived, relevance
 from catalith.plans.catalog_queries import _query, _table
 from catalith.plans.spec import FilterSpec, active_count, query_string, states
 from catalith.plans.storage import write_table
@@ -146,6 +147,33 @@ def browse_recommended_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).browse(FilterSpec(recommended=True, license="mit"), _today()).select("id")
 
 
+_NEEDLES = ["  RING ", "e1", "Q", "nothing", "", "(NEW)", "brand#1", "no such words"]
+_QUERIES = [" made  BRAND#1", "small e1 (new", " ", "ring q", "zzz made"]
+_LIST = "[x FOR x IN alternatives IF x <> '']"
+_values = lambda items: "(VALUES " + ", ".join(f"('{x}')" for x in items) + ") t(needle)"
+
+
+@_query(f"""
+WITH {_E}, n AS (SELECT needle, lower(trim(needle)) AS w FROM {_values(_NEEDLES)})
+SELECT needle, id, row_number() OVER (PARTITION BY needle ORDER BY coalesce(archived, false), {_RECENT} DESC, name, id) AS place FROM e, n
+WHERE w <> '' AND (contains(lower(name), w) OR contains(id, w) OR contains(category, w) OR contains(lower(remarks), w) OR len([x FOR x IN {_LIST} IF contains(lower(x), w)]) > 0)
+""")
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several needles at once over names, ids, categories, remarks and the array of alternatives, through the gram index; hits in their order."""
+    hits = catalog(spark, sf_dir).index().search_any(_NEEDLES)
+    hits = hits.select("needle", "id", "name", archived().alias("gone"), relevance().alias("relevance"))
+    return ranking.rank_in_group(hits, "needle", [F.asc("gone"), F.desc("relevance"), F.asc("name"), F.asc("id")], "place").select("needle", "id", "place")
+
+
+@_query(f"""
+WITH {_E}, h AS (SELECT id, lower(name || ' ' || id || ' ' || category || ' ' || remarks || ' ' || array_to_string({_LIST}, ' ')) AS hay FROM e), n AS (SELECT needle, [x FOR x IN string_split(lower(needle), ' ') IF x <> ''] AS ws FROM {_values(_QUERIES)})
+SELECT needle, id FROM h, n WHERE len([x FOR x IN ws IF NOT contains(hay, x)]) = 0
+""")
+def search_terms_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several sets of terms at once, each of which has to occur, through the gram index."""
+    return catalog(spark, sf_dir).index().search_all(_QUERIES).select("needle", "id")
+
+
 def _place(mode: str, order: str) -> str:
     return f"SELECT '{mode}' AS mode, id, row_number() OVER (PARTITION BY category ORDER BY {order} position) AS place FROM v"
 
