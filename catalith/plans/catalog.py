@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions import scalars as S
-from catalith.operators import export, filters, ranking, relations
+from catalith.operators import bitmap_facets, export, filters, ranking, relations
 from catalith.operators.search_index import SearchIndex
 from catalith.plans.spec import FilterSpec
+from catalith.plans.storage import checkpoint
 from catalith.sources import toml
 
 #: The stack that every other one builds on (fixed value; a parameter everywhere).
@@ -131,6 +132,52 @@ class Catalog:
             F.coalesce(m + "crate.owners", F.array().cast("array<string>")).alias("owners"),
         )
 
+    def facet_index(self, terms: list[str] = ()) -> bitmap_facets.FacetIndex:
+        """Bitmaps of everything that a filter state asks for; ``terms`` are the search terms that any state holds."""
+        crate, m = F.col("metrics.crate"), "metrics."
+        families = S.license_families(F.coalesce(m + "crate.license", m + "license"))
+        hay = S.haystack(F.col("name"), F.col("id"), F.col("remarks"), F.array_join("alternatives", " "))
+        known = self.entities.join(self.categories.select(F.col("id").alias("category")), "category", "left_semi")
+        rows = bitmap_facets.numbered(known.select("id", "category", hay.alias("hay"), archived().alias("archived"), "recommended", F.transform(families, F.lower).alias("licenses"), crate["msrv"].alias("msrv")))
+        one = lambda c: F.array(F.col(c).cast("string"))
+        facets = {"category": one("category"), "archived": one("archived"), "recommended": one("recommended"), "license": F.array_distinct("licenses"), "msrv": one("msrv")}
+        more = self.picks().select("stack_id", "tool").distinct().join(rows, F.col("tool") == F.col("id")).select(F.lit("stack").alias("facet"), F.col("stack_id").alias("value"), "pos")
+        if terms:
+            hits = SearchIndex.build(rows.select("pos", "hay"), ["hay"]).search_all(list(terms))
+            more = more.unionByName(hits.select(F.lit("term").alias("facet"), F.lower("needle").alias("value"), "pos"))
+        return bitmap_facets.FacetIndex.build(rows, facets, ("msrv",), more)
+
+    def state_counts(self, states: DataFrame, baseline: str = BASELINE) -> tuple[DataFrame, DataFrame]:
+        """Counts of many filter states (``spec.states`` columns) in one pass.
+
+        Returns (state columns, n_visible, n_highlighted), and (state columns, category, n) of categories with any.
+        The different search terms of all states pass through the driver.
+        """
+        keys = ["q", "license", "msrv", "deprecated", "recommended", "stack"]
+        words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("q"), r"\s+"), lambda t: t != "")))
+        different = checkpoint(states.select(*keys).distinct().withColumns({"state": F.xxhash64(*keys), "words": words}))
+        terms = [r[0] for r in different.select(F.explode("words")).distinct().collect()]
+        index = self.facet_index(sorted(terms))
+        c = F.col
+        need = lambda facet, active, *values: F.when(active, F.struct(F.lit(facet).alias("facet"), F.array(*values).alias("any")))
+        fixed = F.array(
+            need(bitmap_facets.ALL, F.lit(True), F.lit("")),
+            need("archived", ~c("deprecated"), F.lit("false")),
+            need("recommended", c("recommended"), F.lit("true")),
+            need("license", c("license") != "", c("license")),
+            need("msrv", c("msrv") != "", c("msrv")),
+            need("stack", c("stack") != "", c("stack"), F.lit(baseline)),
+        )
+        searched = F.transform("words", lambda t: F.struct(F.lit("term").alias("facet"), F.array(t).alias("any")))
+        criteria = different.select("state", F.explode(F.concat(F.array_compact(fixed), searched)).alias("_c")).select("state", "_c.*")
+        shown = checkpoint(index.visible(criteria))
+        picked = index.marked(shown, different.where("stack <> ''").select("state", F.lit("stack").alias("facet"), c("stack").alias("value")))
+        n = lambda df, name: bitmap_facets.counts(df).withColumnRenamed("n", name)
+        totals = different.join(n(shown, "n_visible"), "state", "left").join(n(picked, "n_highlighted"), "state", "left")
+        zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+        by_category = different.join(index.by_value(shown, "category"), "state").select(*keys, c("value").alias("category"), "n")
+        return totals.select(*keys, zero("n_visible"), zero("n_highlighted")), by_category
+
     def shown(self, spec: FilterSpec, today: Column, baseline: str = BASELINE) -> DataFrame:
         """The listing's rows under a filter state, marked."""
         marked = filters.membership_marks(self.view(today), "id", self.picks(), spec.stack or None, baseline)

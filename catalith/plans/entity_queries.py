@@ -431,6 +431,40 @@ def filter_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("id", "q", "license", "sort", "deprecated", "recommended", "stack", active_count().alias("n_active"), query_string().alias("query"))
 
 
+_STATE_URL = """concat('https://x.org/?q=', CASE key % 6 WHEN 0 THEN 'made%20BRAND%231' WHEN 1 THEN 'e1' WHEN 2 THEN 'zzz' ELSE '' END, CASE key % 5 WHEN 0 THEN '&license=mit' WHEN 1 THEN '&license=gpl-3.0' ELSE '' END,
+  CASE key % 4 WHEN 0 THEN '&msrv=1.20' WHEN 1 THEN '&msrv=1.33.1' ELSE '' END, CASE WHEN key % 3 = 0 THEN '&deprecated=0' ELSE '' END, CASE WHEN key % 7 = 0 THEN '&recommended=1' ELSE '' END, CASE WHEN key % 2 = 0 THEN concat('&stack=s', key % 11) ELSE '' END)"""
+_STATES = f"""s AS (SELECT id, CASE key % 6 WHEN 0 THEN 'made BRAND#1' WHEN 1 THEN 'e1' WHEN 2 THEN 'zzz' ELSE '' END AS q, CASE key % 5 WHEN 0 THEN 'mit' WHEN 1 THEN 'gpl-3.0' ELSE '' END AS license,
+  CASE key % 4 WHEN 0 THEN '1.20' WHEN 1 THEN '1.33.1' ELSE '' END AS msrv, key % 3 <> 0 AS deprecated, key % 7 = 0 AS recommended, CASE WHEN key % 2 = 0 AND key % 11 IN (1, 2) THEN 's' || key % 11 ELSE '' END AS stack FROM e),
+  t AS (SELECT DISTINCT q, license, msrv, deprecated, recommended, stack FROM s),
+  x AS (SELECT *, [lower(y) FOR y IN {_FAMILIES}] AS families, coalesce(split_part(msrv, '.', 2)::INT * 10 + coalesce(nullif(split_part(msrv, '.', 3), ''), '0')::INT, 9999) AS minor,
+    lower(name || ' ' || id || ' ' || remarks || ' ' || array_to_string([z FOR z IN alternatives IF z <> ''], ' ')) AS hay FROM v),
+  f AS (SELECT t.*, x.category, coalesce(x.stack = t.stack, false) AS picked FROM t JOIN x ON len([w FOR w IN string_split(lower(t.q), ' ') IF w <> '' AND NOT contains(hay, w)]) = 0
+    AND (t.license = '' OR list_contains(families, t.license)) AND (t.msrv = '' OR minor <= CASE t.msrv WHEN '1.20' THEN 200 ELSE 331 END) AND (t.deprecated OR NOT gone) AND (NOT t.recommended OR x.recommended)
+    AND (t.stack = '' OR coalesce(x.stack IN (t.stack, 'essentials'), false)))"""
+_STATE_KEYS = "q, license, msrv, deprecated, recommended, stack"
+
+
+def _url_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states(_rows(spark, sf_dir).selectExpr("id", f"{_STATE_URL} AS url"), "url", stacks={"s1", "s2"})
+
+
+@_query(f"""
+WITH {_E}, {_C}, {_V}, {_STATES}, n AS (SELECT {_STATE_KEYS}, count(*) AS n_visible, count(*) FILTER (picked) AS n_highlighted FROM f GROUP BY ALL)
+SELECT id, coalesce(n_visible, 0) AS n_visible, coalesce(n_highlighted, 0) AS n_highlighted FROM s LEFT JOIN n USING ({_STATE_KEYS})
+""")
+def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every url's filter state shows and highlights, all states counted in one pass over bitmaps."""
+    urls = _url_states(spark, sf_dir)
+    totals, _ = catalog(spark, sf_dir).state_counts(urls)
+    return urls.join(totals, _STATE_KEYS.split(", ")).select("id", "n_visible", "n_highlighted")
+
+
+@_query(f"WITH {_E}, {_C}, {_V}, {_STATES} SELECT {_STATE_KEYS}, category, count(*) AS n FROM f GROUP BY ALL")
+def state_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per different filter state, how many entities of each category it shows, where any."""
+    return catalog(spark, sf_dir).state_counts(_url_states(spark, sf_dir))[1]
+
+
 @_query(f"""
 WITH {_E}, s AS (SELECT key, id, p_size AS size, p_name FROM e JOIN part ON p_partkey = key)
 SELECT id, CASE WHEN [size, key % 7, 1, 5000000000 + key % 2] < [20, 3, 1, 5000000000] THEN -1 WHEN [size, key % 7, 1, 5000000000 + key % 2] = [20, 3, 1, 5000000000] THEN 0 ELSE 1 END AS compared,
