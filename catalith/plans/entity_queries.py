@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from catalith.functions import scalars as S
 from catalith.operators import export, filters, ranking, relations
-from catalith.operators.search_index import SearchIndex
+from catalith.operators.paging import PagedListing
 from catalith.plans import schema
 from catalith.plans.catalog import Catalog, archived, relevance
 from catalith.plans.catalog_queries import _query, _table
 from catalith.plans.spec import FilterSpec, active_count, query_string, states
-from catalith.plans.storage import write_table
+from catalith.plans.storage import table_path, write_table
 from catalith.sources import captured, toml
 
 TODAY = "2024-03-01"
@@ -345,7 +345,9 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     forges = response(rows.where("key % 4 <> 3 AND key % 29 <> 0"), _HOST, _FORGE_BODY, "CASE WHEN key % 31 = 0 THEN 503 ELSE 200 END")
     registry = response(rows.where("crate IS NOT NULL"), "'registry'", _REGISTRY_BODY)
     owners = response(rows.where("crate IS NOT NULL AND key % 5 <> 1"), "'owners'", _OWNERS_BODY)
-    return captured.outcomes(rows.select("id", "crate", "repository"), forges.unionByName(registry).unionByName(owners))
+    stored = table_path(spark, "responses")
+    forges.unionByName(registry).unionByName(owners).write.json(stored)
+    return captured.outcomes(rows.select("id", "crate", "repository"), captured.read_responses(spark, stored))
 
 
 _FACTS = "concat_ws(' · ', total || ' downloads', 'v' || version, 'Rust ' || msrv || '+', stars || ' stars', 'last commit ' || strftime(last_commit, '%Y-%m-%d'), forge_license)"
@@ -380,7 +382,12 @@ t AS (SELECT *, row_number() OVER (ORDER BY recent DESC, name) AS place FROM s)
 UNION ALL SELECT 0, 'name' || chr(9) || 'recent' || chr(9) || 'version' || chr(9) || 'description'
 """)
 def discover_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored pages of a keyword scan (one can't be decoded, later ones aren't asked for), one page of the listing as TSV."""
+    """Stored pages of a keyword scan (one can't be decoded and is passed over on purpose, later ones aren't asked for), one page of the listing as TSV."""
+    return export.tsv(captured.discover(captured.read_pages(_scan(spark, sf_dir), 2), 50, 10, strict=False), ["name", "recent", "version", "description"])
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages of a keyword scan; page 1 can't be decoded."""
     key = F.col("key")
     text = F.concat(F.lit("a\tb\n"), F.expr("repeat('\\\\', CAST(key % 3 AS INT))"), F.lit("x" * 90))
     package = F.struct(
@@ -389,7 +396,36 @@ def discover_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pages = _rows(spark, sf_dir).groupBy(F.floor(key / 100).alias("page")).agg(F.to_json(F.struct(F.collect_list(package).alias("crates"))).alias("body"))
     pages = pages.withColumns({"body": F.when(F.col("page") == 1, "<html>").otherwise(F.col("body")), "error": F.lit(None).cast("string")})
-    return export.tsv(captured.discover(captured.read_pages(pages, 2), 50, 10), ["name", "recent", "version", "description"])
+    return pages
+
+
+_SCANNED = """p AS (SELECT name || ' ' || key AS name, coalesce(CASE WHEN key % 4 <> 0 THEN key * 613 % 900 END, 0) AS recent FROM e WHERE key // 100 <> 1),
+  q AS (SELECT *, row_number() OVER (ORDER BY recent DESC, name) - 1 AS place FROM p)"""
+
+
+@_query(f"""
+WITH {_E}, {_SCANNED} SELECT 'row' AS kind, place // 25 AS page, place, name, recent, NULL AS error FROM q UNION ALL SELECT 'bad page', 1, NULL, NULL, NULL, 'cannot decode the response'
+""")
+def discover_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of a keyword scan's listing in order, and the page that can't be read as a row with its error."""
+    read = write_table(captured.read_pages(_scan(spark, sf_dir)), "packages")
+    rows = _listed(read).rows().select(F.lit("row").alias("kind"), F.expr("place DIV 25").alias("page"), "place", "name", "recent", F.lit(None).cast("string").alias("error"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return rows.unionByName(read.where("page_error IS NOT NULL").select(F.lit("bad page").alias("kind"), "page", none("long", "place"), none("string", "name"), none("long", "recent"), F.col("page_error").alias("error")))
+
+
+def _listed(packages: DataFrame) -> PagedListing:
+    return PagedListing.build(captured.listing(packages, strict=False).select("name", "recent"), F.struct((-F.col("recent")).alias("recent"), F.col("name").alias("name")))
+
+
+@_query(f"WITH {_E}, {_SCANNED} SELECT kind, place, name, recent FROM q, (VALUES ('number'), ('cursor')) t(kind) WHERE place BETWEEN 50 AND 74")
+def listing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of a listing by its number, and as what follows the second page's last row."""
+    paged = _listed(captured.read_pages(_scan(spark, sf_dir)))
+    last = paged.page(1, 25).orderBy(F.desc("place")).first()
+    cursor = F.struct(F.lit(-last["recent"]).cast("long").alias("recent"), F.lit(last["name"]).alias("name"))
+    both = paged.page(2, 25).withColumn("kind", F.lit("number")).unionByName(paged.after(cursor, 25).withColumn("kind", F.lit("cursor")))
+    return both.select("kind", "place", "name", "recent")
 
 
 @_query(f"""

@@ -1,14 +1,15 @@
 """Captured responses of code forges and of a package registry.
 
 There are no live calls: responses are JSON documents that some fetcher stored, one per
-line, with the entity's id.  Each source is read under a declared schema and projected to one
-normal form.  A response that reports an error, can't be decoded, has no success status or never
+line, with the entity's id.  A body is parsed once, to a variant, and projected to one normal
+form by declared paths and types.  A response that reports an error, can't be decoded, has no success status or never
 came gives an error column, not a failed job and not a row of nulls.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,28 +17,23 @@ from pyspark.sql import functions as F
 from catalith.functions.scalars import null_if, owner_repo, short_line, stamp_date, url_host
 from catalith.operators.ranking import newest_version, rank_in_group
 
-#: Schemas of the stored responses, by exact host of the repository.
-FORGES = {
-    "github.com": "stargazers_count long, forks_count long, open_issues_count long, pushed_at string, archived boolean, license struct<spdx_id: string>",
-    "gitlab.com": "star_count long, forks_count long, open_issues_count long, last_activity_at string, archived boolean, license struct<nickname: string, name: string>",
-    "codeberg.org": "stars_count long, forks_count long, open_issues_count long, updated_at string, archived boolean",
-}
-REGISTRY = (
-    "crate struct<downloads: long, recent_downloads: long, newest_version: string>, "
-    "versions array<struct<num: string, created_at: string, license: string, rust_version: string>>"
-)
-OWNERS = "users array<struct<login: string, name: string>>"
 FORGE_COLUMNS = ["stars", "forks", "open_issues", "last_commit", "archived", "license"]
-
-
-def _normal(host: str) -> dict[str, Column]:
-    c = lambda n: F.col(f"_r.{n}")
-    both = {"forks": c("forks_count"), "open_issues": c("open_issues_count"), "archived": F.coalesce(c("archived"), F.lit(False))}
-    if host == "github.com":
-        return both | {"stars": c("stargazers_count"), "last_commit": stamp_date(c("pushed_at")), "license": null_if(c("license.spdx_id"), "NOASSERTION")}
-    if host == "gitlab.com":
-        return both | {"stars": c("star_count"), "last_commit": stamp_date(c("last_activity_at")), "license": F.coalesce(c("license.nickname"), c("license.name"))}
-    return both | {"stars": c("stars_count"), "last_commit": stamp_date(c("updated_at")), "license": F.lit(None).cast("string")}
+#: Fields of a forge's response, by exact host of the repository: column, path, type.
+FORGES: dict[str, dict[str, tuple[str, str]]] = {
+    "github.com": {"stars": ("$.stargazers_count", "long"), "forks": ("$.forks_count", "long"), "open_issues": ("$.open_issues_count", "long"), "at": ("$.pushed_at", "string"), "archived": ("$.archived", "boolean"), "license": ("$.license.spdx_id", "string")},
+    "gitlab.com": {"stars": ("$.star_count", "long"), "forks": ("$.forks_count", "long"), "open_issues": ("$.open_issues_count", "long"), "at": ("$.last_activity_at", "string"), "archived": ("$.archived", "boolean"), "license": ("$.license.nickname", "string"), "license_name": ("$.license.name", "string")},
+    "codeberg.org": {"stars": ("$.stars_count", "long"), "forks": ("$.forks_count", "long"), "open_issues": ("$.open_issues_count", "long"), "at": ("$.updated_at", "string"), "archived": ("$.archived", "boolean")},
+}
+REGISTRY = {
+    "downloads": ("$.crate.downloads", "long"), "recent": ("$.crate.recent_downloads", "long"), "newest": ("$.crate.newest_version", "string"),
+    "versions": ("$.versions", "array<struct<num: string, created_at: string, license: string, rust_version: string>>"), "crate": ("$.crate", "object"),
+}
+OWNERS = {"users": ("$.users", "array<struct<login: string, name: string>>")}
+PACKAGES = {"crates": ("$.crates", "array<struct<name: string, recent_downloads: long, max_stable_version: string, newest_version: string, description: string>>")}
+_PACKAGE = PACKAGES["crates"][1].removeprefix("array<").removesuffix(">")
+_NAMES = ("name", "recent_downloads", "max_stable_version", "newest_version", "description")
+#: What a value's own type has to be where a type is asked for; for others a cast decides.
+_OWN = {"long": "BIGINT", "boolean": "BOOLEAN"}
 
 
 #: What any unusable response is called; a reported error keeps its own text.
@@ -49,20 +45,39 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, kind string, body string, error string, status int").json(path)
 
 
-def decoded(responses: DataFrame, schema: str, required: str | None = None) -> DataFrame:
-    """Adds ``_r``, the body under ``schema``, and ``_error`` where it can't be used.
+def parsed(responses: DataFrame) -> DataFrame:
+    """``responses`` with ``_v``, the body as a variant: parsed once, whatever its kind; null if it isn't one JSON object.
 
-    A body counts as decoded if it is one JSON object whose known fields have their types and
-    that holds ``required``; other fields are free.
+    A key that a body holds twice makes it unreadable.
     """
-    flat = f"{schema}, _corrupt string"
+    body = F.when(F.trim("body").startswith("{"), F.try_parse_json("body"))
+    return responses.withColumn("_v", body)
+
+
+def _field(path: str, kind: str) -> tuple[Column, Column]:
+    """A field of ``_v`` and whether it is there with another type."""
+    raw = F.try_variant_get("_v", path, "variant")
+    given = raw.isNotNull() & ~F.is_variant_null(raw)
+    own = F.schema_of_variant(raw)
+    if kind == "object":
+        return F.when(given, F.lit(True)), given & ~own.startswith("OBJECT")
+    value = F.try_variant_get("_v", path, kind)
+    wrong = own != _OWN[kind] if kind in _OWN else value.isNull()
+    return value, F.coalesce(given & wrong, F.lit(False))
+
+
+def fields(spec: dict[str, tuple[str, str]], required: str | None = None) -> tuple[dict[str, Column], Column]:
+    """The fields of ``_v`` by name, and whether the body can't be used: other fields are free, these have their types."""
+    found = {name: _field(*where) for name, where in spec.items()}
+    bad = reduce(or_, (wrong for _, wrong in found.values()), F.col("_v").isNull())
+    values = {name: value for name, (value, _) in found.items()}
+    return values, bad | values[required].isNull() if required else bad
+
+
+def _failure(responses: DataFrame, bad: Column) -> Column:
+    """The error of a response: reported, of its status, or of its body."""
     status = F.col("status") if "status" in responses.columns else F.lit(None).cast("int")
-    read = responses.withColumn("_p", F.from_json("body", flat, {"columnNameOfCorruptRecord": "_corrupt"}))
-    bad = F.col("body").isNull() | F.col("_p").isNull() | F.col("_p._corrupt").isNotNull() | ~F.trim(F.col("body")).startswith("{")
-    if required:
-        bad = bad | F.col(f"_p.{required}").isNull()
-    error = F.coalesce(F.col("error"), F.when(~status.between(200, 299), F.concat(F.lit("status "), status.cast("string"))), F.when(bad, F.lit(UNREADABLE)))
-    return read.withColumns({"_error": error, "_r": F.when(error.isNull(), F.col("_p"))}).drop("_p")
+    return F.coalesce(F.col("error"), F.when(~status.between(200, 299), F.concat(F.lit("status "), status.cast("string"))), F.when(F.coalesce(bad, F.lit(True)), F.lit(UNREADABLE)))
 
 
 def fetch_schedule(entities: DataFrame, order: str = "id", pause_ms: int = 250) -> DataFrame:
@@ -83,14 +98,12 @@ def route(entities: DataFrame) -> DataFrame:
     ).drop("_or")
 
 
-def forge_metrics(responses: DataFrame) -> DataFrame:
-    """(id, forge struct, forge_error) of all forge responses in one form."""
-    parts = []
-    for host, schema in FORGES.items():
-        own = decoded(responses.where(F.col("kind") == host), schema)
-        n = _normal(host)
-        parts.append(own.select("id", F.when(F.col("_error").isNull(), F.struct(*(n[k].alias(k) for k in FORGE_COLUMNS))).alias("forge"), F.col("_error").alias("forge_error")))
-    return reduce(DataFrame.unionByName, parts)
+def _forge(host: str, f: dict[str, Column]) -> Column:
+    """A forge's response in the common form."""
+    none = F.lit(None).cast("string")
+    licence = {"github.com": lambda: null_if(f["license"], "NOASSERTION"), "gitlab.com": lambda: F.coalesce(f["license"], f["license_name"])}.get(host, lambda: none)()
+    values = {"stars": f["stars"], "forks": f["forks"], "open_issues": f["open_issues"], "last_commit": stamp_date(f["at"]), "archived": F.coalesce(f["archived"], F.lit(False)), "license": licence}
+    return F.struct(*(values[k].alias(k) for k in FORGE_COLUMNS))
 
 
 def owner_names(users: Column) -> Column:
@@ -98,44 +111,84 @@ def owner_names(users: Column) -> Column:
     return F.filter(F.transform(users, lambda u: F.coalesce(u["name"], u["login"])), lambda x: x.isNotNull())
 
 
-def registry_metrics(responses: DataFrame) -> DataFrame:
-    """(id, registry struct, registry_error); owners are best effort and default to none."""
-    owners = decoded(responses.where(F.col("kind") == "owners"), OWNERS).select(F.col("id").alias("_oid"), owner_names(F.col("_r.users")).alias("_owners"))
-    own = decoded(responses.where(F.col("kind") == "registry"), REGISTRY, "crate").join(owners, F.col("id") == F.col("_oid"), "left")
-    own = own.withColumn("_v", newest_version(F.col("_r.versions"), F.col("_r.crate.newest_version")))
-    crate = F.struct(
+def _crate(f: dict[str, Column]) -> Column:
+    version = newest_version(f["versions"], f["newest"])
+    return F.struct(
         F.col("id").alias("name"),
-        F.col("_r.crate.downloads").alias("downloads_total"),
-        F.col("_r.crate.recent_downloads").alias("downloads_recent"),
-        F.col("_r.crate.newest_version").alias("latest_version"),
-        stamp_date(F.col("_v.created_at")).alias("latest_release"),
-        F.col("_v.rust_version").alias("msrv"),
-        F.col("_v.license").alias("license"),
-        F.coalesce("_owners", F.array().cast("array<string>")).alias("owners"),
+        f["downloads"].alias("downloads_total"),
+        f["recent"].alias("downloads_recent"),
+        f["newest"].alias("latest_version"),
+        stamp_date(version["created_at"]).alias("latest_release"),
+        version["rust_version"].alias("msrv"),
+        version["license"].alias("license"),
     )
-    return own.select("id", F.when(F.col("_error").isNull(), crate).alias("registry"), F.col("_error").alias("registry_error"))
+
+
+def normal_responses(responses: DataFrame) -> DataFrame:
+    """A row per id: (id, forge, forge_error, registry, registry_error) of all kinds of responses, read in one pass.
+
+    Owners are best effort and default to none.  Of repeated responses of a kind a usable one counts
+    before an error, and then the greatest.
+    """
+    of = lambda wanted, value: F.when(F.col("kind") == wanted, value)
+    rows = parsed(responses)
+    forges, forge_errors = [], []
+    for host, spec in FORGES.items():
+        values, bad = fields(spec)
+        forges.append(of(host, _forge(host, values)))
+        forge_errors.append(of(host, F.coalesce(bad, F.lit(True))))
+    crate, no_crate = fields(REGISTRY, "crate")
+    users, no_users = fields(OWNERS)
+    bad = F.coalesce(*forge_errors, of("registry", F.coalesce(no_crate, F.lit(True))), of("owners", F.coalesce(no_users, F.lit(True))))
+    read = rows.select("id", "kind", _failure(responses, bad).alias("_error"), F.coalesce(*forges).alias("_forge"), of("registry", _crate(crate)).alias("_crate"), of("owners", owner_names(users["users"])).alias("_users"))
+    good, is_forge = F.col("_error").isNull(), F.col("kind").isin(*FORGES)
+
+    def best(mine: Column, value: str) -> Column:
+        """The best of an id's responses of a kind: (usable, value, error)."""
+        return F.max(F.when(mine, F.struct(good.alias("ok"), F.when(good, F.col(value)).alias("value"), F.col("_error").alias("error"))))
+
+    one = read.groupBy("id").agg(best(is_forge, "_forge").alias("f"), best(F.col("kind") == "registry", "_crate").alias("r"), best(F.col("kind") == "owners", "_users").alias("o"))
+    owners = F.coalesce("o.value", F.array().cast("array<string>"))
+    names = ("name", "downloads_total", "downloads_recent", "latest_version", "latest_release", "msrv", "license")
+    registry = F.when(F.col("r.ok"), F.struct(*(F.col(f"r.value.{n}").alias(n) for n in names), owners.alias("owners")))
+    return one.select("id", F.col("f.value").alias("forge"), F.col("f.error").alias("forge_error"), registry.alias("registry"), F.col("r.error").alias("registry_error"))
 
 
 def outcomes(entities: DataFrame, responses: DataFrame) -> DataFrame:
     """Refresh outcomes (id, forge, registry, failure): a registry failure fails the entity even if its forge answered."""
     routed = route(entities).select("id", "crate", "host", F.col("failure").alias("_bad"))
-    joined = routed.join(forge_metrics(responses), "id", "left").join(registry_metrics(responses), "id", "left")
+    joined = routed.join(normal_responses(responses), "id", "left")
     wants = F.col("crate").isNotNull()
     lacks = lambda value, error: F.coalesce(F.col(error), F.when(F.col(value).isNull(), F.lit(MISSING)))
     failure = F.coalesce("_bad", F.when(F.col("host").isNotNull(), lacks("forge", "forge_error")), F.when(wants, lacks("registry", "registry_error")))
     return joined.select("id", F.when(F.col("host").isNotNull(), F.col("forge")).alias("forge"), F.when(wants, F.struct(F.col("crate").alias("name"), *(F.col(f"registry.{n}").alias(n) for n in ("downloads_total", "downloads_recent", "latest_version", "latest_release", "msrv", "license", "owners")))).alias("registry"), failure.alias("failure"))
 
 
-PACKAGES = "crates array<struct<name: string, recent_downloads: long, max_stable_version: string, newest_version: string, description: string>>"
+def read_pages(pages: DataFrame, pages_wanted: int | None = None) -> DataFrame:
+    """Packages of stored pages (page, body, error, status) of a keyword scan, up to page ``pages_wanted``.
 
+    A page that can't be used is a row of its own, with ``page_error`` and nothing else; other rows have none.
+    """
+    kept = parsed(pages if pages_wanted is None else pages.where(F.col("page") <= pages_wanted))
+    values, bad = fields(PACKAGES, "crates")
+    read = kept.select("page", _failure(pages, bad).alias("page_error"), values["crates"].alias("_crates")).where("page_error IS NOT NULL OR size(_crates) > 0")
+    return read.select("page", "page_error", F.inline(F.when(F.col("page_error").isNull(), F.col("_crates")).otherwise(F.array(F.struct(*(F.lit(None).alias(n) for n in _NAMES)).cast(_PACKAGE)))))
 
-def read_pages(pages: DataFrame, pages_wanted: int | None = None) -> DataFrame:
-    """Packages of stored pages (page, body, error, status) of a keyword scan, up to page ``pages_wanted``."""
-    kept = pages if pages_wanted is None else pages.where(F.col("page") <= pages_wanted)
-    return decoded(kept, PACKAGES, "crates").where("_error IS NULL").select("page", F.inline("_r.crates"))
+
+def listing(packages: DataFrame, strict: bool = True) -> DataFrame:
+    """Rows of a keyword scan's listing: name, recent, version, description.
+
+    A page that couldn't be read stops a strict scan; otherwise it is left to the caller, who
+    has ``page_error`` in :func:`read_pages`.
+    """
+    if strict:
+        bad = F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(": "), F.col("page_error"))
+        packages = packages.where(F.col("page_error").isNull() | F.raise_error(bad).cast("boolean"))
+    else:
+        packages = packages.where("page_error IS NULL")
+    return packages.select("name", F.coalesce("recent_downloads", F.lit(0)).alias("recent"), F.coalesce("max_stable_version", "newest_version", F.lit("")).alias("version"), short_line(F.col("description")).alias("description"))
 
 
-def discover(packages: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+def discover(packages: DataFrame, limit: int, offset: int = 0, strict: bool = True) -> DataFrame:
     """Keyword-scan listing: most recent downloads first, one page; the limit is the feature."""
-    shown = packages.select("name", F.coalesce("recent_downloads", F.lit(0)).alias("recent"), F.coalesce("max_stable_version", "newest_version", F.lit("")).alias("version"), short_line(F.col("description")).alias("description"))
-    return shown.orderBy(F.desc("recent"), "name").offset(offset).limit(limit)
+    return listing(packages, strict).orderBy(F.desc("recent"), "name").offset(offset).limit(limit)
