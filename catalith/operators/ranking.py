@@ -30,10 +30,27 @@ def running_sums(df: DataFrame, group: list[str], order: list[Column], amounts:
     return inside.join(before, same).select(*(c for c in df.columns if c not in amounts), *((F.col(f"_i_{k}") + F.col(f"_b_{k}")).alias(k) for k in amounts))
 
 
+def rank_in_groups(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """1-based rank inside each group; ``order`` must end in a unique column to be deterministic.
+
+    As :func:`running_sums`, but ranks need no second pass over the sorted rows: Spark numbers the
+    rows of a range as it writes them, so a row's rank is its number, less that of its group's first in
+    the range, plus the group's rows in the ranges before.  Only the latter two are joined; they are as many as groups and ranges.
+    """
+    placed = write_table(df.orderBy(*group, *order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    names = [f"_g{i}" for i in range(len(group))]
+    own = placed.groupBy(*(F.col(g).alias(n) for g, n in zip(group, names, strict=True)), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    ahead = Window.partitionBy(*names).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    shift = own.select(*names, "_r", (F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = F.col("_range") == F.col("_r")
+    for g, n in zip(group, names, strict=True):
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    return placed.join(shift, same).select(*(c for c in df.columns if c != name), (F.col("_at") + F.col("_shift")).alias(name))
+
+
 def rank_in_group(df: DataFrame, group: str, order: list[Column], name: str = "rank") -> DataFrame:
-    """1-based rank inside each group; ``order`` must end in a unique column to be deterministic."""
-    ranked = running_sums(df, [group], order, {name: F.lit(1).cast("long")})
-    return ranked.withColumn(name, F.col(name) + 1)
+    """:func:`rank_in_groups` of one column."""
+    return rank_in_groups(df, [group], order, name)
 
 
 def display_position(df: DataFrame, group_order: Column, rank: Column, name: str = "position") -> DataFrame:
@@ -64,6 +81,20 @@ def sort_order(mode: str, position: str = "position", downloads: str = "download
     return [*([by[mode]] if mode in by else []), F.asc(position)]
 
 
+def sort_modes(view: DataFrame, modes: list[str], group: str, keep: list[str], name: str = "place", position: str = "position", downloads: str = "downloads", stars: str = "stars", updated: str = "sort_updated", added: str = "sort_added", title: str = "name") -> DataFrame:
+    """Every row's place inside its group in each of the modes: (mode, ``keep``, ``name``), ordered as :func:`sort_order` does.
+
+    One sort serves all modes: a row goes in once a mode, with nothing but the key of that mode.
+    """
+    c = F.col
+    number = F.create_map(F.lit("downloads"), c(downloads).cast("long"), F.lit("stars"), c(stars).cast("long"))
+    text = F.create_map(F.lit("updated"), F.nullif(c(updated), F.lit("")), F.lit("added"), F.nullif(c(added), F.lit("")))
+    slim = view.select(group, *keep, c(position).alias("_position"), number.alias("_numbers"), text.alias("_texts"), c(title).alias("_title"), F.explode(F.array(*map(F.lit, modes))).alias("mode"))
+    keyed = slim.select(group, *keep, "_position", "mode", F.try_element_at("_numbers", c("mode")).alias("_number"), F.try_element_at("_texts", c("mode")).alias("_text"), F.when(c("mode") == "name", c("_title")).alias("_name"))
+    order = [F.desc_nulls_last("_number"), F.desc_nulls_last("_text"), F.asc(F.collate("_name", "UNICODE_CI_AI")), F.asc("_position")]
+    return rank_in_groups(keyed, ["mode", group], order, name).select("mode", *keep, name)
+
+
 def distinct_first_label(df: DataFrame, label: str, order: list[str], key: Column | None = None) -> DataFrame:
     """Distinct values under ``key`` (lower case by default) with the label seen first."""
     key = F.lower(label) if key is None else key

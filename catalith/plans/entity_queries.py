@@ -183,12 +183,7 @@ WITH {_E}, {_C}, {_V} {_place("unknown", "")} UNION ALL {_place("downloads", "co
 UNION ALL {_place("updated", "last_commit DESC NULLS LAST,")} UNION ALL {_place("added", "added DESC NULLS LAST,")} UNION ALL {_place("name", "lower(name),")}
 """)
 def sort_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = write_table(catalog(spark, sf_dir).view(_today()), "view")
-    out = None
-    for mode in ("unknown", *ranking.SORT_MODES[1:]):
-        ranked = ranking.rank_in_group(view, "category", ranking.sort_order(mode), "place").select(F.lit(mode).alias("mode"), "id", "place")
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+    return ranking.sort_modes(catalog(spark, sf_dir).view(_today()), ["unknown", *ranking.SORT_MODES[1:]], "category", ["id"])
 
 
 @_query(f"""
