@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from catalith.functions.scalars import ascii_lower, relation_name
@@ -100,3 +100,14 @@ def last_good(df: DataFrame, key: str, time: str, value: str, failed: Column) ->
     """Per key over an outcome log: the last good value, whether the last outcome failed, and counts."""
     good = F.when(~failed, F.struct(time, F.col(value).alias("_v")))
     return df.groupBy(key).agg(F.max(good)["_v"].alias("value"), F.max_by(failed, F.col(time)).alias("stale"), F.count_if(~failed).alias("n_refreshed"), F.count_if(failed).alias("n_failed"))
+
+
+def counted(outcomes: DataFrame, failure: str = "failure") -> tuple[DataFrame, Observation]:
+    """``outcomes``, and what will be known of them once they have been written anywhere: ``n``, ``n_failed``, ``n_refreshed``.
+
+    The counts are gathered while the rows pass by; no second pass over them is needed.  A row that a retried task
+    reads again is counted once.
+    """
+    seen = Observation()
+    failed = F.col(failure).isNotNull()
+    return outcomes.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("n_failed"), F.count_if(~failed).alias("n_refreshed")), seen
