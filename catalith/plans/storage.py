@@ -10,11 +10,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: What has been written outside all scopes, and in the scope that the caller runs in.
 _WRITTEN: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("catalith-scope", default=None)
+
+
+def _mine() -> list[str]:
+    held = _SCOPE.get()
+    return _WRITTEN if held is None else held
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """What is written inside is counted and released apart from what others write meanwhile, in other threads too.
+
+    What has not been released by its end is handed to the surroundings.
+    """
+    token = _SCOPE.set(held := [])
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        _mine().extend(held)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,13 +65,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    file = done._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        _mine().append(file.get())
+    return done
 
 
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    _WRITTEN.append(f"{shared_dir(spark)}/catalith-{name}-{uuid.uuid4().hex}")
-    return _WRITTEN[-1]
+    path = f"{shared_dir(spark)}/catalith-{name}-{uuid.uuid4().hex}"
+    _mine().append(path)
+    return path
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -58,18 +87,18 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def written() -> int:
-    """How many tables this driver has written and not released."""
-    return len(_WRITTEN)
+    """How many tables and checkpoints this scope has written and not released."""
+    return len(_mine())
 
 
 def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> int:
-    """Delete the tables written since ``written()`` was ``since``, all or all but the last; call it once results are stored.
+    """Delete what this scope has written since ``written()`` was ``since``, all or all but the last; call it once results are stored.
 
-    Frames that still read such a table can't be run afterwards.
+    Frames that still read such a table or checkpoint can't be run afterwards.
     """
-    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
-    last = _WRITTEN[-1:] if keep_last and len(_WRITTEN) > since else []
-    gone, _WRITTEN[since:] = _WRITTEN[since : len(_WRITTEN) - len(last)], last
+    conf, n, mine = spark.sparkContext._jsc.hadoopConfiguration(), 0, _mine()
+    last = mine[-1:] if keep_last and len(mine) > since else []
+    gone, mine[since:] = mine[since : len(mine) - len(last)], last
     for name in gone:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
