@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from catalith.llm import jaccard, mixing, packing, pii, quality
-from catalith.plans.storage import release, write_table, written
+from catalith.plans.storage import release, scope, write_table
 
 PII_KEY = "catalith-demo-key"
 MIX_SEED = 17
@@ -65,8 +65,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the packed pieces."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
-    for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), name)
-        release(spark, before, keep_last=True)  # what this stage and those before it wrote on the way
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with scope():  # runs at the same time don't release each other's tables
+        for name, stage in STAGES[:-1]:
+            docs = write_table(stage(spark, docs, sf_dir), name)
+            release(spark, keep_last=True)  # what this stage and those before it wrote on the way
+        return STAGES[-1][1](spark, docs, sf_dir)
