@@ -75,7 +75,7 @@ def test_stages_keep_the_columns(spark):
 
 def test_registration():
     names = set(llm.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert set(llm.oracle_sql()) <= names and quality.POLICIES["v1"] & quality.POLICIES["base"] == quality.POLICIES["base"]
 
 
