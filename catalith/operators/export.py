@@ -105,6 +105,13 @@ def page_sections(rows: DataFrame, order: str, heading: str, rank: str, name: st
     return heads.unionByName(rows.select(F.col(order).alias("ord"), F.col(rank).cast("long").alias("rank"), article.alias("html")))
 
 
+def html_page(sections: DataFrame, title: str, language: str = "en") -> DataFrame:
+    """:func:`page_sections` with what makes them a page: the head before, the end behind, a line each."""
+    edge = lambda n, html: sections.sparkSession.range(1).select(F.lit(n).cast(sections.schema["ord"].dataType).alias("ord"), F.lit(0).cast("long").alias("rank"), html.alias("html"))
+    head = F.concat(F.lit(f'<!DOCTYPE html>\n<html lang="{language}">\n<head><meta charset="utf-8"><title>'), html_escape(F.lit(title)), F.lit("</title></head>\n<body>"))
+    return sections.select("ord", "rank", "html").unionByName(edge(-1, head)).unionByName(edge(2**31 - 1, F.lit("</body>\n</html>")))
+
+
 def open_sections(sections: DataFrame, key: str, collapsed: list[str], searching: bool) -> DataFrame:
     """Sections with ``is_open``: not among the collapsed ones, or any while a search is active."""
     return sections.withColumn("is_open", F.lit(searching) | ~F.coalesce(F.col(key).isin(*collapsed) if collapsed else F.lit(False), F.lit(False)))

@@ -570,9 +570,13 @@ def html_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.page_sections(rows, "category_ord", "category_name", "rank", "name", "repository", "_body")
 
 
-@_query(f"WITH {_C} SELECT cid AS id, cid NOT IN ('small', 'promo') AS is_open, false AS searching FROM c UNION ALL SELECT cid, true, true FROM c")
+@_query(f"""
+WITH {_E}, n AS (SELECT category AS id, count(*) AS n FROM e GROUP BY category)
+SELECT id, n, id NOT IN ('small', 'promo') AS is_open, false AS searching FROM n UNION ALL SELECT id, n, true, true FROM n
+""")
 def section_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = catalog(spark, sf_dir).categories.select("id")
+    """The sections that have entities, and which are open: not the collapsed ones, all while a search is active."""
+    sections = catalog(spark, sf_dir).entities.groupBy(F.col("category").alias("id")).agg(F.count("*").alias("n"))
     states_ = [export.open_sections(sections, "id", ["small", "promo"], s).withColumn("searching", F.lit(s)) for s in (False, True)]
     return states_[0].unionByName(states_[1])
 
