@@ -46,8 +46,11 @@ from catalith.plans.storage import checkpoint, write_table
 SAMPLE = 20_000
 #: Sampled vectors whose surroundings set the traversal's end.
 PROBES = 2_000
-#: Vectors of a label a cell on average, and code words a half at the most.
-CELL, MOST_CODEWORDS = 128, 256
+#: Vectors of a label a cell on average, and code words a half at the most: enough for 500 million vectors of a
+#: label, and as many as SAMPLE can place; with more vectors cells grow, results don't change.
+CELL, MOST_CODEWORDS = 128, 2048
+#: Distances of vectors to code words held at a time.
+DISTANCES = 4_000_000
 #: Members and visitors of a cell in one block.
 SLICE, VISITORS = 1024, 4096
 #: Labels, or cells of more than one slice, up to which their table is broadcast (some ten bytes a row).
@@ -118,8 +121,10 @@ def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float) -> list[tuple[int
 
 def visit(x: np.ndarray, books: Codebooks, limit: float) -> list[list[int]]:
     """Visited cells of each unit vector, home first."""
-    home, a, b = costs(x, books)
     k = len(books[1])
+    if len(x) > (step := max(1, DISTANCES // k)):
+        return [cells for s in range(0, len(x), step) for cells in visit(x[s : s + step], books, limit)]
+    home, a, b = costs(x, books)
     return [[h, *(c for i, j in multi_sequence(p, q, limit) if (c := i * k + j) != h)] for h, p, q in zip(home.tolist(), a, b, strict=True)]
 
 

@@ -88,7 +88,8 @@ def source_rates(df: DataFrame, source: str, targets: dict[str, float] | None, p
 def replicate(df: DataFrame, id_col: str = "doc_id", source: str = "source", targets: dict[str, float] | None = None, power: float = 0.5, total: float | None = None, seed: int = 17) -> DataFrame:
     """Each row as often as drawn, with ``rate``, ``copy`` (from 0) and ``shuffle_key``, in shuffled order.
 
-    Input columns of these names are replaced.
+    Input columns of these names are replaced, and those with a name that begins with an underscore
+    may be; :func:`replicate_documents` keeps all.  Rows of equal ``shuffle_key`` (equal ids) have no order.
     """
     # the distribution is tabled once a source; a document only looks its uniform number up
     tables = {"_below": cumulative(F.col("rate") - F.floor(F.col("rate") / CHUNK) * CHUNK), "_chunk": F.when(F.col("rate") >= CHUNK, cumulative(F.lit(CHUNK)))}

@@ -361,7 +361,8 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with ``text`` pseudonymised and ``pii``, an array of (kind, original, pseudonym).
 
     The originals in ``pii`` are for auditing and for those who may see them; drop the
-    column before publishing.
+    column before publishing.  Input columns named ``pii``, or with a name that begins with an
+    underscore, may be replaced; :func:`pseudonymise_documents` keeps all.
     """
     found = df.withColumn("_found", F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))))
     hit = F.size(F.coalesce("_found", F.array().cast("array<string>"))) > 0

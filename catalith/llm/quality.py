@@ -84,7 +84,11 @@ def _repeat_words(words: str, n: str) -> list[dict[str, Column]]:
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` plus the measurements and ``fail_mask`` (long)."""
+    """``df`` plus the measurements and ``fail_mask`` (long).
+
+    Input columns of these names, or with a name that begins with an underscore, may be replaced;
+    :func:`keep_documents` keeps all.
+    """
     c = F.col
     out = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     # Splitting the trimmed text gives the words at less than half the cost of matching them.
