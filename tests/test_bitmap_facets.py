@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import pytest
-from compare import compare
 from pyspark.sql import functions as F
 
 from catalith.functions.scalars import compare_versions
@@ -45,8 +43,3 @@ def test_states(spark):
     assert {r.state: r.n for r in B.counts(index.marked(shown, marks)).collect() if r.n} == {s: n for s, k in ((2, "a"), (1, "b")) if (n := sum(r[1] == k for r in want[s]))}
     empty = B.FacetIndex.build(B.numbered(df.drop("pos").limit(0)), {"kind": F.array("kind")})
     assert empty.visible(spark.createDataFrame([(1, B.ALL, [""])], "state int, facet string, any array<string>")).count() == 0
-
-
-@pytest.mark.parametrize("name", ["state_counts", "state_category_counts"])
-def test_queries(spark, name):
-    assert compare(spark, name, "/root/testdata/sf0.001") > 20

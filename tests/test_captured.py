@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import pytest
-from compare import compare
 from pyspark.sql import functions as F
 
 from catalith.operators.paging import PagedListing
 from catalith.sources import captured
 
-SF = "/root/testdata/sf0.001"
 
 
 def test_fields_have_their_types(spark):
@@ -67,8 +65,3 @@ def test_pages_read_their_ranges(spark):
         assert "_range#" in df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1].split("PushedFilters")[0]
     none = PagedListing.build(rows.limit(0), F.struct("v", "n"))
     assert none.page(0, 10).count() == 0 and none.after(before, 5).count() == 0
-
-
-@pytest.mark.parametrize("name", ["discover_listing", "discover_pages", "listing_page", "refresh_outcomes", "refresh_all"])
-def test_queries(spark, name):
-    assert compare(spark, name, SF) > 10

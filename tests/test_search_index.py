@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
-from compare import compare
 from pyspark.sql import functions as F
 
 from catalith.operators import filters, search_index
@@ -51,8 +50,3 @@ def test_only_the_needles_lists_are_read(spark, rows):
     assert index.postings([]).count() == 0 and index.search_any([""]).count() == 0
     empty = SearchIndex.build(rows.limit(0), ["name"])
     assert empty.search_any(["x"]).count() == 0 and empty.search_all(["", "a"]).count() == 0
-
-
-@pytest.mark.parametrize("name", ["search_indexed", "search_terms_indexed"])
-def test_queries(spark, name):
-    assert compare(spark, name, "/root/testdata/sf0.001") > 20

@@ -6,13 +6,11 @@ import os
 import tomllib
 
 import pytest
-from compare import compare
 from pyspark.sql import functions as F
 
 from catalith.sources import toml_files
 from catalith.sources.toml_text import put_table, scan
 
-SF = "/root/testdata/sf0.001"
 TEXTS = [
     'id = "a"\nd = """\n[metrics]\nx\n"""\n\n# keep\n[metrics] # m\nstars = 1 # c\nold = [\n[1],\n[2]]\n\n[metrics.crate]\nname = "x"\n# in\n\n# next\n[other]\ny = 1\n',
     "a = 1\n[ metrics ]\nstars=2\n[[metrics.x]]\nq = 1\n[[metrics.x]]\nq = 2\n# end",
@@ -128,8 +126,3 @@ def test_committed_job_of_a_driver_that_died(spark, tmp_path, monkeypatch):
     toml_files.roll_forward(store, base)
     toml_files.roll_forward(store, base)
     assert tree(tmp_path / "d") == {"a.toml": "v = 2", "b.toml": "v = 2"} and len(os.listdir(at)) == 2
-
-
-@pytest.mark.parametrize("name", ["toml_folder", "toml_one_file", "toml_files_write_back", "toml_write_back"])
-def test_queries(spark, name):
-    assert compare(spark, name, SF) >= 1
