@@ -46,7 +46,7 @@ from catalith.plans.storage import checkpoint, write_table
 
 DEPTH = 4
 BLOCK_BYTES = 24_000_000
-CONTEXT_ROWS = 400_000
+CONTEXT_ROWS = 150_000
 HOLD_OUT, FOLDS = 2, 7
 _END = b"\xff"
 
