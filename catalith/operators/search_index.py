@@ -68,9 +68,9 @@ class SearchIndex:
         made = cls(spark, path or table_path(spark, "search"), stored.schema)
         stored.write.partitionBy("part").parquet(f"{made.path}/rows")
         numbered = made.rows()
-        held = grams(numbered.select("number", F.explode("fields").alias("field")), "field", ["number"]).distinct()
+        held = grams(numbered.select("number", F.explode("fields").alias("field")), "field", ["number"])
         place = F.expr(f"CAST(number % {BLOCK} AS INT)")
-        lists = held.groupBy("gram", F.expr(f"number DIV {BLOCK}").alias("block")).agg(F.array_sort(F.collect_list(place)).alias("places"))
+        lists = held.groupBy("gram", F.expr(f"number DIV {BLOCK}").alias("block")).agg(F.array_sort(F.collect_set(place)).alias("places"))
         gaps = F.transform("places", lambda x, i: x - F.coalesce(F.get("places", i - 1), F.lit(0)))
         postings = lists.select("gram", "block", F.size("places").alias("n"), gaps.alias("gaps"), _bucket(F.col("gram")).alias("bucket"))
         postings.repartition("bucket").sortWithinPartitions("bucket", "gram", "block").write.partitionBy("bucket").parquet(f"{made.path}/grams")
