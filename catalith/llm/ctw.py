@@ -33,9 +33,12 @@ table, whatever their names, are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,20 @@ HOLD_OUT, FOLDS = 2, 7
 _END = b"\xff"
 
 
+def _tidy(step: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``step``, with what it freed given back to the system: Python workers outlive a block, and would hold it while others run."""
+
+    @wraps(step)
+    def run(*tables: pa.Table) -> pa.Table:
+        out = step(*tables)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+        return out
+
+    return run
+
+
 def grams(text: bytes) -> np.ndarray:
     """The (DEPTH + 1)-byte codes that end at each byte of the text and its end symbol."""
     b = np.frombuffer(bytes(DEPTH) + text + _END, dtype=np.uint8).astype(np.int64)
@@ -124,6 +141,10 @@ def _profile_block(table: pa.Table) -> pa.Table:
     )
 
 
+def _profiled(table: pa.Table) -> pa.Table:
+    return _tidy(_profile_block)(table)
+
+
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """log gamma for x >= 0.5: Stirling's series after shifting to x + 8."""
     shift = np.zeros_like(x)
@@ -264,7 +285,10 @@ def _scorer(unknown: float, end: float, end_known: bool):
             total.append(float(values[np.searchsorted(keys, codes)].sum()))
         return pa.table({**{k: docs.column(k) for k in ("_id", "held_out", "n_bytes")}, "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())})
 
-    return score
+    def tidied(blobs: pa.Table, model: pa.Table) -> pa.Table:
+        return _tidy(score)(blobs, model)
+
+    return tidied
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,7 +301,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     docs = df.select(
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("_block"), body.alias("_text"), (fold != HOLD_OUT).alias("_train"), c(id_col).alias("_id"), (fold == HOLD_OUT).alias("held_out"), F.octet_length(body).cast("long").alias("n_bytes")
     )
-    held = write_table(docs.groupBy("_block").applyInArrow(_profile_block, "_block int, gram long, word binary, n long, docs binary"), "block-counts")
+    held = write_table(docs.groupBy("_block").applyInArrow(_profiled, "_block int, gram long, word binary, n long, docs binary"), "block-counts")
     of_grams, of_words = held.where("gram IS NOT NULL"), held.where("word IS NOT NULL")
 
     words = write_table(of_words.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
