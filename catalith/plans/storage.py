@@ -57,6 +57,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for work that costs far more than its rows' bytes suggest: small files come in few partitions."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut ``df``'s lineage through the reliable checkpoint folder (eager).
 

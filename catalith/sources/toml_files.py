@@ -8,11 +8,16 @@ array, in order) or text (the file as it is).  A missing folder is an error, or
 with ``missing = empty``.
 
 Writing: rows (stem, content) become files; ``append`` replaces files of the same stem and leaves
-others, ``overwrite`` also removes the rest.  A task stages its files in a folder of its own, so a
-failed, repeated or speculative task leaves nothing behind.  The job commits by renaming one
-manifest into place and then moves the files that it lists; until then readers see the old files,
-from then on the new ones, whether they have been moved yet or not, and the next writer moves what a
-driver that died left.  An aborted job removes its staging folder and touches nothing else.
+others, ``overwrite`` also removes the rest.  A task stages its files, and a list of their stems, in a
+folder of its own, so a failed, repeated or speculative task leaves nothing behind.  The job commits by
+renaming one manifest, which names the tasks' folders, into place and then moves the files that they list;
+until then readers see the old files, from then on the new ones, whether they have been moved yet or not,
+and the next writer moves what a driver that died left.  An aborted job removes its staging folder and
+touches nothing else.
+
+A folder may hold millions of files.  Tasks send the driver no more than their folder's name; listings are
+packed arrays of names and sizes (some 40 bytes a file), partitions are sent compressed (some 5 bytes a
+file), and files are moved some thousand at a time.
 
 Files are reached through ``pyarrow.fs`` (local and shared mounts, S3, GCS, HDFS) from all
 executors; stores that only Spark reads are for ``toml.read_entities``.  Renames have to be atomic
@@ -23,21 +28,26 @@ from __future__ import annotations
 
 import contextlib
 import json
+import os
 import time
 import uuid
-from collections import Counter
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import batched
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from catalith.plans.schema import CATEGORY, ENTITY, STACK
+from catalith.plans.storage import dealt
 from catalith.sources.toml import _arrow, _shape, bind, bind_entity, bind_stack, loads
 
 #: Files (option ``files``), and bytes, of a partition at the most (a larger file is a partition of its own).
@@ -45,6 +55,12 @@ FILES, BYTES = 1000, 8 * 2**20
 #: Seconds after which the staging folder of a job that never ended is removed.
 ABANDONED = 7 * 86_400
 _MANIFEST, _STAGING = "_commit-", "_staging-"
+#: In a task's staging folder the stems of its files 0, 1, ...; in the job's the stems that go.  A line of JSON each.
+_STEMS = "_stems"
+#: Files that are looked up or moved at once.
+_SOME = 1000
+#: A listing: ``folder`` is -1 for a file in place, or the number of the staging folder that holds it as ``number``.
+_LISTED = pa.schema([("name", pa.large_binary()), ("size", pa.int32()), ("folder", pa.int32()), ("number", pa.int32())])
 _PLACED = [T.StructField("stem", T.StringType()), T.StructField("place", T.LongType())]
 TEXT = T.StructType([T.StructField("content", T.StringType())])
 KINDS: dict[str, T.StructType] = {"entity": ENTITY, "stack": STACK, "category": CATEGORY, "text": TEXT}
@@ -66,8 +82,14 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def _names(store: fs.FileSystem, base: str) -> list[fs.FileInfo]:
-    return store.get_file_info(fs.FileSelector(base, recursive=False))
+def _names(store: fs.FileSystem, base: str) -> Iterator[fs.FileInfo]:
+    """What is directly in a folder; of a mounted one never held as a whole."""
+    if not isinstance(store, fs.LocalFileSystem):
+        yield from store.get_file_info(fs.FileSelector(base, recursive=False, allow_not_found=True))
+        return
+    with contextlib.suppress(FileNotFoundError), os.scandir(base) as found:
+        for some in batched((x.path for x in found), _SOME):
+            yield from store.get_file_info(list(some))
 
 
 def _text(store: fs.FileSystem, path: str) -> str:
@@ -75,38 +97,96 @@ def _text(store: fs.FileSystem, path: str) -> str:
         return f.read().decode()
 
 
-def _pending(store: fs.FileSystem, infos: list[fs.FileInfo]) -> list[dict[str, Any]]:
+def _stems(store: fs.FileSystem, path: str) -> Iterator[str]:
+    with store.open_input_stream(path) as raw, pa.PythonFile(raw, "r") as f:
+        rest = b""
+        while block := f.read(2**20):
+            *lines, rest = (rest + block).split(b"\n")
+            yield from map(json.loads, lines)
+
+
+def _pending(store: fs.FileSystem, manifests: Iterable[str]) -> list[dict[str, Any]]:
     """Manifests of committed jobs whose files have not all been moved."""
-    return [json.loads(_text(store, x.path)) | {"path": x.path} for x in sorted(infos, key=lambda x: x.path) if x.base_name.startswith(_MANIFEST) and x.base_name.endswith(".json")]
+    return [json.loads(_text(store, path)) | {"path": path} for path in sorted(manifests)]
+
+
+def _is_manifest(info: fs.FileInfo) -> bool:
+    return info.base_name.startswith(_MANIFEST) and info.base_name.endswith(".json")
+
+
+def _manifests(store: fs.FileSystem, base: str) -> list[str]:
+    return [x.path for x in _names(store, base) if _is_manifest(x)]
+
+
+def _staged_sizes(store: fs.FileSystem, folder: str, n: int) -> np.ndarray:
+    """Sizes of a task's files by number, -1 where one has been moved."""
+    sizes = np.full(n, -1, np.int64)
+    for x in _names(store, folder):
+        if x.type == fs.FileType.File and x.base_name.isdigit():
+            sizes[int(x.base_name)] = x.size
+    return sizes
+
+
+def _packed(rows: Iterable[tuple[bytes, int, int, int]]) -> pa.Table:
+    tables = [_LISTED.empty_table()]
+    for some in batched(rows, 50_000):
+        names, sizes, *where = zip(*some, strict=True)
+        tables.append(pa.table([names, [min(x, 2**31 - 1) for x in sizes], *where], schema=_LISTED))
+    return pa.concat_tables(tables)
+
+
+def _bytes(stems: Iterable[str]) -> pa.ChunkedArray:
+    return pa.chunked_array([pa.array([f"{s}.toml".encode() for s in some], pa.large_binary()) for some in batched(stems, 50_000)], pa.large_binary())
 
 
 @dataclass(frozen=True)
 class File:
+    """``path`` is None for a file that lies in its folder under its own name."""
+
     stem: str
-    path: str
+    path: str | None
     size: int
 
 
-def listing(path: str, missing: str = "error") -> list[File]:
+def listing(path: str, missing: str = "error") -> Iterator[File]:
     """The ``*.toml`` files directly in a folder (or the one file) by path, as committed."""
     store, base = _store(path)
     at = store.get_file_info(base)
     if at.type == fs.FileType.NotFound:
         if missing == "empty":
-            return []
+            return
         raise FileNotFoundError(path)
     if at.type == fs.FileType.File:
-        return [File(at.base_name.removesuffix(".toml"), at.path, at.size)]
-    infos = _names(store, base)
-    found = {x.base_name.removesuffix(".toml"): File(x.base_name.removesuffix(".toml"), x.path, x.size) for x in infos if x.type == fs.FileType.File and x.base_name.endswith(".toml") and x.base_name[0] not in "._"}
-    for job in _pending(store, infos):
-        for stem in job["removed"]:
-            found.pop(stem, None)
-        for stem, staged in job["files"].items():
-            info = store.get_file_info(staged)
-            if info.type == fs.FileType.File:
-                found[stem] = File(stem, staged, info.size)
-    return sorted(found.values(), key=lambda f: f"{f.stem}.toml")
+        yield File(at.base_name.removesuffix(".toml"), at.path, at.size)
+        return
+    manifests: list[str] = []
+
+    def in_place() -> Iterator[tuple[bytes, int, int, int]]:
+        for x in _names(store, base):
+            name = x.base_name
+            if x.type == fs.FileType.File and name.endswith(".toml") and name[0] not in "._":
+                yield name.encode(), x.size, -1, 0
+            elif _is_manifest(x):
+                manifests.append(x.path)
+
+    found, folders = _packed(in_place()), []
+    for job in _pending(store, manifests):
+        start = len(folders)
+        folders += job["folders"]
+
+        def staged(first: int, job: dict[str, Any] = job) -> Iterator[tuple[bytes, int, int, int]]:
+            for k, (folder, n) in enumerate(job["folders"], first):
+                sizes = _staged_sizes(store, folder, n)
+                yield from ((f"{stem}.toml".encode(), int(sizes[i]), k, i) for i, stem in enumerate(_stems(store, f"{folder}/{_STEMS}")) if sizes[i] >= 0)
+
+        new = _packed(staged(start))
+        gone = pa.chunked_array([*new["name"].chunks, *_bytes(_stems(store, job["removed"]) if job["removed"] else ()).chunks], pa.large_binary())
+        found = pa.concat_tables([found.filter(pc.invert(pc.is_in(found["name"], gone))), new])
+    found = found.combine_chunks()
+    order = pc.sort_indices(found["name"])
+    for s in range(0, len(order), 50_000):
+        for name, size, k, i in zip(*(c.to_pylist() for c in found.take(order[s : s + 50_000]).columns), strict=True):
+            yield File(name.decode().removesuffix(".toml"), None if k < 0 else f"{folders[k][0]}/{i}", size)
 
 
 def _drop(store: fs.FileSystem, folder: str) -> None:
@@ -121,36 +201,55 @@ def _drop(store: fs.FileSystem, folder: str) -> None:
 
 def sweep(store: fs.FileSystem, base: str, age: float = ABANDONED) -> None:
     """Remove staging folders of jobs that ended without a word so many seconds ago."""
-    infos = _names(store, base)
-    wanted = {job["staging"] for job in _pending(store, infos)}
+    infos = [x for x in _names(store, base) if x.base_name.startswith(_STAGING) or _is_manifest(x)]
+    wanted = {job["staging"] for job in _pending(store, (x.path for x in infos if _is_manifest(x)))}
     for x in infos:
         if x.base_name.startswith(_STAGING) and x.path not in wanted and x.mtime_ns is not None and time.time() - x.mtime_ns / 1e9 > age:
             _drop(store, x.path)
 
 
+def _all_of(work: Callable[[Any], None], items: Iterable[Any]) -> None:
+    """``work`` on every item, some at a time on a few threads."""
+
+    def each(some: tuple[Any, ...]) -> None:
+        for x in some:
+            work(x)
+
+    with ThreadPoolExecutor(16) as pool:
+        for many in batched(batched(items, _SOME // 16), 64):
+            list(pool.map(each, many))
+
+
 def roll_forward(store: fs.FileSystem, base: str) -> None:
     """Move the files of committed jobs into place; doing it again changes nothing."""
 
-    def move(target_staged: tuple[str, str]) -> None:
-        stem, staged = target_staged
-        if store.get_file_info(staged).type == fs.FileType.File:
-            store.move(staged, f"{base}/{stem}.toml")
-
-    for job in _pending(store, _names(store, base)):
-        with ThreadPoolExecutor(16) as pool:
-            list(pool.map(move, job["files"].items()))
-        for stem in job["removed"]:
-            if store.get_file_info(f"{base}/{stem}.toml").type == fs.FileType.File:
-                store.delete_file(f"{base}/{stem}.toml")
+    def remove(stem: str) -> None:
+        if store.get_file_info(f"{base}/{stem}.toml").type == fs.FileType.File:
+            store.delete_file(f"{base}/{stem}.toml")
+
+    for job in _pending(store, _manifests(store, base)):
+        for folder, n in job["folders"]:
+            here = _staged_sizes(store, folder, n) >= 0
+            staged = ((stem, f"{folder}/{i}") for i, stem in enumerate(_stems(store, f"{folder}/{_STEMS}")) if here[i])
+            _all_of(lambda x: store.move(x[1], f"{base}/{x[0]}.toml"), staged)
+        if job["removed"]:
+            _all_of(remove, _stems(store, job["removed"]))
         store.delete_file(job["path"])
         _drop(store, job["staging"])
 
 
 @dataclass
 class Span(InputPartition):
-    """Consecutive files with their places."""
+    """Consecutive files (place, stem, path), packed."""
+
+    packed: bytes
+
+    @classmethod
+    def of(cls, files: list[tuple[int, str, str | None]]) -> Span:
+        return cls(zlib.compress(json.dumps(files).encode()))
 
-    files: list[tuple[int, str, str]]
+    def files(self) -> list[tuple[int, str, str | None]]:
+        return json.loads(zlib.decompress(self.packed))
 
 
 class Reader(DataSourceReader):
@@ -168,30 +267,43 @@ class Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        spans, size = [Span([])], 0
+        spans, files, size = [], [], 0
         for place, f in enumerate(listing(self.path, self.missing)):
             if self.only is not None and f.stem not in self.only:
                 continue
-            if spans[-1].files and (len(spans[-1].files) == self.files or size + f.size > BYTES):
-                spans.append(Span([]))
-                size = 0
-            spans[-1].files.append((place, f.stem, f.path))
+            if files and (len(files) == self.files or size + f.size > BYTES):
+                spans.append(Span.of(files))
+                files, size = [], 0
+            files.append((place, f.stem, f.path))
             size += f.size
-        return spans
+        return [*spans, Span.of(files)] if files or not spans else spans
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:
-        if not span.files:
-            return
-        store, _ = _store(self.path)
+        store, base = _store(self.path)
         arrow = pa.schema(list(_arrow(self.fields)))
-        for s in range(0, len(span.files), 100):
-            rows = [{"stem": stem, "place": place} | r for place, stem, path in span.files[s : s + 100] for r in records(self.kind, _text(store, path), path)]
+        for some in batched(span.files(), 100):
+            at = ((place, stem, path or f"{base}/{stem}.toml") for place, stem, path in some)
+            rows = [{"stem": stem, "place": place} | r for place, stem, path in at for r in records(self.kind, _text(store, path), path)]
             yield pa.RecordBatch.from_pylist([_shape(r, self.fields) for r in rows], schema=arrow)
 
 
+def _repeated(names: pa.ChunkedArray) -> list[str]:
+    """Some of the stems that are there more than once."""
+    order, twice = pc.sort_indices(names), []
+    for s in range(0, len(order) - 1, 50_000):
+        near = names.take(order[s : s + 50_001]).combine_chunks()
+        twice += {x.as_py().decode().removesuffix(".toml") for x in near[1:].filter(pc.equal(near[1:], near[:-1]))}
+        if len(twice) >= 5:
+            break
+    return sorted(twice)[:5]
+
+
 @dataclass
 class Staged(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    """A task's folder and how many files it staged there."""
+
+    folder: str
+    n: int
 
 
 class Writer(DataSourceWriter):
@@ -209,27 +321,34 @@ class Writer(DataSourceWriter):
         store, base = _store(self.path)
         folder = f"{self._staging(base)}/{uuid.uuid4().hex}"
         store.create_dir(folder, recursive=False)  # an aborted job's folder is gone, and its tasks that still run fail
-        done = []
-        for r in rows:
-            if not r["stem"] or r["stem"][0] in "._" or "/" in r["stem"] or r["content"] is None:
-                raise ValueError(f"{r['stem']!r} can't be a file")
-            content = r["content"] if isinstance(r["content"], bytes | bytearray) else r["content"].encode()
-            done.append((r["stem"], f"{folder}/{len(done)}"))
-            with store.open_output_stream(done[-1][1]) as f:
-                f.write(bytes(content))
-        return Staged(done)
+        n = 0
+        with store.open_output_stream(f"{folder}/{_STEMS}", buffer_size=2**16) as stems:
+            for r in rows:
+                if not r["stem"] or r["stem"][0] in "._" or "/" in r["stem"] or r["content"] is None:
+                    raise ValueError(f"{r['stem']!r} can't be a file")
+                content = r["content"] if isinstance(r["content"], bytes | bytearray) else r["content"].encode()
+                with store.open_output_stream(f"{folder}/{n}") as f:
+                    f.write(bytes(content))
+                stems.write(f"{json.dumps(r['stem'])}\n".encode())
+                n += 1
+        return Staged(folder, n)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, base = _store(self.path)
         roll_forward(store, base)  # what a job before left
-        files = [x for m in messages if m is not None for x in m.files]
-        if twice := [stem for stem, n in Counter(stem for stem, _ in files).items() if n > 1]:
-            raise ValueError(f"more than one row for {sorted(twice)[:5]}")
-        new = dict(files)
-        removed = [f.stem for f in listing(self.path) if f.stem not in new] if self.overwrite else []
+        folders = [(m.folder, m.n) for m in messages if m is not None and m.n]
+        new = _bytes(stem for folder, _ in folders for stem in _stems(store, f"{folder}/{_STEMS}"))
+        if twice := _repeated(new):
+            raise ValueError(f"more than one row for {twice}")
+        removed = f"{self._staging(base)}/{_STEMS}" if self.overwrite else None
+        if removed:
+            with store.open_output_stream(removed, buffer_size=2**16) as f:
+                old = _bytes(x.stem for x in listing(self.path))
+                for some in old.filter(pc.invert(pc.is_in(old, new))).chunks:
+                    f.write("".join(f"{json.dumps(x.decode().removesuffix('.toml'))}\n" for x in some.to_pylist()).encode())
         manifest = f"{base}/{_MANIFEST}{self.job}.json"
         with store.open_output_stream(f"{manifest}.new") as f:
-            f.write(json.dumps({"files": new, "removed": removed, "staging": self._staging(base)}).encode())
+            f.write(json.dumps({"folders": folders, "removed": removed, "staging": self._staging(base)}).encode())
         store.move(f"{manifest}.new", manifest)  # from here on the job is done
         roll_forward(store, base)
         sweep(store, base)
@@ -269,12 +388,18 @@ def register(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def mounted(spark: SparkSession, path: str) -> bool:
+    """Whether Spark reads a path from a file system that all machines mount, as the data source would."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).getUri().getScheme() == "file"
+
+
 def read(spark: SparkSession, path: str, kind: str = "entity", missing: str = "error", files: int = FILES) -> DataFrame:
     """The rows of a folder with ``stem`` and ``place``; filter on ``stem`` to read single files."""
     return register(spark).read.format("catalog_toml").option("kind", kind).option("missing", missing).option("files", files).load(path)
 
 
 def write(files: DataFrame, path: str, mode: str = "append") -> None:
-    """Rows (stem, content) as files of a folder."""
+    """Rows (stem, content) as files of a folder, written by all cores however few partitions the rows come in."""
     register(files.sparkSession)
-    files.select("stem", "content").write.format("catalog_toml").mode(mode).save(path)
+    dealt(files.select("stem", "content")).write.format("catalog_toml").mode(mode).save(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tomllib
 
 import pytest
@@ -126,3 +127,38 @@ def test_committed_job_of_a_driver_that_died(spark, tmp_path, monkeypatch):
     toml_files.roll_forward(store, base)
     toml_files.roll_forward(store, base)
     assert tree(tmp_path / "d") == {"a.toml": "v = 2", "b.toml": "v = 2"} and len(os.listdir(at)) == 2
+
+
+def test_the_driver_holds_no_list_of_files(spark, tmp_path):
+    n, at = 2000, str(tmp_path / "entities")
+    writer = toml_files.Writer(at, files(spark, []).schema, overwrite=True)
+    done = [writer.write({"stem": f"e{i}", "content": ENTITY.format(f"e{i}")} for i in range(k, n, 2)) for k in (0, 1)]
+    assert sum(len(pickle.dumps(m)) for m in done) < 1000
+    writer.commit(done)
+    spans = toml_files.Reader({"path": at}, "entity", toml_files.KINDS["entity"]).partitions()
+    assert len(spans) == 2 and sum(len(pickle.dumps(s)) for s in spans) < 8 * n
+    assert [stem for s in spans for _, stem, _ in s.files()] == sorted(f"e{i}" for i in range(n))
+
+
+def tasks_of(spark, group, run):
+    """The most tasks of a stage of what ``run`` does."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    run()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    return max(tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds)
+
+
+def test_writing_uses_all_cores(spark, tmp_path):
+    one = files(spark, [(f"e{i}", "x = 1") for i in range(50)], 1)
+    assert tasks_of(spark, "write", lambda: toml_files.write(one, str(tmp_path / "d"))) == 4
+    assert len(tree(tmp_path / "d")) == 50
+
+
+def test_overwrite_removes_what_is_not_written(spark, tmp_path):
+    at = str(tmp_path / "d")
+    toml_files.write(files(spark, [(f"old {i}\n\"", "x = 1") for i in range(30)] + [("both", "x = 1")]), at)
+    toml_files.write(files(spark, [("both", "x = 2"), ("a-b", "y = 1"), ("a", "y = 2")]), at, "overwrite")
+    assert tree(tmp_path / "d") == {"a-b.toml": "y = 1", "a.toml": "y = 2", "both.toml": "x = 2"}
+    assert [r.stem for r in toml_files.read(spark, at, "text").collect()] == ["a-b", "a", "both"]
