@@ -2,7 +2,9 @@
 
 ``build`` numbers the rows, and keeps for every gram (one, two or three characters of the lower-case
 fields) the rows that hold it: one posting per gram and block of ``BLOCK`` rows, the rows' places in
-the block as gaps.  So a posting is bounded however common its gram.  Postings lie in buckets by
+the block as gaps.  So a posting is bounded however common its gram.  The rows are spread over all cores;
+a task makes postings of its rows some ``WINDOW`` characters at a time (a longer text is in several), so what is
+shuffled are arrays of places, and those of one gram and block are merged.  Postings lie in buckets by
 the gram's hash and are sorted by gram inside, so a search reads the buckets of its grams, of those the
 row groups that may hold them, and nothing else.
 
@@ -20,19 +22,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalith.plans.storage import table_path
+from catalith.plans.storage import dealt, table_path
 
 #: Characters of the longest grams, rows of a block, and buckets of grams.
 GRAM, BLOCK, BUCKETS = 3, 65_536, 64
-
+#: Characters of which postings are made at once, at the most.
+WINDOW = 2**20
 
 _POSTING = "gram string, block long, n int, gaps array<int>, bucket int"
 
@@ -49,6 +54,83 @@ def grams(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return cut.select(*keep, F.explode(F.array_distinct(F.concat(*(runs(n) for n in range(1, GRAM + 1))))).alias("gram"))
 
 
+def _window_postings(points: np.ndarray, field: np.ndarray, row: np.ndarray, number: np.ndarray, block: int, own: int) -> Iterator[pa.RecordBatch]:
+    """Postings of the grams that start at the first ``own`` of some characters; ``field`` and ``row`` number a character's, rows rise with ``number``."""
+    chars, code = np.unique(points, return_inverse=True)
+    first = int(row[0])
+    bits, low = int(len(chars)).bit_length(), int(row[-1] - first).bit_length()
+    if GRAM * bits + low > 63:  # a gram and its row don't fit a number: fewer characters are fewer different ones
+        half = own // 2
+        yield from _window_postings(points[: half + GRAM - 1], field[: half + GRAM - 1], row[: half + GRAM - 1], number, block, half)
+        yield from _window_postings(points[half:], field[half:], row[half:], number, block, own - half)
+        return
+    keys, gram, at = [], np.zeros(len(code), np.int64), row.astype(np.int64) - first
+    for n in range(GRAM):  # a gram's characters (from 1) in a number, the last in the lowest bits
+        gram = (gram[: len(code) - n] << bits) | (code[n:] + 1)
+        whole = field[: len(gram)] == field[n:]
+        whole[own:] = False
+        keys.append(((gram << low) | at[: len(gram)])[whole])
+    both = np.unique(np.concatenate(keys))
+    grams_, numbers = both >> low, number[first + (both & ((1 << low) - 1))]
+    blocks = numbers // block
+    starts = np.flatnonzero(np.concatenate(([True], (grams_[1:] != grams_[:-1]) | (blocks[1:] != blocks[:-1]))))
+    texts = ["".join(chr(chars[(g >> s * bits & (1 << bits) - 1) - 1]) for s in range(GRAM - 1, -1, -1) if g >> s * bits) for g in grams_[starts].tolist()]
+    places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(both)), pa.int32()), pa.array(numbers % block, pa.int32()))
+    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(blocks[starts], pa.int64()), places], names=["gram", "block", "places"])
+
+
+def _make_postings(batches: Iterator[pa.RecordBatch], block: int, window: int) -> Iterator[pa.RecordBatch]:
+    """(gram, block, places), in parts, of rows (number, fields)."""
+    for b in batches:
+        b = b.take(pc.sort_indices(b.column("number")))
+        number, fields = b.column("number").to_numpy(), b.column("fields")
+        of = np.repeat(np.arange(len(b)), fields.value_lengths().to_numpy(zero_copy_only=False))
+        texts = [x.decode(errors="replace") for x in fields.flatten().to_pylist()]
+        start = 0
+        while start < len(texts):  # fields of a window's length in all, or one that is longer
+            end, size = start, 0
+            while end < len(texts) and (end == start or size + len(texts[end]) <= window):
+                size += len(texts[end])
+                end += 1
+            points = np.frombuffer("".join(texts[start:end]).encode("utf-32-le"), np.uint32)
+            field = np.repeat(np.arange(end - start, dtype=np.int32), [len(t) for t in texts[start:end]])
+            row = of[start:end][field]
+            for s in range(0, len(points), window):
+                cut = slice(s, s + window + GRAM - 1)
+                yield from _window_postings(points[cut], field[cut], row[cut], number, block, min(window, len(points) - s))
+            start = end
+
+
+def _merge_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of their parts, which come one after the other."""
+
+    def parts() -> Iterator[tuple[str, int, int, np.ndarray]]:
+        for b in batches:
+            values, ends = b.column("places"), b.column("places").offsets.to_numpy()
+            flat = values.values.to_numpy()
+            for i, (gram, at, bucket) in enumerate(zip(*(b.column(c).to_pylist() for c in ("gram", "block", "bucket")), strict=True)):
+                yield gram, at, bucket, flat[ends[i] : ends[i + 1]]
+
+    made, held = [], 0
+    for (gram, at, bucket), same in groupby(parts(), lambda p: p[:3]):
+        places = [p[3] for p in same]
+        whole = places[0] if len(places) == 1 else np.unique(np.concatenate(places))
+        made.append((gram, at, len(whole), np.diff(whole, prepend=0), bucket))
+        held += len(whole)
+        if held > 2**20:
+            yield _batch(made)
+            made, held = [], 0
+    if made:
+        yield _batch(made)
+
+
+def _batch(postings: list[tuple[str, int, int, np.ndarray, int]]) -> pa.RecordBatch:
+    gram, block, n, gaps, bucket = zip(*postings, strict=True)
+    ends = pa.array(np.cumsum((0, *n)), pa.int32())
+    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(gaps), pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(gram, pa.string()), pa.array(block, pa.int64()), pa.array(n, pa.int32()), lists, pa.array(bucket, pa.int32())], names=["gram", "block", "n", "gaps", "bucket"])
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     """An index in a folder: ``rows`` and ``grams``."""
@@ -64,16 +146,14 @@ class SearchIndex:
         some = lambda c: F.coalesce(F.filter(F.transform(c, lambda x: F.lower(x)), lambda x: x.isNotNull()), F.array().cast("array<string>"))
         fields = F.concat(F.array_compact(F.array(*(F.lower(c) for c in columns))), *(some(a) for a in arrays or []))
         # Numbers rise within a task, so a task's rows are blocks of their own.
-        stored = df.select(F.struct("*").alias("row"), fields.alias("fields")).withColumns({"number": F.monotonically_increasing_id(), "part": F.spark_partition_id()})
+        stored = dealt(df).select(F.struct("*").alias("row"), fields.alias("fields")).withColumns({"number": F.monotonically_increasing_id(), "part": F.spark_partition_id()})
         made = cls(spark, path or table_path(spark, "search"), stored.schema)
         stored.write.partitionBy("part").parquet(f"{made.path}/rows")
-        numbered = made.rows()
-        held = grams(numbered.select("number", F.explode("fields").alias("field")), "field", ["number"])
-        place = F.expr(f"CAST(number % {BLOCK} AS INT)")
-        lists = held.groupBy("gram", F.expr(f"number DIV {BLOCK}").alias("block")).agg(F.array_sort(F.collect_set(place)).alias("places"))
-        gaps = F.transform("places", lambda x, i: x - F.coalesce(F.get("places", i - 1), F.lit(0)))
-        postings = lists.select("gram", "block", F.size("places").alias("n"), gaps.alias("gaps"), _bucket(F.col("gram")).alias("bucket"))
-        postings.repartition("bucket").sortWithinPartitions("bucket", "gram", "block").write.partitionBy("bucket").parquet(f"{made.path}/grams")
+        block, window = BLOCK, WINDOW
+        texts = made.rows().where(F.size("fields") > 0).select("number", F.transform("fields", lambda x: x.cast("binary")).alias("fields"))
+        parts = texts.mapInArrow(lambda batches: _make_postings(batches, block, window), "gram string, block long, places array<int>")
+        sorted_ = parts.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket").sortWithinPartitions("bucket", "gram", "block")
+        sorted_.mapInArrow(_merge_postings, _POSTING).write.partitionBy("bucket").parquet(f"{made.path}/grams")
         return made
 
     def rows(self) -> DataFrame:

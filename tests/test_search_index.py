@@ -50,3 +50,29 @@ def test_only_the_needles_lists_are_read(spark, rows):
     assert index.postings([]).count() == 0 and index.search_any([""]).count() == 0
     empty = SearchIndex.build(rows.limit(0), ["name"])
     assert empty.search_any(["x"]).count() == 0 and empty.search_all(["", "a"]).count() == 0
+
+
+@pytest.mark.parametrize(("block", "window"), [(2, 7), (65_536, 1000), (65_536, 2**20)])
+def test_postings_hold_every_gram(spark, rows, monkeypatch, block, window):
+    monkeypatch.setattr(search_index, "BLOCK", block)
+    monkeypatch.setattr(search_index, "WINDOW", window)
+    many = spark.createDataFrame([(9, "".join(chr(c) for c in range(0x4E00, 0x9E00)), "".join(chr(c) for c in range(0x10000, 0x24000)), None)], rows.schema)
+    index = SearchIndex.build(rows.unionByName(many), ["name", "remarks"], ["needles"])
+    got = {}
+    for r in spark.read.parquet(f"{index.path}/grams").collect():
+        assert (r.gram, r.block) not in got and len(r.gaps) == r.n
+        places = [sum(r.gaps[: i + 1]) for i in range(r.n)] if r.n < 100 else []
+        got[r.gram, r.block] = sorted(r.block * block + p for p in places)
+        assert places == sorted(set(places))
+    want = {}
+    for r in index.rows().select("number", "fields").collect():
+        for f in r.fields:
+            for n in (1, 2, 3):
+                for i in range(len(f) - n + 1):
+                    want.setdefault((f[i : i + n], r.number // block), set()).add(r.number)
+    assert got == {k: sorted(v) for k, v in want.items()}
+
+
+def test_building_uses_all_cores(spark, rows):
+    index = SearchIndex.build(rows.coalesce(1), ["name"])
+    assert index.rows().select("part").distinct().count() > 1
