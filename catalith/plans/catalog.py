@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from catalith.functions import scalars as S
 from catalith.operators import bitmap_facets, export, filters, ranking, relations
 from catalith.operators.search_index import SearchIndex
+from catalith.plans import schema
 from catalith.plans.spec import FilterSpec
 from catalith.plans.storage import checkpoint
-from catalith.sources import toml
+from catalith.sources import toml, toml_files
 
 #: The stack that every other one builds on (fixed value; a parameter everywhere).
 BASELINE = "essentials"
@@ -26,8 +27,13 @@ class Catalog:
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, entities: str = "entities") -> Catalog:
-        """Read and check a catalog folder; the first broken rule is raised.  ``entities`` names the folder of its rows."""
-        made = cls(toml.read_entities(spark, f"{folder}/{entities}").cache(), toml.read_categories(spark, f"{folder}/categories.toml").cache(), toml.read_stacks(spark, f"{folder}/stacks").cache())
+        """Read and check a catalog folder; the first broken rule is raised.  ``entities`` names the folder of its rows.
+
+        Where Spark's reader would keep the driver a record of every file, the data source packs them; it reaches mounted folders.
+        """
+        path = f"{folder}/{entities}"
+        rows = toml_files.read(spark, path).select(*schema.ENTITY.names) if toml_files.mounted(spark, path) else toml.read_entities(spark, path)
+        made = cls(rows.cache(), toml.read_categories(spark, f"{folder}/categories.toml").cache(), toml.read_stacks(spark, f"{folder}/stacks").cache())
         made.validate()
         return made
 

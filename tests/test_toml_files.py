@@ -9,6 +9,7 @@ import tomllib
 import pytest
 from pyspark.sql import functions as F
 
+from catalith.plans.catalog import Catalog
 from catalith.sources import toml_files
 from catalith.sources.toml_text import put_table, scan
 
@@ -162,3 +163,11 @@ def test_overwrite_removes_what_is_not_written(spark, tmp_path):
     toml_files.write(files(spark, [("both", "x = 2"), ("a-b", "y = 1"), ("a", "y = 2")]), at, "overwrite")
     assert tree(tmp_path / "d") == {"a-b.toml": "y = 1", "a.toml": "y = 2", "both.toml": "x = 2"}
     assert [r.stem for r in toml_files.read(spark, at, "text").collect()] == ["a-b", "a", "both"]
+
+
+def test_a_catalog_is_loaded_from_packed_listings(spark, tmp_path):
+    toml_files.write(files(spark, [(f"e{i}", ENTITY.format(f"e{i}")) for i in range(20)]), str(tmp_path / "entities"))
+    (tmp_path / "categories.toml").write_text('[[category]]\nid = "c"\nname = "C"\n')
+    loaded = Catalog.load(spark, str(tmp_path)).entities
+    assert loaded.count() == 20 and "catalog_toml" in loaded._jdf.queryExecution().logical().toString()
+    loaded.unpersist()
