@@ -54,9 +54,17 @@ def grams(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return cut.select(*keep, F.explode(F.array_distinct(F.concat(*(runs(n) for n in range(1, GRAM + 1))))).alias("gram"))
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Some values in order without repeats; ``np.unique`` hashes them first, which takes several times as long."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))]
+
+
 def _window_postings(points: np.ndarray, field: np.ndarray, row: np.ndarray, number: np.ndarray, block: int, own: int) -> Iterator[pa.RecordBatch]:
     """Postings of the grams that start at the first ``own`` of some characters; ``field`` and ``row`` number a character's, rows rise with ``number``."""
-    chars, code = np.unique(points, return_inverse=True)
+    there = np.zeros(int(points.max()) + 1, bool)
+    there[points] = True
+    chars, code = np.flatnonzero(there), (np.cumsum(there) - 1)[points]
     first = int(row[0])
     bits, low = int(len(chars)).bit_length(), int(row[-1] - first).bit_length()
     if GRAM * bits + low > 63:  # a gram and its row don't fit a number: fewer characters are fewer different ones
@@ -70,7 +78,7 @@ def _window_postings(points: np.ndarray, field: np.ndarray, row: np.ndarray, num
         whole = field[: len(gram)] == field[n:]
         whole[own:] = False
         keys.append(((gram << low) | at[: len(gram)])[whole])
-    both = np.unique(np.concatenate(keys))
+    both = _distinct(np.concatenate(keys))
     grams_, numbers = both >> low, number[first + (both & ((1 << low) - 1))]
     blocks = numbers // block
     starts = np.flatnonzero(np.concatenate(([True], (grams_[1:] != grams_[:-1]) | (blocks[1:] != blocks[:-1]))))
@@ -85,15 +93,17 @@ def _make_postings(batches: Iterator[pa.RecordBatch], block: int, window: int) -
         b = b.take(pc.sort_indices(b.column("number")))
         number, fields = b.column("number").to_numpy(), b.column("fields")
         of = np.repeat(np.arange(len(b)), fields.value_lengths().to_numpy(zero_copy_only=False))
-        texts = [x.decode(errors="replace") for x in fields.flatten().to_pylist()]
-        start = 0
+        flat = fields.flatten()
+        try:
+            texts = flat.cast(pa.string())
+        except pa.ArrowInvalid:  # not UTF-8
+            texts = pa.array([x.decode(errors="replace") for x in flat.to_pylist()], pa.string())
+        size = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+        upto, start = np.cumsum(size), 0
         while start < len(texts):  # fields of a window's length in all, or one that is longer
-            end, size = start, 0
-            while end < len(texts) and (end == start or size + len(texts[end]) <= window):
-                size += len(texts[end])
-                end += 1
-            points = np.frombuffer("".join(texts[start:end]).encode("utf-32-le"), np.uint32)
-            field = np.repeat(np.arange(end - start, dtype=np.int32), [len(t) for t in texts[start:end]])
+            end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + window, side="right")))
+            points = np.frombuffer("".join(texts[start:end].to_pylist()).encode("utf-32-le"), np.uint32)
+            field = np.repeat(np.arange(end - start, dtype=np.int32), size[start:end])
             row = of[start:end][field]
             for s in range(0, len(points), window):
                 cut = slice(s, s + window + GRAM - 1)
@@ -114,7 +124,7 @@ def _merge_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     made, held = [], 0
     for (gram, at, bucket), same in groupby(parts(), lambda p: p[:3]):
         places = [p[3] for p in same]
-        whole = places[0] if len(places) == 1 else np.unique(np.concatenate(places))
+        whole = places[0] if len(places) == 1 else _distinct(np.concatenate(places))
         made.append((gram, at, len(whole), np.diff(whole, prepend=0), bucket))
         held += len(whole)
         if held > 2**20:
@@ -140,13 +150,13 @@ class SearchIndex:
     schema: T.StructType
 
     @classmethod
-    def build(cls, df: DataFrame, columns: list[str], arrays: list[str] | None = None, path: str | None = None) -> SearchIndex:
-        """Index the given fields; all columns of ``df`` are stored and returned by searches."""
+    def build(cls, df: DataFrame, columns: list[str], arrays: list[str] | None = None, path: str | None = None, spread: bool = False) -> SearchIndex:
+        """Index the given fields; all columns of ``df`` are stored and returned by searches.  ``spread``: the rows are on all cores already."""
         spark = df.sparkSession
         some = lambda c: F.coalesce(F.filter(F.transform(c, lambda x: F.lower(x)), lambda x: x.isNotNull()), F.array().cast("array<string>"))
         fields = F.concat(F.array_compact(F.array(*(F.lower(c) for c in columns))), *(some(a) for a in arrays or []))
         # Numbers rise within a task, so a task's rows are blocks of their own.
-        stored = dealt(df).select(F.struct("*").alias("row"), fields.alias("fields")).withColumns({"number": F.monotonically_increasing_id(), "part": F.spark_partition_id()})
+        stored = (df if spread else dealt(df)).select(F.struct("*").alias("row"), fields.alias("fields")).withColumns({"number": F.monotonically_increasing_id(), "part": F.spark_partition_id()})
         made = cls(spark, path or table_path(spark, "search"), stored.schema)
         stored.write.partitionBy("part").parquet(f"{made.path}/rows")
         block, window = BLOCK, WINDOW

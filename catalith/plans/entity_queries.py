@@ -69,8 +69,10 @@ def _short(n: str) -> str:
     return f"CASE WHEN {n} >= 1000000 THEN printf('%.1fM', {n} / 1000000.0::DOUBLE) WHEN {n} >= 1000 THEN printf('%.1fk', {n} / 1000.0::DOUBLE) ELSE {n}::VARCHAR END"
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").selectExpr("p_partkey AS key", *(f"{sql} AS `{name}`" for name, sql in COLUMNS.items()))
+def _rows(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """The entities' columns; ``spread`` computes them on all cores, however few partitions the table comes in."""
+    part = _table(spark, sf_dir, "part")
+    return (dealt(part) if spread else part).selectExpr("p_partkey AS key", *(f"{sql} AS `{name}`" for name, sql in COLUMNS.items()))
 
 
 def _metrics() -> F.Column:
@@ -87,8 +89,8 @@ def _metrics() -> F.Column:
     return F.when(c("on"), metrics).cast(schema.METRICS)
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    rows = _rows(spark, sf_dir).withColumn("alternatives", F.filter("alternatives", lambda x: x != ""))
+def catalog(spark: SparkSession, sf_dir: str, spread: bool = False) -> Catalog:
+    rows = _rows(spark, sf_dir, spread).withColumn("alternatives", F.filter("alternatives", lambda x: x != ""))
     none = F.array().cast("array<string>")
     entities = rows.withColumns({"homepage": F.lit(None).cast("string"), "successors": none, "related": none, "metrics": _metrics()}).select(*schema.ENTITY.names)
     categories = spark.createDataFrame([(i, c, c.title(), "") for i, c in enumerate(CATEGORIES)], schema.CATEGORY)
@@ -160,7 +162,7 @@ WHERE w <> '' AND (contains(lower(name), w) OR contains(id, w) OR contains(categ
 """)
 def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several needles at once over names, ids, categories, remarks and the array of alternatives, through the gram index; hits in their order."""
-    hits = catalog(spark, sf_dir).index().search_any(_NEEDLES)
+    hits = catalog(spark, sf_dir, spread=True).index(spread=True).search_any(_NEEDLES)
     hits = hits.select("needle", "id", "name", archived().alias("gone"), relevance().alias("relevance"))
     return ranking.rank_in_group(hits, "needle", [F.asc("gone"), F.desc("relevance"), F.asc("name"), F.asc("id")], "place").select("needle", "id", "place")
 
@@ -171,7 +173,7 @@ SELECT needle, id FROM h, n WHERE len([x FOR x IN ws IF NOT contains(hay, x)]) =
 """)
 def search_terms_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several sets of terms at once, each of which has to occur, through the gram index."""
-    return catalog(spark, sf_dir).index().search_all(_QUERIES).select("needle", "id")
+    return catalog(spark, sf_dir, spread=True).index(spread=True).search_all(_QUERIES).select("needle", "id")
 
 
 def _place(mode: str, order: str) -> str:
@@ -476,7 +478,7 @@ _STATE_KEYS = "q, license, msrv, deprecated, recommended, stack"
 
 
 def _url_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return states(_rows(spark, sf_dir).selectExpr("id", f"{_STATE_URL} AS url"), "url", stacks={"s1", "s2"})
+    return states(_rows(spark, sf_dir, spread=True).selectExpr("id", f"{_STATE_URL} AS url"), "url", stacks={"s1", "s2"})
 
 
 @_query(f"""
@@ -486,14 +488,14 @@ SELECT id, coalesce(n_visible, 0) AS n_visible, coalesce(n_highlighted, 0) AS n_
 def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every url's filter state shows and highlights, all states counted in one pass over bitmaps."""
     urls = _url_states(spark, sf_dir)
-    totals, _ = catalog(spark, sf_dir).state_counts(urls)
+    totals, _ = catalog(spark, sf_dir, spread=True).state_counts(urls)
     return urls.join(totals, _STATE_KEYS.split(", ")).select("id", "n_visible", "n_highlighted")
 
 
 @_query(f"WITH {_E}, {_C}, {_V}, {_STATES} SELECT {_STATE_KEYS}, category, count(*) AS n FROM f GROUP BY ALL")
 def state_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per different filter state, how many entities of each category it shows, where any."""
-    return catalog(spark, sf_dir).state_counts(_url_states(spark, sf_dir))[1]
+    return catalog(spark, sf_dir, spread=True).state_counts(_url_states(spark, sf_dir))[1]
 
 
 @_query(f"""
